@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gbt, langid, minhash, packing, quality_rules, tokencount
+from . import decontaminate, gbt, html_extract, langid, line_dedup, minhash, packing, passages, quality_rules, tokencount
 from .labelled import held_out
 
 #: Names of the public vocabularies; their folder is looked up where a query needs one.
@@ -33,11 +33,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), count="n_dropped")
+    return kept.select("doc_id", "source", "n_dropped", "text")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = gbt.score(docs, gbt.train(docs, table(spark, sf_dir, "labels")))
@@ -53,11 +62,50 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated(found).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op4_language_id, op6_quality_classifier, op7_packing, op8_token_counts, op10_decontamination)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_minhash, op2_quality_rules, op3_substring_dedup, op4_language_id, op5_line_dedup, op6_quality_classifier, op7_packing, op8_token_counts, op9_html_extraction, op10_decontamination)
+}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END g FROM d),
+e AS (SELECT doc_id, len(g) n, unnest(g) g FROM s),
+pairs AS (SELECT a.doc_id x, b.doc_id y, any_value(a.n) nx, any_value(b.n) ny, count(*) i FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs WHERE 100 * i >= 80 * (nx + ny - i)),
+sym AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id x, doc_id y FROM documents UNION SELECT reach.x, sym.y FROM reach JOIN sym ON reach.y = sym.x),
+c AS (SELECT x doc_id, min(y) component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, len(g)::BIGINT n_shingles, component_id, s.doc_id = component_id kept FROM s JOIN c USING (doc_id)""",
+    "op5_line_dedup": """
+WITH n AS (SELECT source, count(*) n FROM documents WHERE source IS NOT NULL GROUP BY 1),
+l AS (SELECT DISTINCT doc_id, source, unnest(string_split(text, chr(10))) line FROM documents),
+f AS (SELECT l.source, line FROM l JOIN n USING (source) WHERE trim(line) <> '' GROUP BY l.source, line, n.n HAVING count(*) >= 5 AND 100 * count(*) > 10 * n.n),
+k AS (SELECT source, list(line) ls FROM f GROUP BY 1),
+x AS (SELECT doc_id, d.source, text, string_split(text, chr(10)) ls, list_filter(string_split(text, chr(10)), lambda y: NOT coalesce(list_contains(k.ls, y), false)) kept FROM documents d LEFT JOIN k ON d.source = k.source)
+SELECT doc_id, source, coalesce(len(ls) - len(kept), 0)::BIGINT n_dropped, array_to_string(kept, chr(10)) "text" FROM x""",
+    "op10_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark WHERE item_id IS NOT NULL),
+bk AS (SELECT item, w, least(13, len(w)) n, unnest(range(1, len(w) - least(13, len(w)) + 2)) k FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') g FROM bk),
+sizes AS (SELECT DISTINCT n FROM win),
+dk AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) k FROM d, sizes WHERE len(w) >= n),
+h AS (SELECT doc_id, k, n, item FROM (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') g FROM dk) JOIN win USING (n, g)),
+p AS (SELECT doc_id, count(DISTINCT word) n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) word FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(items, '')) items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)""",
+}
