@@ -1,6 +1,6 @@
 """All registered queries of the calendar engine."""
 
-from . import interval_queries
+from . import calendar_queries, interval_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "interval_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "calendar_queries", "interval_queries"]
