@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -17,6 +18,8 @@ from .text import LOWER, Words, mix, shingle_sets, slices, utf8
 BANDS, ROWS = 24, 4
 #: Bytes kept of a shingle's hash where sets are compared.
 KEPT_BYTES = 6
+#: Members of a bucket of several components up to which all pairs across them are confirmed.
+SMALL_BUCKET = 16
 
 
 def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
@@ -114,8 +117,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     Documents with equal sets are joined first, by the set's digest, and only one of each such
     class goes on. Band collisions link each member of a bucket with the bucket's smallest id;
     these links are confirmed on full sets. Where a bucket still has members of different
-    components, the pairs across components (never those within one) are confirmed too. Every
-    join is an equi-join that adaptive execution may split; no bucket is gathered in a task.
+    components, pairs across components (never those within one) are confirmed too: all of
+    them in a small bucket, and in a larger one those that an exact prefix filter leaves. Every join is an
+    equi-join that adaptive execution may split; no bucket is gathered in a task.
     """
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     sketch = save(docs.mapInArrow(_sketch(shingle, bands, rows), "id long, n_shingles long, digest long, digest2 long, bands array<long>"), "sketch")
@@ -128,34 +132,69 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     member = save(member.join(heads, "bucket"), "buckets")
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
-    sets_of: list[DataFrame] = []
+    wanted = member.select("id").distinct()
+    sets = save(docs.join(small(wanted, 16), "id", "left_semi").mapInArrow(_sets(shingle), "id long, n int, shingles binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = save(docs.join(small(wanted, 16), "id", "left_semi").mapInArrow(_sets(shingle), "id long, n int, shingles binary"), "sets")
-        sets_of.append(sets)
         left, right = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
-        # each task sees a head's rows together, so that the head's set is unpacked once
         both = pairs.join(left, "a").join(right, "b").where(near)
         return save(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), "confirmed")
 
-    stars = save(member.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+    stars = member.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     linked = confirmed(stars)
     found = components(linked)
     placed = member.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    placed = save(placed.join(mixed, "bucket").select("bucket", "id", "n_shingles", "head", "component"), "mixed")
-    left, right = (placed.select("bucket", "head", F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-    across = left.join(right.drop("head"), "bucket").where("a > b and b <> head and c_a <> c_b").where(near).select("a", "b").distinct()
-    across = save(across.join(stars, ["a", "b"], "left_anti"), "across")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("bucket", "size")
+    placed = save(placed.join(mixed, "bucket").select("bucket", "size", "id", "n_shingles", "head", "component"), "mixed")
+    left, right = (placed.where(F.col("size") <= SMALL_BUCKET).select("bucket", "head", F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
+    across = left.join(right.drop("head"), "bucket").where("a > b and b <> head and c_a <> c_b").where(near).select("a", "b")
+    crowd = placed.where(F.col("size") > SMALL_BUCKET).select("id", "component").distinct()
+    across = save(across.union(_across_components(sets.join(crowd, "id"), percent)).distinct(), "across")
     links = linked.union(confirmed(across)) if across.limit(1).count() else linked
     nodes = save(components(links.union(copies)), "components")
-    for used in (classes, member, stars, placed, across, *sets_of):
+    for used in (classes, member, sets, placed, across):
         drop(used)
     return sketch.select("id", "n_shingles").join(nodes.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("id").alias(id), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            sets = [_unpack(x.as_buffer()) for x in part.column("shingles")]
+            which = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(which) for c in ("id", "component", "n")), pa.array(np.concatenate(sets).view(np.int64))], ["id", "component", "n", "token"])
+
+
+def _across_components(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (id, component, n, shingles) of different components that may reach ``percent``; none that does is missing.
+
+    Prefix and position filter: with every set's shingles in one order, rare ones first, two sets
+    that reach the threshold meet in a shingle p of the first such that both can still share
+    enough behind p. A set thus meets only sets of sizes that its p allows: the join key is the shingle
+    with both size classes. In a crowd of documents that differ from a common text in more and more
+    rare places, those that reach nobody meet nobody.
+    """
+    tokens = save(sets.mapInArrow(_tokens, "id long, component long, n int, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("component").alias("x"), F.max("component").alias("y"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "token")) - 1
+    ranked = tokens.join(often, "token").withColumn("p", place).where("x <> y").drop("x", "y", "often")
+    most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("p")) * (100 + percent) / percent) - F.col("n"))
+    least = F.ceil(F.col("n") * percent / 100)
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.05)).cast("int")
+    keyed = ranked.withColumn("most", most).where(F.col("most") >= least).withColumn("own", size_class(F.col("n"))).withColumn("other", F.explode(F.sequence(size_class(least), size_class(F.col("most")))))
+    keyed = keyed.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "component", "n", "p")
+    mixed = keyed.groupBy("token", "low", "high").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").drop("x", "y")
+    keyed = keyed.join(mixed, ["token", "low", "high"])
+    left, right = (keyed.select("token", "low", "high", F.col("id").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}")) for x in "ab")
+    reach = f"(100 + {percent}) * least(n_a - p_a, n_b - p_b) >= {percent} * (n_a + n_b)"
+    pairs = left.join(right, ["token", "low", "high"]).where(f"a > b and c_a <> c_b and {reach} and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    out = save(pairs.select("a", "b").distinct(), "crowd")
+    drop(tokens)
+    return out
+
+
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without near-duplicates: of each component only the smallest id stays.
 
