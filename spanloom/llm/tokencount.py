@@ -64,9 +64,13 @@ class PrefixCounter:
         k = int(np.searchsorted(counts, budget, "right"))
         whole = sum(map(len, parts[:k])) + max(k - 1, 0)
         if k < len(parts):
-            before = int(counts[k - 1]) if k else 0
-            for j in reversed(range(k == 0, len(parts[k]))):
-                if before + self.word(parts[k][:j]) <= budget:
+            word, left = parts[k], budget - (int(counts[k - 1]) if k else 0)
+            ends = range(k == 0, len(word))
+            if len(word) > CACHED_LENGTH:  # here only the ends of the word's own tokens are tried
+                pieces = np.cumsum([len(p) for p in self.model.encode(word, out_type=str)[: max(left, 0) + 1]]) - 1
+                ends = [int(j) for j in pieces if 0 < j < len(word)]
+            for j in reversed(ends):
+                if self.word(word[:j]) <= left:
                     return whole + (k > 0) + j
         return whole
 
@@ -97,8 +101,9 @@ def prefix_counts(docs: DataFrame, model: str, id: str = "doc_id", text: str = "
 
     ``counts`` is the stored prefix table: with store="word" the token count at each word's end
     (a word takes the space before it), with "char" at each of the length + 1 prefixes, with
-    "none" null (it is then used in the task and not kept). n_tokens is its last value and
-    fit_chars, read from it as well, the longest prefix in characters of at most ``budget`` tokens.
+    "none" null (it is then used in the task and not kept); "char" costs the square of a word's
+    length. n_tokens is its last value and fit_chars, read from it as well, the longest prefix in
+    characters of at most ``budget`` tokens (in a word of over 48 characters only the ends of its tokens count).
     Null or empty text has 0 tokens. Every row, also of a repeated or null id, gets its own; other
     columns are not read. There is no shuffle.
     """
