@@ -48,8 +48,9 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def islands_sql(source: str, by: str) -> str:
     part = f"PARTITION BY {by} " if by else ""
     keys = f"{by}, " if by else ""
+    # equal rows are taken once, as two windows may order ties differently
     return f"""SELECT {keys}min(s) s, max(e) e FROM (SELECT *, sum(n) OVER ({part}ORDER BY s, e ROWS UNBOUNDED PRECEDING) island FROM (
-SELECT {keys}s, e, CASE WHEN coalesce(s > max(e) OVER ({part}ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN 1 ELSE 0 END n FROM ({source}) WHERE e > s)) GROUP BY {keys}island"""
+SELECT {keys}s, e, CASE WHEN coalesce(s > max(e) OVER ({part}ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN 1 ELSE 0 END n FROM (SELECT DISTINCT {keys}s, e FROM ({source}) WHERE e > s))) GROUP BY {keys}island"""
 
 
 def gaps_sql(windows: str, busy: str, keys: str, minimum: int = 1) -> str:
