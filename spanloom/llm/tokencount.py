@@ -67,8 +67,8 @@ class PrefixCounter:
             word, left = parts[k], budget - (int(counts[k - 1]) if k else 0)
             ends = range(k == 0, len(word))
             if len(word) > CACHED_LENGTH:  # here only the ends of the word's own tokens are tried
-                pieces = np.cumsum([len(p) for p in self.model.encode(word, out_type=str)[: max(left, 0) + 1]]) - 1
-                ends = [int(j) for j in pieces if 0 < j < len(word)]
+                pieces = self.model.encode(word, return_type="proto").pieces
+                ends = sorted({p.end for p in pieces[: max(left, 0) + 1] if 0 < p.end < len(word)})
             for j in reversed(ends):
                 if self.word(word[:j]) <= left:
                     return whole + (k > 0) + j
