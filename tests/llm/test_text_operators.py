@@ -145,13 +145,16 @@ def test_passages(spark):
         own = text[r.doc_id].lower().split()[r.first_word : r.first_word + r.n_words]
         assert r.kept_id < r.doc_id and " ".join(own) in " ".join(text[r.kept_id].lower().split())
     whole = len(text[1].split())
-    assert all(sum(r.n_words for r in got if r.doc_id == i) > whole - 2 * passages.WINDOW for i in (300, 301))
+    assert all(sum(r.n_words for r in got if r.doc_id == i) == whole for i in (300, 301))
+    assert all(sum(r.n_words for r in got if r.doc_id == k) >= len(passage) for k in range(4, 40, 4))
     cut = passages.cut_repeated(docs)
     assert cut.columns == docs.columns and cut.count() == len(rows)
     left = {r.doc_id: r.text for r in cut.collect()}
     assert left[1] == text[1] and left[900] is None and left[104] == text[104]
     assert len(left[4].split()) == len(text[4].split()) - sum(r.n_words for r in got if r.doc_id == 4)
     assert passages.repeated(docs.limit(0)).collect() == []
+    twice = spark.createDataFrame([(1, text[1]), (2, text[1]), (2, "short"), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in passages.cut_repeated(twice).collect() if r.text is not None) == [(1, text[1]), (2, ""), (2, "")]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x="</p>";</script></head><body>
