@@ -166,12 +166,13 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 def test_html_extraction(spark):
     bodies = [f"<h1>Title {k} &amp; more</h1><p>First  <b>part</b>\n {k}<br>x<p>Second &lt;b&gt; &#233;<ul><li>one<li>two</ul><div class=ad>Buy</div>" for k in range(6)]
     pages = [(k, f"https://Host.example/{k}", PAGE.format(body=b)) for k, b in enumerate(bodies)]
-    pages += [(10, None, "<p>alone</p>"), (11, "https://host.example/e", None), (12, "https://host.example/f", ""), (13, "no url", "plain text &amp; <i>more</i>"), (None, "https://host.example/g", PAGE.format(body="<p>same</p>")), (14, "https://other.example/", "<article><p>Kept <!-- not --> here<p>and here</article><p>outside"), (15, "https://other.example/x", "<div" * 50 + "<p>x")]
+    pages += [(10, None, "<p>alone</p>"), (11, "https://host.example/e", None), (12, "https://host.example/f", ""), (13, "no url", "plain text &amp; <i>more</i>"), (None, "https://host.example/g", PAGE.format(body="<p>same</p>")), (14, "https://other.example/", "<article><p>Kept <!-- not --> here<p>and here</article><p>outside"), (15, "https://other.example/x", "<div" * 50 + "<p>x"), (16, None, '<div id="header">Site name</div><div class="text"><h1 class="header">Head</h1><p>body</div>'), (17, None, '<article><div class="header">Own head</div><p>body</article>')]
     df = spark.createDataFrame([(*p, "t", 1) for p in pages], "page_id long, url string, html string, text string, host int")
     got = {r.page_id: r for r in html_extract.main_text(df).collect()}
     for k in range(6):
         assert got[k].text == f"Title {k} & more\nFirst part {k} x\nSecond <b> é\none\ntwo"
     assert [got[k].text for k in (10, 11, 12, 13, 14)] == ["alone", "", "", "plain text & more", "Kept here\nand here"]
+    assert got[16].text == "Head\nbody" and got[17].text == "Own head\nbody"
     assert got[None].text == "same" and len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got.values())
     assert html_extract.main_text(df.limit(0)).collect() == []
 
