@@ -121,8 +121,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     them in a small bucket, and in a larger one those that an exact prefix filter leaves. Every join is an
     equi-join that adaptive execution may split; no bucket is gathered in a task.
     """
-    docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    sketch = save(docs.mapInArrow(_sketch(shingle, bands, rows), "id long, n_shingles long, digest long, digest2 long, bands array<long>"), "sketch")
+    docs, key = docs.select(F.col(id).alias("id"), F.col(text).alias("text")), docs.schema[id].dataType.simpleString()
+    sketch = save(docs.mapInArrow(_sketch(shingle, bands, rows), f"id {key}, n_shingles long, digest long, digest2 long, bands array<long>"), "sketch")
     usable = sketch.where("id is not null and n_shingles > 0")
     classes = usable.groupBy("n_shingles", "digest", "digest2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.min_by("bands", "id").alias("bands"))
     classes = save(classes, "classes")
@@ -133,13 +133,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
     wanted = member.select("id").distinct()
-    sets = save(docs.join(small(wanted, 16), "id", "left_semi").mapInArrow(_sets(shingle), "id long, n int, shingles binary"), "sets")
+    sets = save(docs.join(small(wanted, 16), "id", "left_semi").mapInArrow(_sets(shingle), f"id {key}, n int, shingles binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
         left, right = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
         both = pairs.join(left, "a").join(right, "b").where(near)
-        return save(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), "confirmed")
+        return save(both.mapInArrow(_confirm(percent), f"a {key}, b {key}").distinct(), "confirmed")
 
     stars = member.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     linked = confirmed(stars)
@@ -168,7 +168,13 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across_components(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``sets`` (id, component, n, shingles) of different components that may reach ``percent``; none that does is missing.
+    """:func:`across_components` of ``sets`` (id, component, n, shingles) with packed shingles."""
+    key = sets.schema["id"].dataType.simpleString()
+    return across_components(sets.mapInArrow(_tokens, f"id {key}, component {key}, n int, token long"), percent)
+
+
+def across_components(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets, given as ``tokens`` (id, component, n, token) with a row for each of a set's n shingles, of different components that may reach ``percent``; none that does is missing.
 
     Prefix and position filter: with every set's shingles in one order, rare ones first, two sets
     that reach the threshold meet in a shingle p of the first such that both can still share
@@ -176,7 +182,7 @@ def _across_components(sets: DataFrame, percent: int) -> DataFrame:
     with both size classes. In a crowd of documents that differ from a common text in more and more
     rare places, those that reach nobody meet nobody.
     """
-    tokens = save(sets.mapInArrow(_tokens, "id long, component long, n int, token long"), "tokens")
+    tokens = save(tokens, "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("component").alias("x"), F.max("component").alias("y"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("often", "token")) - 1
     ranked = tokens.join(often, "token").withColumn("p", place).where("x <> y").drop("x", "y", "often")

@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .minhash import across_components
 from .shared import save
 from .text import LOWER, Words, grams, mix, slices, utf8
 
 #: Words of a paragraph and of its shingles, and shingles of the window whose minimum a paragraph begins with.
 #: Any passage of WINDOW + PARAGRAPH - 1 = 49 words has a whole paragraph that begins alike wherever the passage stands.
 PARAGRAPH, SHINGLE, WINDOW = 18, 5, 32
-#: Bands of a paragraph, each of the anchor and one more MinHash value.
-BANDS = 3
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -64,12 +63,13 @@ def _rows(batch: pa.RecordBatch, words: Words, doc: np.ndarray, at: np.ndarray,
     return pa.RecordBatch.from_arrays(
         [
             pa.array(anchor[heads].view(np.int64)),
+            pa.array(digest[heads].view(np.int64)),
             batch.column("id").take(pa.array(doc[heads])),
             pa.array(length[heads], pa.int32()),
             pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array((at - words.first[doc])[order], pa.int32())),
             pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(fresh[heads].sum(1)))), pa.int32()), pa.array(sets[heads][fresh[heads]], pa.int32())),
         ],
-        ["anchor", "id", "length", "places", "shingles"],
+        ["anchor", "digest", "id", "length", "places", "shingles"],
     )
 
 
@@ -117,21 +117,30 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
 
     Null, empty and short texts (under 18 words) have no paragraphs; rows of null id are left out of the
     comparison; rows of one id are one document, and repeats within it are kept. Other columns
-    aren't read. A paragraph is compared with one head of each of its bands, so a group of n equal ones gives n - 1
-    links; joins are equi-joins that adaptive execution may split.
+    aren't read. Equal paragraphs are joined first, n of them by n - 1 links, and one of each goes on: it is compared with the
+    head of each of its bands, and what this leaves apart in a band is compared across components by an
+    exact prefix filter; joins are equi-joins that adaptive execution may split.
     """
     key = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null")
-    found = rows.mapInArrow(_paragraphs, f"anchor long, id {key}, length int, places array<int>, shingles array<int>")
+    found = rows.mapInArrow(_paragraphs, f"anchor long, digest long, id {key}, length int, places array<int>, shingles array<int>")
     shared = found.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("anchor")
     node = F.struct("id", F.col("places")[0].alias("place"), "length")
     paragraph = save(found.join(shared, "anchor", "left_semi").withColumn("node", node), "paragraphs")
-    band = F.array(*(F.xxhash64("anchor", F.lit(k), F.array_min(F.transform("shingles", lambda x, k=k: F.xxhash64(x, F.lit(k))))) for k in range(BANDS)))
-    banded = paragraph.select("node", "shingles", F.explode(band).alias("band"))
-    heads = banded.groupBy("band").agg(F.min(F.struct("node", "shingles")).alias("head"), F.max("node.id").alias("last")).where("head.node.id <> last").select("band", "head")
-    both = F.size(F.array_intersect("shingles", "head.shingles"))
-    links = banded.join(heads, "band").where(F.col("node") != F.col("head.node")).where(100 * both >= percent * (F.size("shingles") + F.size("head.shingles") - both))
-    group = components(links.select(F.col("node").alias("a"), F.col("head.node").alias("b")))
+    # sets of n shingles, sorted by hash, can't reach the threshold without one of the first n - ceil(n * percent / 100) + 1 in common
+    first = F.slice("shingles", 1, F.size("shingles") - F.ceil(F.size("shingles") * percent / 100).cast("int") + 1)
+    band = F.transform(first, lambda x: F.xxhash64("anchor", x))
+    alike = ["anchor", "digest", "length"]
+    classes = save(paragraph.groupBy(*alike).agg(F.min("node").alias("rep"), F.max("id").alias("last"), F.min("shingles").alias("shingles")), "classes")
+    copies = paragraph.join(classes.where("rep.id <> last").select(*alike, "rep"), alike).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    # paragraphs between two others are known by their digest alone, so that only equal ones meet
+    banded = classes.where(F.col("length") == PARAGRAPH).select(F.col("rep").alias("node"), "shingles", F.explode(band).alias("band"))
+    heads = banded.groupBy("band").agg(F.min(F.struct("node", "shingles")).alias("head"), F.max("node").alias("last")).where("head.node <> last").select("band", "head")
+    banded = save(banded.join(heads, "band"), "bands")
+    near = _near(F.col("shingles"), F.col("head.shingles"), percent)
+    stars = save(banded.where(F.col("node") != F.col("head.node")).where(near).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct(), "stars")
+    links = stars.union(_across(banded, stars, percent)).union(copies)
+    group = components(links)
     gone = paragraph.join(group, "node").where("component.id < node.id").select("id", "length", F.explode("places").alias("a"), F.col("component").alias("kept"))
     low = F.min(F.struct("a", F.col("kept.place").alias("kept_at"), F.col("kept.id").alias("kept_id")))
     high = F.max(F.struct((F.col("a") + F.col("length")).alias("b"), (F.col("kept.place") + F.col("kept.length")).alias("kept_at"), F.col("kept.id").alias("kept_id")))
@@ -140,6 +149,22 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     return merged.select(F.col("id").alias(id), "first_word", "n_words", "kept_id")
 
 
+def _near(x, y, percent: int):
+    """Whether the Jaccard similarity of two shingle arrays reaches ``percent``."""
+    both = F.size(F.array_intersect(x, y))
+    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
+
+
+def _across(banded: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one band that ``stars`` leaves in different components: all that reach ``percent``."""
+    placed = banded.join(components(stars).select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    crowd = save(placed.join(mixed, "band", "left_semi").groupBy("node").agg(F.min("component").alias("component"), F.min("shingles").alias("shingles")), "crowd")
+    tokens = crowd.select(F.col("node").alias("id"), "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    left, right = (crowd.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
+    return across_components(tokens, percent).join(left, "a").join(right, "b").where(_near(F.col("shingles_a"), F.col("shingles_b"), percent)).select("a", "b")
+
+
 def _merge(ranges: DataFrame, *out) -> DataFrame:
     """Aggregates ``out`` of each group of ranges [a, b) of one id that overlap or touch."""
     in_doc = Window.partitionBy("id").orderBy("a", "b", F.xxhash64(*ranges.columns))
