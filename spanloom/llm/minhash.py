@@ -121,7 +121,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     them in a small bucket, and in a larger one those that an exact prefix filter leaves. Every join is an
     equi-join that adaptive execution may split; no bucket is gathered in a task.
     """
-    docs, key = docs.select(F.col(id).alias("id"), F.col(text).alias("text")), docs.schema[id].dataType.simpleString()
+    sketch, nodes = linked(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), shingle, percent, bands, rows)
+    return sketch.select("id", "n_shingles").join(nodes.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("id").alias(id), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def linked(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The sketch of ``docs`` (id, text), and (node, component) of the ids that have a link; ids are of any ordered type."""
+    key = docs.schema["id"].dataType.simpleString()
     sketch = save(docs.mapInArrow(_sketch(shingle, bands, rows), f"id {key}, n_shingles long, digest long, digest2 long, bands array<long>"), "sketch")
     usable = sketch.where("id is not null and n_shingles > 0")
     classes = usable.groupBy("n_shingles", "digest", "digest2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.min_by("bands", "id").alias("bands"))
@@ -155,7 +161,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     nodes = save(components(links.union(copies)), "components")
     for used in (classes, member, sets, placed, across):
         drop(used)
-    return sketch.select("id", "n_shingles").join(nodes.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("id").alias(id), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return sketch, nodes
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .minhash import across_components
+from .minhash import across_components, linked
 from .shared import save
 from .text import LOWER, Words, grams, mix, slices, utf8
 
 #: Words of a paragraph and of its shingles, and shingles of the window whose minimum a paragraph begins with.
 #: Any passage of WINDOW + PARAGRAPH - 1 = 49 words has a whole paragraph that begins alike wherever the passage stands.
 PARAGRAPH, SHINGLE, WINDOW = 18, 5, 32
+#: MinHash bands of whole lines and blocks: a pair of similarity 0.8 is missed with a probability of (1 - 0.8**2)**10, 4 in 100,000.
+BANDS, ROWS = 10, 2
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -100,6 +102,26 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows(batch, words, doc[far], at[far], whole, whole, length, (whole >> np.uint64(32)).astype(np.uint32).view(np.int32)[:, None], np.ones((len(far), 1), bool))
 
 
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines, and blocks of several lines between blank ones, of at least PARAGRAPH words: place, length in words, text."""
+    for whole in batches:
+        for batch in slices(whole):
+            data, offsets = utf8(batch.column("text"))
+            words = Words(LOWER[data], offsets)
+            if len(words.starts) < PARAGRAPH:
+                continue
+            breaks = np.concatenate(([0], np.cumsum(data == 10)))
+            behind = breaks[words.starts[1:]] - breaks[words.ends[:-1]]
+            new = words.doc[1:] != words.doc[:-1]
+            lines, blocks = (np.concatenate(([0], np.flatnonzero(new | (behind >= n)) + 1, [len(words.starts)])) for n in (1, 2))
+            units = np.unique(np.concatenate([np.stack((x[:-1], x[1:]), 1) for x in (lines, blocks)]), axis=0)
+            units = units[units[:, 1] - units[:, 0] >= PARAGRAPH]
+            doc = words.doc[units[:, 0]]
+            text = [data[a:b].tobytes() for a, b in zip(words.starts[units[:, 0]].tolist(), words.ends[units[:, 1] - 1].tolist(), strict=True)]
+            unit = pa.StructArray.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(units[:, 0] - words.first[doc], pa.int32()), pa.array(units[:, 1] - units[:, 0], pa.int32())], ["id", "place", "length"])
+            yield pa.RecordBatch.from_arrays([unit, pa.array(text, pa.binary()).cast(pa.string())], ["id", "text"])
+
+
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """(id, first_word, n_words, kept_id): spans of words that an earlier document has as well.
 
@@ -109,7 +131,9 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     every passage of 49 words or more repeated word for word is found. Paragraphs that meet in a
     band are linked if the Jaccard similarity of their five-word shingles reaches ``percent``
     (checked on the full sets, as 32-bit hashes), and the words between two paragraphs that don't
-    touch are one more paragraph, compared as a whole; linked paragraphs form components. In each, the paragraph of the
+    touch are one more paragraph, compared as a whole. Lines, and blocks between blank lines, of 18 words
+    or more are paragraphs too, at their whole length: they meet by MinHash bands without a common
+    anchor and are checked in the same way, so that near copies go with what differs in them. Linked paragraphs form components. In each, the paragraph of the
     smallest id (``kept_id``) stays; those of other documents go. Removals that overlap or touch
     are merged; at both edges words that the kept document has there as well go too, up to 31, which is all of
     a passage repeated word for word. What then overlaps or touches is one row, which names the
@@ -142,6 +166,9 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     links = stars.union(_across(banded, stars, percent)).union(copies)
     group = components(links)
     gone = paragraph.join(group, "node").where("component.id < node.id").select("id", "length", F.explode("places").alias("a"), F.col("component").alias("kept"))
+    units = rows.mapInArrow(_written, f"id struct<id:{key},place:int,length:int>, text string")
+    alike = linked(units, SHINGLE, percent, BANDS, ROWS)[1].where("component.id < node.id")
+    gone = gone.union(alike.select("node.id", "node.length", "node.place", "component"))
     low = F.min(F.struct("a", F.col("kept.place").alias("kept_at"), F.col("kept.id").alias("kept_id")))
     high = F.max(F.struct((F.col("a") + F.col("length")).alias("b"), (F.col("kept.place") + F.col("kept.length")).alias("kept_at"), F.col("kept.id").alias("kept_id")))
     spans = save(_merge(gone.withColumn("b", F.col("a") + F.col("length")), low.alias("low"), high.alias("high"), F.min("kept.id").alias("kept_id")), "spans")

@@ -17,3 +17,21 @@ def test_equal_paragraphs_meet_behind_a_common_head(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
     got = {(r.doc_id, r.first_word, r.n_words, r.kept_id) for r in passages.repeated(docs).collect()}
     assert got == {(k + j, 0, 18, k + 50) for k in range(0, 4000, 100) for j in (60, 70)}
+
+
+def test_near_copied_and_short_lines_are_found_whole(spark):
+    rng = random.Random(4)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(0, 2000, 100):
+        long, short, block = some(60), some(20), [some(12) for _ in range(5)]
+        other, wrapped = list(long), [list(x) for x in block]
+        other[30], wrapped[2][6] = "changed", "changed"
+        for i, parts in ((k, (long, short)), (k + 1, (other,)), (k + 2, (short,))):
+            rows.append((i, "\n".join(" ".join(x) for x in (some(25), *parts, some(25)))))
+        rows += [(k + j, "\n\n".join((" ".join(some(25)), "\n".join(map(" ".join, x)), " ".join(some(25))))) for j, x in ((3, block), (4, wrapped))]
+        want |= {(k + 1, 25, 60, k), (k + 2, 25, 20, k), (k + 4, 25, 60, k + 3)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # an 18-word paragraph that ends one word behind a passage is a near copy too
+    got = {(r.doc_id, r.first_word, r.n_words - (r.n_words in (21, 61)), r.kept_id) for r in passages.repeated(docs).collect()}
+    assert got == want
