@@ -30,7 +30,12 @@ class PrefixCounter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         if any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.get_piece_size())):
             raise ValueError("pieces cross words; prefix counts don't add up")
+        ids = [i for i in range(self.model.get_piece_size()) if not (self.model.is_unknown(i) or self.model.is_control(i) or self.model.is_byte(i) or self.model.is_unused(i))]
+        self.pieces = {self.model.id_to_piece(i): self.model.get_score(i) for i in ids}
+        self.longest_piece = max(map(len, self.pieces))
         self.known: dict[str, int] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.tables: dict[str, np.ndarray] = {}
 
     def word(self, part: str) -> int:
         """Tokens of a space and then ``part`` (the model itself puts the space before a text)."""
@@ -50,28 +55,71 @@ class PrefixCounter:
         parts = _PART.findall(" " + text.replace("▁", " "))
         return parts, np.cumsum(np.fromiter(map(self.word, parts), np.int64, len(parts)))
 
-    def every(self, text: str) -> np.ndarray:
-        """Token count of each of the len(text) + 1 prefixes."""
-        parts, counts = self.table(text)
-        out, before = [0], 0
-        for k, (part, count) in enumerate(zip(parts, counts.tolist(), strict=True)):
-            out += [before + self.word(part[:j]) for j in range(k == 0, len(part))] + [count]
-            before = count
-        return np.array(out)
+    def merged(self, text: str) -> list[str]:
+        """The model's merges on ``text`` alone: the best-scored adjacent pair first, the leftmost of equals."""
+        out = list(text)
+        while True:
+            pairs = [(-score, k) for k in range(len(out) - 1) if (score := self.pieces.get(out[k] + out[k + 1])) is not None]
+            if not pairs:
+                return out
+            k = min(pairs)[1]
+            out[k : k + 2] = [out[k] + out[k + 1]]
+
+    def beside(self, a: str, b: str) -> bool:
+        """Whether the model leaves the tokens ``a`` and ``b`` apart where they meet (without ``a``: whether ``b`` is a token)."""
+        n = self.pairs.get((a, b))
+        if n is None:
+            if len(self.pairs) >= CACHED_WORDS:
+                self.pairs.clear()
+            n = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+        return n
+
+    def inside(self, part: str) -> np.ndarray:
+        """Tokens of a space and then ``part[:j]``, for each j from 0 to the length of ``part``.
+
+        A row of tokens is the model's own if each two neighbours are, so a prefix's last token is
+        the one that its start's last token may stand beside: one step for each character.
+        """
+        found = self.tables.get(part)
+        if found is not None:
+            return found
+        text = "▁" + part.replace(" ", "▁")
+        last, counts = [""], [0]
+        for i in range(1, len(text) + 1):
+            for n in range(min(self.longest_piece, i), 0, -1):
+                token = text[i - n : i]
+                if (n == 1 or token in self.pieces) and self.beside(last[i - n], token):
+                    last.append(token)
+                    counts.append(counts[i - n] + (1 if token in self.pieces else len(token.encode())))
+                    break
+            else:
+                break
+        if len(counts) <= len(text) or counts[-1] != self.word(part):  # not merges alone (no byte pieces, a changed character): each prefix by itself
+            counts = [0, *(self.word(part[:j]) for j in range(len(part) + 1))]
+        found = np.array(counts[1:], np.int64)
+        if len(part) <= CACHED_LENGTH:
+            if len(self.tables) >= CACHED_WORDS:
+                self.tables.clear()
+            self.tables[part] = found
+        return found
+
+    def every(self, parts: list[str], counts: np.ndarray) -> np.ndarray:
+        """Token count of each of the text's prefixes, from its table."""
+        if not parts:
+            return np.zeros(1, np.int64)
+        inside = [self.inside(part) for part in parts]
+        out = np.concatenate(inside) + np.repeat(np.concatenate(([0], counts[:-1])), [len(x) for x in inside])
+        out[0] = 0
+        return out
 
     def longest(self, parts: list[str], counts: np.ndarray, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens, from a text's table."""
         k = int(np.searchsorted(counts, budget, "right"))
         whole = sum(map(len, parts[:k])) + max(k - 1, 0)
         if k < len(parts):
-            word, left = parts[k], budget - (int(counts[k - 1]) if k else 0)
-            ends = range(k == 0, len(word))
-            if len(word) > CACHED_LENGTH:  # here only the ends of the word's own tokens are tried
-                pieces = self.model.encode(word, return_type="proto").pieces
-                ends = sorted({p.end for p in pieces[: max(left, 0) + 1] if 0 < p.end < len(word)})
-            for j in reversed(ends):
-                if self.word(word[:j]) <= left:
-                    return whole + (k > 0) + j
+            fits = np.flatnonzero(self.inside(parts[k])[k == 0 : len(parts[k])] <= budget - (int(counts[k - 1]) if k else 0))
+            if len(fits):
+                return whole + (k > 0) + int(fits[-1]) + (k == 0)
         return whole
 
 
@@ -90,7 +138,7 @@ def _counts(path: str, budget: int, store: str):
                     parts, counts = count.table(text or "")
                     total.append(int(counts[-1]) if len(counts) else 0)
                     fits.append(count.longest(parts, counts, budget))
-                    tables.append(counts if store == "word" else count.every(text or "") if store == "char" else None)
+                    tables.append(counts if store == "word" else count.every(parts, counts) if store == "char" else None)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(total, pa.int64()), pa.array(fits, pa.int64()), pa.array(tables, pa.list_(pa.int64()))], ["id", "n_bytes", "n_tokens", "fit_chars", "counts"])
 
     return run
@@ -101,9 +149,8 @@ def prefix_counts(docs: DataFrame, model: str, id: str = "doc_id", text: str = "
 
     ``counts`` is the stored prefix table: with store="word" the token count at each word's end
     (a word takes the space before it), with "char" at each of the length + 1 prefixes, with
-    "none" null (it is then used in the task and not kept); "char" costs the square of a word's
-    length. n_tokens is its last value and fit_chars, read from it as well, the longest prefix in
-    characters of at most ``budget`` tokens (in a word of over 48 characters only the ends of its tokens count).
+    "none" null (it is then used in the task and not kept). n_tokens is its last value and fit_chars, read from it as well, the longest prefix in
+    characters of at most ``budget`` tokens.
     Null or empty text has 0 tokens. Every row, also of a repeated or null id, gets its own; other
     columns are not read. There is no shuffle.
     """

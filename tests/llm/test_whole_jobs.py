@@ -2,7 +2,8 @@
 
 import random
 
-from spanloom.llm import passages
+from spanloom.llm import passages, tokencount
+from spanloom.llm.queries import COUNTING_VOCABULARY, vocabulary
 
 
 def test_equal_paragraphs_meet_behind_a_common_head(spark):
@@ -35,3 +36,18 @@ def test_near_copied_and_short_lines_are_found_whole(spark):
     # an 18-word paragraph that ends one word behind a passage is a near copy too
     got = {(r.doc_id, r.first_word, r.n_words - (r.n_words in (21, 61)), r.kept_id) for r in passages.repeated(docs).collect()}
     assert got == want
+
+
+def test_long_words_are_counted_at_every_prefix():
+    rng = random.Random(5)
+    count = tokencount.PrefixCounter(vocabulary(COUNTING_VOCABULARY))
+    pieces = sorted(p for p in count.pieces if p.isascii() and p.isalpha())
+    words = ["".join(rng.choices(pieces, k=30)) for _ in range(40)] + ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(80)) for _ in range(40)]
+    words += ["a" * 100, "ab" * 60, "é😀" * 40, " " * 60 + "x" * 60, "<s>" * 30, "1234567890" * 8]
+    for word in words:
+        for text in (word, "some words " + word):
+            library = [len(count.model.encode(text[:j])) for j in range(len(text) + 1)]
+            parts, counts = count.table(text)
+            assert count.every(parts, counts).tolist() == library
+            for budget in (1, 5, 12, 20, library[-1] - 1):
+                assert count.longest(parts, counts, budget) == max(j for j, n in enumerate(library) if n <= budget)
