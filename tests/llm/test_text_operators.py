@@ -36,6 +36,22 @@ def test_packing_equals_tokenizers(spark):
     assert packing.pack(docs.limit(0), vocabulary(PACKING_VOCABULARY)).collect() == []
 
 
+def test_packing_ids_of_long_runs_equal_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = vocabulary(PACKING_VOCABULARY)
+    library = Tokenizer.from_file(path)
+    for text in (" " * 3_000_000, "a" + "\n\t " * 1_000_000 + "b", "x" * 2_000_000, "z " * 200_000 + " " * 1_500 + "<|endoftext|>" + " " * 2_000 + "!", "." * 300_000 + " " * 999 + "a"):
+        assert np.array_equal(packing.token_ids(path, text), library.encode(text, add_special_tokens=False).ids)
+
+
+def test_packing_lays_equal_lengths_together(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(k, corpus.prose(rng, rng.randint(1, 900))) for k in range(200)], "doc_id long, text string").repartition(3)
+    for part in packing.pack(docs, vocabulary(PACKING_VOCABULARY), with_ids=False).rdd.glom().collect():
+        assert [r.bucket for r in part] == sorted(r.bucket for r in part)
+
+
 @pytest.mark.parametrize(("n", "want"), [(1, [1]), (1024, [1024]), (1023, [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]), (2050, [1024, 1024, 2])])
 def test_piece_lengths(n, want):
     assert packing.piece_lengths(n, 1024).tolist() == want
