@@ -58,8 +58,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tokencount.prefix_counts(table(spark, sf_dir, "documents"), vocabulary(COUNTING_VOCABULARY), budget=TOKEN_LIMIT, store="char")
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars", "counts")
+    counted = tokencount.prefix_counts(table(spark, sf_dir, "documents"), vocabulary(COUNTING_VOCABULARY), budget=TOKEN_LIMIT, store="steps")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars", "steps")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from spanloom.llm import passages, tokencount
 from spanloom.llm.queries import COUNTING_VOCABULARY, vocabulary
 
@@ -47,7 +48,17 @@ def test_long_words_are_counted_at_every_prefix():
     for word in words:
         for text in (word, "some words " + word):
             library = [len(count.model.encode(text[:j])) for j in range(len(text) + 1)]
-            parts, counts = count.table(text)
-            assert count.every(parts, counts).tolist() == library
-            for budget in (1, 5, 12, 20, library[-1] - 1):
-                assert count.longest(parts, counts, budget) == max(j for j, n in enumerate(library) if n <= budget)
+            assert np.cumsum(count.steps([text])[0]).tolist() == library
+
+
+def test_fit_chars_of_long_words_is_the_longest_prefix_that_fits(spark):
+    rng = random.Random(6)
+    vocabulary_ = vocabulary(COUNTING_VOCABULARY)
+    model = tokencount.counter(vocabulary_).model
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(40, 150))) for _ in range(100)]
+    docs = spark.createDataFrame([(k, "so " * (k % 3) + t) for k, t in enumerate(texts)], "doc_id long, text string")
+    library = {r.doc_id: [len(model.encode(r.text[:j])) for j in range(len(r.text) + 1)] for r in docs.collect()}
+    for budget in (3, 17, 33):
+        counted = tokencount.prefix_counts(docs, vocabulary_, budget=budget)
+        assert all(r.fit_chars == max(j for j, n in enumerate(library[r.doc_id]) if n <= budget) for r in counted.collect())
+    assert all(r.prefix_tokens == library[r.doc_id][min(60, len(library[r.doc_id]) - 1)] for r in tokencount.tokens_in_prefix(counted, 60).collect())
