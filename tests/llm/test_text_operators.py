@@ -180,19 +180,80 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 
 
 def test_html_extraction(spark):
-    bodies = [f"<h1>Title {k} &amp; more</h1><p>First  <b>part</b>\n {k}<br>x<p>Second &lt;b&gt; &#233;<ul><li>one<li>two</ul><div class=ad>Buy</div>" for k in range(6)]
+    bodies = [f"<h1>Title {k} &amp; more</h1><p>First  <b>part</b>\n {k}<br>x<p>Second {k} &lt;b&gt; &#233;<ul><li>one {k}<li>two {k}</ul><div class=ad>Buy</div>" for k in range(6)]
     pages = [(k, f"https://Host.example/{k}", PAGE.format(body=b)) for k, b in enumerate(bodies)]
     pages += [(10, None, "<p>alone</p>"), (11, "https://host.example/e", None), (12, "https://host.example/f", ""), (13, "no url", "plain text &amp; <i>more</i>"), (None, "https://host.example/g", PAGE.format(body="<p>same</p>")), (14, "https://other.example/", "<article><p>Kept <!-- not --> here<p>and here</article><p>outside"), (15, "https://other.example/x", "<div" * 50 + "<p>x"), (16, None, '<div id="header">Site name</div><div class="text"><h1 class="header">Head</h1><p>body</div>'), (17, None, '<article><div class="header">Own head</div><p>body</article>')]
     df = spark.createDataFrame([(*p, "t", 1) for p in pages], "page_id long, url string, html string, text string, host int")
     got = {r.page_id: r for r in html_extract.main_text(df).collect()}
     for k in range(6):
-        assert got[k].text == f"Title {k} & more\nFirst part {k} x\nSecond <b> é\none\ntwo"
+        assert got[k].text == f"Title {k} & more\nFirst part {k} x\nSecond {k} <b> é\none {k}\ntwo {k}"
     assert [got[k].text for k in (10, 11, 12, 13, 14)] == ["alone", "", "", "plain text & more", "Kept here\nand here"]
     assert got[16].text == "Head\nbody" and got[17].text == "Own head\nbody"
     assert got[None].text == "same" and len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got.values())
     assert html_extract.main_text(df.limit(0)).collect() == []
 
 
+def largest_matching(w, x):
+    """Simple tree matching written as its definition, by trying every ordered matching of children."""
+    if w.label != x.label:
+        return 0
+    left, right = w.children, html_extract.elements(x)
+
+    def rest(i, j, again):
+        if i == len(left) or j == len(right):
+            return 0
+        out = max(rest(i + 1, j, False), rest(i, j + 1, again))
+        own = largest_matching(left[i], right[j])
+        if own:
+            out = max(out, own + rest(i + 1, j + 1, False))
+            if left[i].repeats:
+                out = max(out, own + rest(i, j + 1, True))
+        return out
+
+    return 1 + rest(0, 0, False)
+
+
 def test_tree_matching_is_the_largest_ordered_one():
-    a, b = (html_extract.parse(x) for x in ("<div><p></p><ul><li></li><li></li></ul><p></p></div>", "<div><ul><li></li></ul><p></p><p></p></div>"))
-    assert html_extract.align(a, b)[0] == 5  # root, div, ul, li, p
+    rng = random.Random(12)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choices(("div", "ul", "section"), k=rng.randint(0, 3)))
+
+    for _ in range(300):
+        wrapper, page = html_extract.Part("#root"), html_extract.parse(tree(2))
+        html_extract._add(wrapper, html_extract.parse(tree(2)))
+        score, pairs = html_extract.align(wrapper, page)
+        assert score == largest_matching(wrapper, page) == len(pairs)
+        below = {id(c): p for _, p in pairs for c in html_extract.elements(p)}
+        for w, x in pairs[1:]:
+            assert w.label == x.label and any(p is below[id(x)] and w in v.children for v, p in pairs)
+
+
+SITE = """<body><div class="top">My site</div><div class="c{k}"><ul><li>Home<li>About us</ul></div><div class="wrap"><div class="text"><h1>{title}</h1><p>{one}</p>
+<div class="box">Subscribe to our letter and get it every week</div><p>{two}</p><div class="social-history"><p>{three}</p></div><p class="notice-board">{four}</p>
+<section class="comments"><p>{five}</p></section></div></div><div class="last">All rights reserved by the site and its people</div></body>"""
+
+
+def test_constant_texts_of_a_host_are_its_template(spark):
+    rng = random.Random(13)
+    parts = [{n: corpus.prose(rng, 12) for n in ("title", "one", "two", "three", "four", "five")} for _ in range(20)]
+    pages = [(k, f"https://site.example/{k}", SITE.format(k=k, **p)) for k, p in enumerate(parts)]
+    # copies of one article, on a host of their own and in number more than half, aren't template
+    pages += [(100 + k, f"https://copies.example/{k}", SITE.format(k=k, **parts[0])) for k in range(12)] + [(120 + k, f"https://copies.example/x{k}", SITE.format(k=k, **parts[k])) for k in range(1, 8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    want = {k: "\n".join(p[n] for n in ("title", "one", "two", "three", "four")) for k, p in enumerate(parts)}
+    assert all(got[k] == want[k] for k in want)
+    assert all(got[100 + k] == want[0] for k in range(12))
+    # without its host a page keeps the template
+    alone = {k: html_extract.extract(page, None) for k, _, page in pages[:20]}
+    assert all("Subscribe to our letter" in t for t in alone.values())
+
+
+def test_pages_of_any_depth_and_several_articles(spark):
+    deep = [(k, f"https://deep.example/{k}", tag * 30_000 + f"<p>text number {k}") for k, tag in enumerate(("<div>", "<b>", "<ul><li>", "<article><b>"))]
+    pages = [*deep, (10, "https://two.example/", "<nav>menu</nav><article><p>short</article><article><h2 id=related-work>Related</h2><p>the longer one of two</article><aside>x</aside>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert [got[k] for k in range(4)] == [f"text number {k}" for k in range(4)]
+    assert got[10] == "short\nRelated\nthe longer one of two"
