@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import save, unused
 from .text import LOWER, Words, slices, utf8
 
 #: Bytes that aren't part of a word: all of ASCII but digits and lower-case letters (texts are lower-cased before).
@@ -278,7 +278,11 @@ def contaminated(found: DataFrame):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that the rule calls contaminated; a null id is compared as a value."""
+    """``docs`` without the documents that the rule calls contaminated; a null id is compared as a value.
+
+    Rows that repeat an id go together if one of them is contaminated. A null or empty text stays, as does every
+    document without a benchmark; columns of any name stay as they are.
+    """
     found = hits(docs, benchmark, id, text)
-    gone = found.where(contaminated(found)).select(F.col(id).alias("_gone")).distinct()
-    return docs.join(gone, docs[id].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = found.where(contaminated(found)).select(F.col(id).alias(unused(docs, "_gone"))).distinct()
+    return docs.join(gone, F.col(id).eqNullSafe(F.col(gone.columns[0])), "left_anti")

@@ -16,9 +16,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id: str =
 
     The labels taken are those with the smallest hash of their id, so they don't follow the
     table's order and are the same in every run. Labels that are null or of a null id, and ids
-    labelled both ways, are left out; a repeated document counts once per row.
+    labelled both ways, are left out. Rows that repeat an id are one document, with the smallest of their
+    texts, so that ``bound`` holds for rows too.
     """
     known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null").where(~held_out("id"))
     known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     known = known.orderBy(F.xxhash64("id"), "id").limit(bound)
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
+    return rows.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label")

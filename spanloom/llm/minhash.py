@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop, save, small
+from .shared import drop, save, small, unused
 from .text import LOWER, Words, mix, shingle_sets, slices, utf8
 
 #: 24 bands of 4 values: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**4)**24, all but 3 in a million.
@@ -210,7 +210,8 @@ def across_components(tokens: DataFrame, percent: int) -> DataFrame:
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without near-duplicates: of each component only the smallest id stays.
 
-    Rows that repeat a kept id stay repeated; rows with a null id stay.
+    Rows that repeat a kept id stay repeated; rows with a null id, a null or an empty text stay; columns of
+    any name stay as they are; an empty table gives no rows.
     """
-    gone = near_duplicates(docs, id, text, shingle, percent).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
-    return docs.join(gone, docs[id] == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs, id, text, shingle, percent).where(F.col(id) != F.col("component_id")).select(F.col(id).alias(unused(docs, "_gone"))).distinct()
+    return docs.join(gone, F.col(id) == F.col(gone.columns[0]), "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .minhash import across_components, linked
-from .shared import save
+from .shared import save, unused
 from .text import LOWER, Words, grams, mix, slices, utf8
 
 #: Words of a paragraph and of its shingles, and shingles of the window whose minimum a paragraph begins with.
@@ -238,32 +238,36 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc, pa.int64())), pa.array(sides, pa.int32()), pa.array(places, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["id", "side", "at", "words"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "_text"):
-            data, offsets = utf8(batch.column("_text"))
-            words, out = Words(data, offsets), []
-            for k, spans in enumerate(batch.column("_spans").to_pylist()):
-                at, parts, first = int(offsets[k]), [], int(words.first[k])
-                for s in sorted(spans or [], key=lambda s: s["first_word"]):
-                    end = min(first + s["first_word"] + s["n_words"], int(words.first[k + 1]))
-                    if first + s["first_word"] >= end:
-                        continue
-                    a, b = int(words.starts[first + s["first_word"]]), int(words.ends[end - 1])
-                    parts.append(data[at:a].tobytes())
-                    at = b
-                parts.append(data[at : offsets[k + 1]].tobytes())
-                out.append(b"".join(parts).decode() if batch.column("_text")[k].is_valid else None)
-            names = [n for n in batch.schema.names if n not in ("_text", "_spans")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.string())], [*names, "_text"])
+def _cut(text: str, found: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text):
+                data, offsets = utf8(batch.column(text))
+                words, out = Words(data, offsets), []
+                for k, spans in enumerate(batch.column(found).to_pylist()):
+                    at, parts, first = int(offsets[k]), [], int(words.first[k])
+                    for s in sorted(spans or [], key=lambda s: s["first_word"]):
+                        end = min(first + s["first_word"] + s["n_words"], int(words.first[k + 1]))
+                        if first + s["first_word"] >= end:
+                            continue
+                        a, b = int(words.starts[first + s["first_word"]]), int(words.ends[end - 1])
+                        parts.append(data[at:a].tobytes())
+                        at = b
+                    parts.append(data[at : offsets[k + 1]].tobytes())
+                    out.append(b"".join(parts).decode() if batch.column(text)[k].is_valid else None)
+                names = [n for n in batch.schema.names if n != found]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text else batch.column(n) for n in names], names)
+
+    return run
 
 
 def cut_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """``docs`` with the spans of :func:`repeated` cut from their texts; every row and all other columns stay.
+    """``docs`` with the spans of :func:`repeated` cut from their texts; every row and all other columns, of any name, stay.
 
-    Rows of one id with different texts are each cut at those places of the spans that they have.
+    Rows of one id with different texts are each cut at those places of the spans that they have. Null
+    and empty texts stay as they are.
     """
-    spans = repeated(docs, id, text, percent).groupBy(F.col(id).alias("_id")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans"))
-    joined = docs.withColumnRenamed(text, "_text").join(spans, F.col(id) == F.col("_id"), "left").drop("_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return joined.mapInArrow(_cut, f"{schema}, _text string").withColumnRenamed("_text", text).select(*docs.columns)
+    own, found = unused(docs, "_id"), unused(docs, "_spans")
+    spans = repeated(docs, id, text, percent).groupBy(F.col(id).alias(own)).agg(F.collect_list(F.struct("first_word", "n_words")).alias(found))
+    joined = docs.join(spans, F.col(id) == F.col(own), "left").drop(own)
+    return joined.mapInArrow(_cut(text, found), docs.schema)

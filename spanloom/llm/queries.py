@@ -92,7 +92,7 @@ SELECT s.doc_id, len(g)::BIGINT n_shingles, component_id, s.doc_id = component_i
     "op5_line_dedup": """
 WITH n AS (SELECT source, count(*) n FROM documents WHERE source IS NOT NULL GROUP BY 1),
 l AS (SELECT DISTINCT doc_id, source, unnest(string_split(text, chr(10))) line FROM documents),
-f AS (SELECT l.source, line FROM l JOIN n USING (source) WHERE trim(line) <> '' GROUP BY l.source, line, n.n HAVING count(*) >= 5 AND 100 * count(*) > 10 * n.n),
+f AS (SELECT l.source, line FROM l JOIN n USING (source) WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY l.source, line, n.n HAVING count(*) >= 2 AND 100 * count(*) > 10 * n.n),
 k AS (SELECT source, list(line) ls FROM f GROUP BY 1),
 x AS (SELECT doc_id, d.source, text, string_split(text, chr(10)) ls, list_filter(string_split(text, chr(10)), lambda y: NOT coalesce(list_contains(k.ls, y), false)) kept FROM documents d LEFT JOIN k ON d.source = k.source)
 SELECT doc_id, source, coalesce(len(ls) - len(kept), 0)::BIGINT n_dropped, array_to_string(kept, chr(10)) "text" FROM x""",

@@ -40,3 +40,11 @@ def drop(df: DataFrame) -> None:
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if it is proven to stay under BROADCAST_BYTES, else unchanged (a shuffled join)."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -128,10 +128,11 @@ def test_line_dedup(spark):
     rng = random.Random(6)
     rows = [(k, "s1" if k % 2 else "s2", "\n".join([corpus.prose(rng, 5), "Menu | Home" if k % 4 == 1 else "", corpus.prose(rng, 4), "Menu | Home" if k % 8 == 1 else "x"])) for k in range(80)]
     rows += [(100, None, "Menu | Home"), (101, "s1", None), (102, "s1", ""), (103, "s1", "Menu | Home"), (103, "s1", "Menu | Home"), (104, "tiny", "a\nb"), (105, "tiny", "a\nb")]
-    docs = spark.createDataFrame([(*r, "lines", 1) for r in rows], "doc_id long, source string, text string, host string, n int")
+    rows += [(k, "s1", "\t\n \r\n\x0b\nonly once " + str(k)) for k in range(200, 240)]
+    docs = spark.createDataFrame([(*r, "lines", 1, "l", "k") for r in rows], "doc_id long, source string, text string, _host string, n int, _lines string, _kept string")
     pages = Counter(h for _, h, _ in rows if h is not None)
-    seen = Counter((h, line) for _, h, t in rows if h is not None and t is not None for line in set(t.split("\n")) if line.strip(" "))
-    drop = {k for k, n in seen.items() if n >= 5 and 100 * n > 10 * pages[k[0]]}
+    seen = Counter((h, line) for _, h, t in rows if h is not None and t is not None for line in set(t.split("\n")) if line.strip(" \t\n\x0b\x0c\r"))
+    drop = {k for k, n in seen.items() if n >= 2 and 100 * n > 10 * pages[k[0]]}
     assert ("s1", "Menu | Home") in drop and ("s2", "x") in drop
     want = Counter((i, h, t if t is None or h is None else "\n".join(x for x in t.split("\n") if (h, x) not in drop)) for i, h, t in rows)
     kept = line_dedup.drop_boilerplate(docs)
@@ -153,7 +154,7 @@ def test_passages(spark):
     common = " ".join(some(12))
     rows += [(100 + k, " ".join(some(50)) + "\n" + common) for k in range(5)]
     rows += [(300, rows[1][1]), (301, rows[1][1]), *corpus.ODD, (310, "that " * 3000), (311, "this " * 30 + "that " * 100)]
-    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, anchor int, places string")
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, _id int, _spans string")
     got = passages.repeated(docs).collect()
     assert {r.doc_id for r in got} == {4, 8, 12, 16, 20, 24, 28, 32, 36, 300, 301, 311}
     text = dict(rows)
