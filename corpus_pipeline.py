@@ -17,7 +17,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on over 10 % of a source's documents are cut; every document stays, and n_chars is that of the new text."""
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    kept = line_dedup.drop_boilerplate(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
