@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .text import slices
 
 #: Prefixes and words whose counts are remembered before the memory starts anew.
-KEPT_PREFIXES = 600_000
+KEPT_PREFIXES = 1_500_000
 #: Words up to this length have every prefix encoded by the model; in longer ones, where that takes the square of the length, the counts are built up character by character. Both are exact.
 ENCODED_LENGTH = 48
 _PART = re.compile(r" ( *[^ ]*)")
