@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .shared import small
 from .text import slices, utf8
 
 #: Longest context, in bytes.
-ORDER = 3
+ORDER = 4
 #: Documents of a language that its statistics are counted on, about.
 TRAIN_DOCS = 3_000
-#: Contexts' continuations seen fewer times over all languages aren't kept.
-LEAST_COUNT = 2
 
 _U = np.uint64
 
@@ -156,19 +155,20 @@ def _counts(order: int):
     return run
 
 
-def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, docs_per_language: int = TRAIN_DOCS, least: int = LEAST_COUNT) -> Model:
+def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, docs_per_language: int = TRAIN_DOCS) -> Model:
     """Statistics of each language in ``lang``, counted on the executors.
 
     Only rows with id, text and lang outside the held-out third (:func:`labelled.held_out`)
     count; of a language with more than ``docs_per_language`` such rows about that many do, chosen
-    by the hash of the id. The driver gets the distinct (order + 1)-byte strings, whose number the
-    alphabet bounds; of those over all languages seen fewer than ``least`` times it gets none.
+    by the hash of the id. All their counts are kept, those of 1 too, as the escapes rest on them: the driver
+    gets the distinct (order + 1)-byte strings of the sample, whose number its size bounds. An empty
+    table, or one without languages, gives a model that knows none.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("id is not null and text is not null and lang is not null").where(~labelled.held_out("id"))
     share = rows.groupBy("lang").agg((F.lit(float(docs_per_language)) / F.count("*")).alias("share"))
-    chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    chosen = rows.join(small(share, 64), "lang").where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     counted = chosen.select("lang", "text").mapInArrow(_counts(order), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    got = counted.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("all")).where(F.col("all") >= least).select("gram", F.explode("by").alias("x")).select("gram", "x.lang", "x.n").toArrow()
+    got = counted.toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
     gram = got.column("gram").to_numpy().view(np.uint64)
     column = np.searchsorted(names, got.column("lang").to_numpy().astype(str)) if names else np.zeros(0, int)
