@@ -16,7 +16,7 @@ from .text import LOWER, Words, slices, utf8
 APART = np.ones(256, bool)
 APART[48:58] = APART[97:123] = APART[128:] = False
 #: Bytes of benchmark text searched in one pass; a larger benchmark is searched in several.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Text positions whose place in the suffix order an index keeps: one in so many.
 SAMPLED = 8
 #: Bytes of text in a shard.
@@ -24,27 +24,24 @@ SHARD_BYTES = 4 << 20
 
 
 class Phrases:
-    """The windows of benchmark items, over the numbers (from 2) of the items' distinct words."""
+    """The windows of benchmark items, in packed arrays: for each window length the distinct windows, as numbers of the items' distinct words, and the items that have them."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
         raw = [text.encode() for _, text in items]
         words = Words(LOWER[np.frombuffer(b"".join(raw), np.uint8)], np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64))), APART)
         self.vocabulary, number = np.unique(words.hashes(), return_inverse=True)
-        by_length: dict[int, dict[tuple, set[int]]] = {}
-        for k, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
-            n = min(size, int(b - a))
-            for at in range(a, b - n + 1 if n else a):
-                by_length.setdefault(n, {}).setdefault(tuple((number[at : at + n] + 2).tolist()), set()).add(k)
-        self.names = [name for name, _ in items]
-        self.windows = [(n, np.array(list(found), np.int32).reshape(-1, n), [sorted(x) for x in found.values()]) for n, found in sorted(by_length.items())]
-        self.shortest = min(by_length, default=0)
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Each word's number; 1 if no item has it."""
-        if not len(self.vocabulary):
-            return np.ones(len(hashes), np.int32)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 2, 1).astype(np.int32)
+        number = number.astype(np.int32)
+        lengths = np.diff(words.first)
+        self.names, self.windows = [name for name, _ in items], []
+        for n in np.unique(np.minimum(lengths[lengths > 0], size)).tolist():
+            own = lengths >= size if n == size else lengths == n
+            places = np.where(own, lengths - n + 1, 0)
+            item = np.repeat(np.arange(len(items), dtype=np.int32), places)
+            at = np.repeat(words.first[:-1] - np.concatenate(([0], np.cumsum(places)[:-1])), places) + np.arange(int(places.sum()))
+            rows = np.ascontiguousarray(number[at[:, None] + np.arange(n)])
+            _, first, which = np.unique(rows.view(f"V{4 * n}").ravel(), return_index=True, return_inverse=True)
+            pair = np.unique(which.astype(np.int64) * len(items) + item)
+            self.windows.append((n, rows[first], np.searchsorted(pair // len(items), np.arange(len(first) + 1)), (pair % len(items)).astype(np.int32)))
 
 
 class WaveletRanks:
@@ -87,23 +84,42 @@ class WaveletRanks:
         return symbol, at - self.base[symbol]
 
 
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Positions in the order of the suffixes that begin there; the last symbol occurs once and is the smallest.
+
+    Prefix doubling: suffixes in order by their first h symbols are put in order by 2h with the ranks
+    of the suffixes h further on. Only those that still share a rank are sorted again.
+    """
+    n = len(symbols)
+    order = np.argsort(symbols, kind="stable")
+    rank, sorted_by = np.empty(n, np.int64), 1
+    head = np.concatenate(([True], symbols[order][1:] != symbols[order][:-1]))
+    while True:
+        rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        open_ = np.flatnonzero(~(head & np.append(head[1:], True)))
+        if not len(open_):
+            return order
+        at = order[open_]
+        behind = at + sorted_by
+        key = rank[at] * (n + 1) + np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        order[open_], key = at[by], key[by]
+        head[open_] = np.concatenate(([True], key[1:] != key[:-1]))
+        sorted_by *= 2
+
+
 class FMIndex:
     """An FM-index of a symbol sequence whose last symbol occurs once and is the smallest."""
 
     def __init__(self, symbols: np.ndarray, size: int):
         n = len(symbols)
-        order, key, sorted_by = np.argsort(symbols, kind="stable"), symbols.astype(np.int64), 1
-        rank = np.empty(n, np.int64)
-        while True:
-            in_order = key[order]
-            rank[order] = np.cumsum(np.concatenate(([0], in_order[1:] != in_order[:-1])))
-            if rank[order[-1]] == n - 1:
-                break
-            key = rank * (n + 1) + np.concatenate((rank[sorted_by:] + 1, np.zeros(min(sorted_by, n), np.int64)))
-            order, sorted_by = np.argsort(key), 2 * sorted_by
+        order = suffix_order(symbols)
         self.n, self.ranks = n, WaveletRanks(symbols[order - 1], size)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=size))))
-        self.sampled = np.where(order % SAMPLED == 0, order, -1)
+        kept = order % SAMPLED == 0
+        packed = np.packbits(np.concatenate((kept, np.zeros(64 - n % 64, bool))), bitorder="little").view(np.uint64)
+        self.marks = packed, np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)))
+        self.places = order[kept].astype(np.int32)
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row of ``patterns`` the range of suffixes that begin with it."""
@@ -120,10 +136,10 @@ class FMIndex:
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffix rows: walk back until a row whose position is kept."""
         out, steps, at = np.full(len(rows), -1, np.int64), 0, rows.copy()
-        left = np.arange(len(rows))
+        left, packed = np.arange(len(rows)), self.marks[0]
         while len(left):
-            known = self.sampled[at] >= 0
-            out[left[known]] = self.sampled[at[known]] + steps
+            known = (packed[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            out[left[known]] = self.places[WaveletRanks.ones(self.marks, at[known])] + steps
             left, at = left[~known], at[~known]
             if len(left):
                 symbol, rank = self.ranks.access(at)
@@ -131,43 +147,39 @@ class FMIndex:
         return out
 
 
-def shard_hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, number of words, phrase's items' row) of every occurrence of a window in a shard's texts.
+class Shard:
+    """A shard of texts with an FM-index over all its words, which any set of phrases can be searched in.
 
-    The index holds the shard's words that some item has, in runs at least as long as the shortest
-    window; each stretch between runs, and each text's end, is one separator. No occurrence can
-    lie elsewhere.
+    Symbols are the numbers (from 2) of the shard's distinct words; a 1 stands behind each text, so
+    that no occurrence spans two.
     """
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not phrases.shortest or not len(words.starts):
-        return none
-    number = phrases.numbers(words.hashes())
-    known = number > 1
-    head = np.ones(len(number), bool)
-    head[1:] = ~known[:-1] | (words.doc[1:] != words.doc[:-1])
-    head &= known
-    run = np.cumsum(head) - 1
-    lengths = np.bincount(run[known], minlength=int(head.sum()))
-    inside = known.copy()
-    inside[known] = lengths[run[known]] >= phrases.shortest
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return none
-    heads = np.flatnonzero(head[at])
-    symbols = np.append(np.insert(number[at], heads, 1), [1, 0]).astype(np.int32)
-    origin = np.append(np.insert(at, heads, -1), [-1, -1])
-    index = FMIndex(symbols, len(phrases.vocabulary) + 2)
-    starts, sizes, rows, base = [], [], [], 0
-    for n, patterns, _ in phrases.windows:
-        low, high = index.search(patterns)
-        found = np.flatnonzero(low < high)
-        count = (high - low)[found]
-        suffix = np.repeat(low[found], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        starts.append(origin[index.locate(suffix)])
-        sizes.append(np.full(len(suffix), n))
-        rows.append(np.repeat(found, count) + base)
-        base += len(patterns)
-    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(rows)
+
+    def __init__(self, words: Words):
+        self.vocabulary, number = np.unique(words.hashes(), return_inverse=True)
+        ends = words.first[1:]
+        self.index = FMIndex(np.append(np.insert(number + 2, ends, 1), 0).astype(np.int32), len(self.vocabulary) + 2)
+        self.word_at = np.append(np.insert(np.arange(len(number)), ends, -1), -1)
+
+    def occurrences(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, number of words, phrase) of every occurrence of a window."""
+        none = np.zeros(0, np.int64)
+        starts, sizes, rows, base = [none], [none], [none], 0
+        symbol = np.zeros(len(phrases.vocabulary), np.int64)
+        if len(self.vocabulary):
+            at = np.minimum(np.searchsorted(self.vocabulary, phrases.vocabulary), len(self.vocabulary) - 1)
+            symbol = np.where(self.vocabulary[at] == phrases.vocabulary, at + 2, 0)
+        for n, windows, _, _ in phrases.windows:
+            patterns = symbol[windows]
+            whole = np.flatnonzero((patterns > 0).all(1))  # a word that the shard lacks has no occurrence
+            low, high = self.index.search(patterns[whole])
+            found = np.flatnonzero(low < high)
+            count = (high - low)[found]
+            suffix = np.repeat(low[found], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            starts.append(self.word_at[self.index.locate(suffix)])
+            sizes.append(np.full(len(suffix), n))
+            rows.append(np.repeat(whole[found], count) + base)
+            base += len(windows)
+        return np.concatenate(starts), np.concatenate(sizes), np.concatenate(rows)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -183,17 +195,20 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _hits(shared, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = shared.value
-        items_of = [items for _, _, items in phrases.windows for items in items]
+        # of the windows of all lengths in a row, the range of each one's items
+        items_of = np.concatenate([np.zeros(0, np.int32), *(items for *_, items in phrases.windows)])
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(first) for _, _, first, _ in phrases.windows)])
+        ends = np.cumsum(sizes)
         for whole in batches:
             for batch in slices(whole, limit=SHARD_BYTES):
                 data, offsets = utf8(batch.column("text"))
                 words = Words(LOWER[data], offsets, APART)
-                start, size, row = shard_hits(words, phrases)
+                start, size, row = Shard(words).occurrences(phrases)
                 spans: dict[int, list] = {}
                 items: dict[int, set] = {}
                 for d, a, n, r in zip(words.doc[start].tolist(), start.tolist(), size.tolist(), row.tolist(), strict=True):
                     spans.setdefault(d, []).append((a, a + n))
-                    items.setdefault(d, set()).update(items_of[r])
+                    items.setdefault(d, set()).update(items_of[ends[r] - sizes[r] : ends[r]].tolist())
                 columns = {k: [] for k in ("word_spans", "byte_spans", "items")}
                 for d in range(batch.num_rows):
                     merged = _merge(spans.get(d, []))
@@ -214,11 +229,12 @@ def blocks(benchmark: DataFrame, id: str, text: str, limit: int = BLOCK_BYTES) -
     """The items in lists of at most ``limit`` bytes of text (or of one longer item)."""
     block, size = [], 0
     for row in benchmark.select(F.col(id).cast("string"), F.col(text)).where(F.col(id).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
-        if block and size + len(row[1]) > limit:
+        own = len(row[1].encode())
+        if block and size + own > limit:
             yield block
             block, size = [], 0
         block.append((row[0], row[1]))
-        size += len(row[1].encode())
+        size += own
     yield block
 
 
@@ -231,8 +247,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     ids of the items that occur. Null or empty texts have no words; items of null id or text are no items; with no
     items nothing is hit. Other columns of either table are not read.
 
-    A task indexes its documents in shards and looks up all windows of a block of items, which
-    reaches it as a broadcast of bounded size; a benchmark of more than one block is taken in
+    A task builds an FM-index over all words of its documents, shard by shard, and searches it backwards for all
+    windows of a block of items, which reaches it as a broadcast of bounded size (packed arrays of some 60 bytes a
+    word, so 4 MB of text make about 50 MB); a benchmark of more than one block is taken in
     several passes whose spans are merged by document (rows equal in id and text then count as
     copies and come back as often as they were). Documents are never shuffled in a pass.
     """
