@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, save
+from .shared import BROADCAST_BYTES, drop, save
+
+#: A node with more links than this is a hub: its links are joined where they lie, by a broadcast of the hubs, and not sent to one task.
+HUB = 500
+
+
+def _with_least(edges: DataFrame, least) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (u, v) with m, the ``least`` of their u's links, and the table (u, m, n) of these, combined before the shuffle."""
+    least = save(edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), "least")
+    hubs = least.where(F.col("n") > HUB).select("u", "m")
+    count = hubs.count()
+    if not count or count * 64 > BROADCAST_BYTES:
+        return edges.join(least.select("u", "m"), "u"), least
+    others = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return others.unionByName(edges.join(F.broadcast(hubs), "u")), least
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,8 +27,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star rounds: every node hands its larger neighbours to the smallest
     node it knows, until the links are stars around each component's smallest node. A round is
-    two grouped minima (combined before the shuffle) and two equi-joins; no neighbourhood is
-    ever gathered in a task. Rounds grow with the logarithm of the longest path. Links with a
+    two grouped minima (combined before the shuffle) and two equi-joins, in which a hub's links stay where they
+    are; no neighbourhood is ever gathered in a task. Rounds grow with the logarithm of the longest path. Links with a
     null end or equal ends are ignored; an empty table gives an empty table.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u <> v").distinct()
@@ -24,13 +38,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if tuple(now) == state or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         state = tuple(now)
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = save(large.distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
+        both, least = _with_least(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), F.least(F.min("v"), F.col("u")))
+        large = save(both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        drop(least)
+        both, least = _with_least(large, F.min("v"))
+        small = both.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         new = save(small.distinct(), "links")
-        drop(edges)
-        drop(large)
+        for used in (least, edges, large):
+            drop(used)
         edges = new
