@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,24 +47,35 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def sketches(sets: list[np.ndarray], bands: int, rows: int) -> dict[str, pa.Array]:
+    """Size, two digests and band hashes of each set; an empty one has no digest and no bands."""
+    size = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(size)
+    digest, digest2, band = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64), np.zeros((len(sets), bands), np.int64)
+    if len(full):
+        own = [sets[k] for k in full]
+        flat, heads, low = np.concatenate(own), np.cumsum(size[full]) - size[full], np.uint64((1 << 63) - 1)
+        digest[full] = (np.bitwise_xor.reduceat(mix(flat + np.uint64(11)), heads) & low).view(np.int64)
+        digest2[full] = (np.add.reduceat(flat, heads) & low).view(np.int64)
+        band[full] = signatures(own, bands, rows)
+    empty = size == 0
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(empty, 0, bands))), pa.int32()), pa.array(band[~empty].ravel()))
+    return {"n_shingles": pa.array(size), "digest": pa.array(digest, mask=empty), "digest2": pa.array(digest2), "bands": lists}
+
+
+def packed(sets: list[np.ndarray]) -> pa.Array:
+    """Each set's hashes, KEPT_BYTES of each in a row."""
+    return pa.array([np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :]).tobytes() for s in sets], pa.binary())
+
+
 def _sketch(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 data, offsets = utf8(batch.column("text"))
                 words = Words(LOWER[data], offsets)
-                sets = shingle_sets(words, words.hashes(), shingle)
-                full = [k for k, s in enumerate(sets) if len(s)]
-                band: list = [None] * len(sets)
-                digest: list = [None] * len(sets)
-                if full:
-                    for k, row in zip(full, signatures([sets[k] for k in full], bands, rows), strict=True):
-                        band[k] = row
-                        digest[k] = int((np.bitwise_xor.reduce(mix(sets[k] + np.uint64(11))) & np.uint64((1 << 63) - 1)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.int64()), pa.array([int(s.sum(dtype=np.uint64) & np.uint64((1 << 63) - 1)) for s in sets], pa.int64()), pa.array(band, pa.list_(pa.int64()))],
-                    ["id", "n_shingles", "digest", "digest2", "bands"],
-                )
+                found = sketches(shingle_sets(words, words.hashes(), shingle), bands, rows)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *found.values()], ["id", *found])
 
     return run
 
@@ -76,8 +87,7 @@ def _sets(shingle: int):
                 data, offsets = utf8(batch.column("text"))
                 words = Words(LOWER[data], offsets)
                 sets = shingle_sets(words, words.hashes(), shingle)
-                kept = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :]).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(kept, pa.binary())], ["id", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int32()), packed(sets)], ["id", "n", "shingles"])
 
     return run
 
@@ -121,14 +131,23 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     them in a small bucket, and in a larger one those that an exact prefix filter leaves. Every join is an
     equi-join that adaptive execution may split; no bucket is gathered in a task.
     """
-    sketch, nodes = linked(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), shingle, percent, bands, rows)
+    key, texts = docs.schema[id].dataType.simpleString(), docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    sketch = save(texts.mapInArrow(_sketch(shingle, bands, rows), SKETCH.format(key)), "sketch")
+    nodes = linked(sketch, lambda wanted: texts.join(small(wanted, 16), "id", "left_semi").mapInArrow(_sets(shingle), f"id {key}, n int, shingles binary"), percent)
     return sketch.select("id", "n_shingles").join(nodes.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("id").alias(id), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def linked(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """The sketch of ``docs`` (id, text), and (node, component) of the ids that have a link; ids are of any ordered type."""
-    key = docs.schema["id"].dataType.simpleString()
-    sketch = save(docs.mapInArrow(_sketch(shingle, bands, rows), f"id {key}, n_shingles long, digest long, digest2 long, bands array<long>"), "sketch")
+#: Columns of a sketch, with the type of its ids.
+SKETCH = "id {}, n_shingles long, digest long, digest2 long, bands array<long>"
+
+
+def linked(sketch: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, component) of the ids that have a link; ids are of any ordered type.
+
+    sketch: a saved table of :func:`sketches` with ids; sets_of: gives the full sets (id, n,
+    shingles) of a table of ids, in the form of :func:`packed`.
+    """
+    key = sketch.schema["id"].dataType.simpleString()
     usable = sketch.where("id is not null and n_shingles > 0")
     classes = usable.groupBy("n_shingles", "digest", "digest2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.min_by("bands", "id").alias("bands"))
     classes = save(classes, "classes")
@@ -139,7 +158,7 @@ def linked(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
     wanted = member.select("id").distinct()
-    sets = save(docs.join(small(wanted, 16), "id", "left_semi").mapInArrow(_sets(shingle), f"id {key}, n int, shingles binary"), "sets")
+    sets = save(sets_of(wanted), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
@@ -161,7 +180,7 @@ def linked(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -
     nodes = save(components(links.union(copies)), "components")
     for used in (classes, member, sets, placed, across):
         drop(used)
-    return sketch, nodes
+    return nodes
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

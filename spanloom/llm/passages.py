@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .minhash import across_components, linked
-from .shared import save, unused
+from .minhash import SKETCH, across_components, linked, packed, sketches
+from .shared import BROADCAST_BYTES, drop, save, unused
 from .text import LOWER, Words, grams, mix, slices, utf8
 
 #: Words of a paragraph and of its shingles, and shingles of the window whose minimum a paragraph begins with.
 #: Any passage of WINDOW + PARAGRAPH - 1 = 49 words has a whole paragraph that begins alike wherever the passage stands.
 PARAGRAPH, SHINGLE, WINDOW = 18, 5, 32
-#: MinHash bands of whole lines and blocks: a pair of similarity 0.8 is missed with a probability of (1 - 0.8**2)**10, 4 in 100,000.
-BANDS, ROWS = 10, 2
+#: MinHash bands of whole lines and blocks: a pair of similarity 0.8 is missed by all with a probability of (1 - 0.8**2)**6, 2 in 1,000, and one of 0.9 of 5 in 100,000.
+BANDS, ROWS = 6, 2
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -102,24 +102,48 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows(batch, words, doc[far], at[far], whole, whole, length, (whole >> np.uint64(32)).astype(np.uint32).view(np.int32)[:, None], np.ones((len(far), 1), bool))
 
 
-def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines, and blocks of several lines between blank ones, of at least PARAGRAPH words: place, length in words, text."""
+def _units(data: np.ndarray, words: Words) -> np.ndarray:
+    """[first, end) in words of the lines, and of the blocks of several lines between blank ones, of at least PARAGRAPH words."""
+    breaks = np.concatenate(([0], np.cumsum(data == 10)))
+    behind = breaks[words.starts[1:]] - breaks[words.ends[:-1]]
+    new = words.doc[1:] != words.doc[:-1]
+    lines, blocks = (np.concatenate(([0], np.flatnonzero(new | (behind >= n)) + 1, [len(words.starts)])) for n in (1, 2))
+    units = np.unique(np.concatenate([np.stack((x[:-1], x[1:]), 1) for x in (lines, blocks)]), axis=0)
+    return units[units[:, 1] - units[:, 0] >= PARAGRAPH]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sketch of each text's lines and blocks; a unit's id is (id, place, length in words)."""
     for whole in batches:
         for batch in slices(whole):
             data, offsets = utf8(batch.column("text"))
             words = Words(LOWER[data], offsets)
-            if len(words.starts) < PARAGRAPH:
+            units = _units(data, words) if len(words.starts) >= PARAGRAPH else np.zeros((0, 2), np.int64)
+            if not len(units):
                 continue
-            breaks = np.concatenate(([0], np.cumsum(data == 10)))
-            behind = breaks[words.starts[1:]] - breaks[words.ends[:-1]]
-            new = words.doc[1:] != words.doc[:-1]
-            lines, blocks = (np.concatenate(([0], np.flatnonzero(new | (behind >= n)) + 1, [len(words.starts)])) for n in (1, 2))
-            units = np.unique(np.concatenate([np.stack((x[:-1], x[1:]), 1) for x in (lines, blocks)]), axis=0)
-            units = units[units[:, 1] - units[:, 0] >= PARAGRAPH]
-            doc = words.doc[units[:, 0]]
-            text = [data[a:b].tobytes() for a, b in zip(words.starts[units[:, 0]].tolist(), words.ends[units[:, 1] - 1].tolist(), strict=True)]
+            shingles, doc = grams(words.hashes(), SHINGLE), words.doc[units[:, 0]]
+            found = sketches([np.unique(shingles[a : b - SHINGLE + 1]) for a, b in units.tolist()], BANDS, ROWS)
             unit = pa.StructArray.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(units[:, 0] - words.first[doc], pa.int32()), pa.array(units[:, 1] - units[:, 0], pa.int32())], ["id", "place", "length"])
-            yield pa.RecordBatch.from_arrays([unit, pa.array(text, pa.binary()).cast(pa.string())], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([unit, *found.values()], ["id", *found])
+
+
+def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets of those lines and blocks of each text that its column ``units`` asks for."""
+    for whole in batches:
+        for batch in slices(whole):
+            data, offsets = utf8(batch.column("text"))
+            words = Words(LOWER[data], offsets)
+            hashes, wanted, sets = words.hashes(), [], []
+            shingles = grams(hashes, SHINGLE) if len(hashes) >= SHINGLE else hashes[:0]
+            own = {tuple(x) for x in (_units(data, words).tolist() if len(words.starts) >= PARAGRAPH else [])}
+            for k, units in enumerate(batch.column("units").to_pylist()):
+                for u in units:
+                    a = int(words.first[k]) + u["place"]
+                    if (a, a + u["length"]) in own:  # of several rows of one id, those that have the unit
+                        wanted.append(u)
+                        sets.append(np.unique(shingles[a : a + u["length"] - SHINGLE + 1]))
+            ids = batch.schema.field("units").type.value_type
+            yield pa.RecordBatch.from_arrays([pa.array(wanted, ids), pa.array([len(x) for x in sets], pa.int32()), packed(sets)], ["id", "n", "shingles"])
 
 
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -166,8 +190,16 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     links = stars.union(_across(banded, stars, percent)).union(copies)
     group = components(links)
     gone = paragraph.join(group, "node").where("component.id < node.id").select("id", "length", F.explode("places").alias("a"), F.col("component").alias("kept"))
-    units = rows.mapInArrow(_written, f"id struct<id:{key},place:int,length:int>, text string")
-    alike = linked(units, SHINGLE, percent, BANDS, ROWS)[1].where("component.id < node.id")
+    unit = f"struct<id:{key},place:int,length:int>"
+    sketch = save(rows.mapInArrow(_sketch, SKETCH.format(unit)), "sketch")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        by_text = wanted.groupBy("id.id").agg(F.collect_list("id").alias("units"))
+        by_text = F.broadcast(by_text) if wanted.count() * 64 <= BROADCAST_BYTES else by_text
+        return rows.join(by_text, "id").select("text", "units").mapInArrow(_unit_sets, f"id {unit}, n int, shingles binary")
+
+    alike = linked(sketch, sets_of, percent).where("component.id < node.id")
+    drop(sketch)
     gone = gone.union(alike.select("node.id", "node.length", "node.place", "component"))
     low = F.min(F.struct("a", F.col("kept.place").alias("kept_at"), F.col("kept.id").alias("kept_id")))
     high = F.max(F.struct((F.col("a") + F.col("length")).alias("b"), (F.col("kept.place") + F.col("kept.length")).alias("kept_at"), F.col("kept.id").alias("kept_id")))
