@@ -1,14 +1,15 @@
-"""Command line: audit, availability, freebusy and shared. Exit 0: complete, 2: incomplete or a limit, 1: bad input."""
+"""Command line: audit, availability, freebusy and shared. Exit 0: complete, 2: incomplete or (but for audit) a limit, 1: bad input or a limit of audit."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 from collections.abc import Callable
+from dataclasses import fields
 
 from pyspark.errors import PySparkException
 
-from .errors import InputError, LimitError, Limits
+from .errors import InputError, LimitError, Limits, deadline
 from .plans.audit import Audit
 from .plans.availability import Availability, Shared, busy_periods
 from .session import session
@@ -41,6 +42,9 @@ def _parser() -> argparse.ArgumentParser:
     shared.add_argument("manifest")
     for p in (audit, export, free, shared):
         p.add_argument("--output", required=True)
+        p.add_argument("--max-seconds", type=float, help="cancel the run after so long")
+        for f in fields(Limits):
+            p.add_argument("--max-" + f.name.replace("_", "-"), type=int, help=f"at most, and by default, {f.default}")
     return top
 
 
@@ -49,26 +53,14 @@ def _bundle(folder: str, title: str, content: dict, limits: Limits) -> None:
 
 
 def run(argv: list[str] | None = None, spark_of: Callable = session, limits: Limits | None = None) -> int:
-    args, limits = _parser().parse_args(argv), limits or Limits()
+    args = _parser().parse_args(argv)
     try:
-        if args.command == "freebusy":
-            uid, created = freebusy.export_identity(args.uid, args.created_at)
-            lo, hi, found = busy_periods(spark_of(), args.calendars, args.start, args.end, args.timezone, args.all_day, limits, args.max_intervals)
-            report.write_bundle(args.output, {"busy.ics": freebusy.calendar_bytes(found, lo, hi, uid, created)})
-            return 0
-        if args.command == "audit":
-            audit = Audit(spark_of(), args.calendars, args.start, args.end, args.timezone, args.floating_timezone, limits)
-            content = report.audit_report(audit, not args.no_overlaps)
-        elif args.command == "availability":
-            spec, source = specs.load_spec(args.spec, args.max_days)
-            content = report.availability_report(Availability(spark_of(), args.calendars, spec, limits, args.max_days), args.include_overlaps) | {"spec_source": source}
-        else:
-            content = report.shared_report(Shared(spark_of(), args.manifest, limits))
-        _bundle(args.output, args.command, content, limits)
-        return 0 if content["complete"] else 2
+        limits = limits or Limits.lowered(**{f.name: getattr(args, f"max_{f.name}") for f in fields(Limits)})
+        with deadline(spark_of(), args.max_seconds):
+            return _run(args, spark_of, limits)
     except (LimitError, freebusy.IncompleteExport) as e:
         print(e, file=sys.stderr)
-        return 2
+        return 1 if args.command == "audit" else 2
     except (InputError, ValueError, OSError, PySparkException) as e:
         print(e, file=sys.stderr)
         return 1
@@ -76,5 +68,23 @@ def run(argv: list[str] | None = None, spark_of: Callable = session, limits: Lim
         return 130
 
 
+def _run(args: argparse.Namespace, spark_of: Callable, limits: Limits) -> int:
+    if args.command == "freebusy":
+        uid, created = freebusy.export_identity(args.uid, args.created_at)
+        lo, hi, found = busy_periods(spark_of(), args.calendars, args.start, args.end, args.timezone, args.all_day, limits, args.max_intervals)
+        report.write_bundle(args.output, {"busy.ics": freebusy.calendar_bytes(found, lo, hi, uid, created)})
+        return 0
+    if args.command == "audit":
+        audit = Audit(spark_of(), args.calendars, args.start, args.end, args.timezone, args.floating_timezone, limits)
+        content = report.audit_report(audit, not args.no_overlaps)
+    elif args.command == "availability":
+        spec, source = specs.load_spec(args.spec, args.max_days)
+        content = report.availability_report(Availability(spark_of(), args.calendars, spec, limits, args.max_days), args.include_overlaps) | {"spec_source": source}
+    else:
+        content = report.shared_report(Shared(spark_of(), args.manifest, limits))
+    _bundle(args.output, args.command, content, limits)
+    return 0 if content["complete"] else 2
+
+
 if __name__ == "__main__":
     sys.exit(run())

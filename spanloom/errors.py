@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, fields
+
+from pyspark.errors import PySparkException
+from pyspark.sql import SparkSession
 
 
 class InputError(Exception):
@@ -26,13 +33,50 @@ class Limits:
     report_bytes: int | None = 8 << 20
     periods: int | None = 20_000
     windows: int | None = 20_000
+    candidates: int | None = 200_000
+    resolutions: int | None = 200_000
 
     @classmethod
     def none(cls) -> Limits:
-        return cls(*[None] * 9)
+        return cls(*[None] * len(fields(cls)))
+
+    @classmethod
+    def lowered(cls, **given: int | None) -> Limits:
+        """Limits with some of them lowered; those given as None stay. They are positive and never over the usual ones."""
+        for name, value in given.items():
+            if value is not None and not 0 < value <= getattr(cls(), name):
+                raise InputError(f"the {name} limit is positive and at most {getattr(cls(), name)}")
+        return cls(**{k: v for k, v in given.items() if v is not None})
 
     def check(self, name: str, count: int) -> int:
         most = getattr(self, name)
         if most is not None and count > most:
             raise LimitError(f"{name} limit exceeded ({most})")
         return count
+
+
+@contextmanager
+def deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """Cancels the Spark jobs of its body, and raises, once it has run for ``seconds``."""
+    if seconds is None:
+        yield
+        return
+    context, group, late = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, "bounded in time", True)
+    timer.start()
+    try:
+        yield
+    except (PySparkException, InputError):
+        if not late.is_set():
+            raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+    if late.is_set():
+        raise LimitError(f"seconds limit exceeded ({seconds})")

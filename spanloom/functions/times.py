@@ -6,6 +6,8 @@ TIMESTAMP_NTZ with a zone name beside it. The session zone is UTC (:func:`spanlo
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,15 +113,24 @@ def decode_time(raw: Column | str, tzid: Column | str) -> tuple[Column, Column]:
     return kind, F.when(kind.isNotNull(), value)
 
 
+#: Units of a duration in seconds, and the orders they may stand in: weeks alone, or days, then times behind a T.
+_UNITS = {"W": 7 * DAY, "D": DAY, "H": 3600, "M": 60, "S": 1}
+_CLOCK = ["T" + "".join(c) for n in (1, 2, 3) for c in combinations("HMS", n)]
+_FORMS = ["PW", "PD", *(head + c for head in ("P", "PD") for c in _CLOCK)]
+
+
 def duration(raw: Column | str) -> Column:
-    """Seconds of a period's duration (weeks alone, or days and times), null unless over 0 and up to 90 days."""
-    raw = _col(raw)
-    part = lambda unit, head: F.coalesce(F.nullif(F.regexp_extract(raw, f"{head}[^T]*?([0-9]+){unit}", 1), F.lit("")).try_cast("bigint"), F.lit(0))
-    timed = lambda unit: F.coalesce(F.nullif(F.regexp_extract(raw, f"T.*?([0-9]+){unit}", 1), F.lit("")).try_cast("bigint"), F.lit(0))
-    fits = F.regexp_like(raw, F.lit(r"^\+?P(?:[0-9]{1,9}W|(?=[0-9T])(?:[0-9]{1,9}D)?(?:T(?=[0-9])(?:[0-9]{1,9}H)?(?:[0-9]{1,9}M)?(?:[0-9]{1,9}S)?)?)$"))
-    skips = F.regexp_like(raw, F.lit("H[0-9]+S"))
-    total = part("W", "P") * 7 * DAY + part("D", "P") * DAY + timed("H") * 3600 + timed("M") * 60 + timed("S")
-    return F.when(fits & ~skips & (total > 0) & (total <= 90 * DAY), total)
+    """Seconds of a period's duration (weeks alone, or days and times), null unless over 0 and up to 90 days.
+
+    Read as pairs of a number of up to nine digits and a unit, whose units in a row have to be a known form.
+    """
+    body = F.regexp_replace(_col(raw), r"^\+", "")
+    pairs = F.regexp_extract_all(body, F.lit("[0-9]{1,9}[WDHMS]"), F.lit(0))
+    number = lambda p: F.substr(p, F.lit(1), F.length(p) - 1).cast("bigint")
+    factor = lambda p: F.element_at(F.create_map(*(F.lit(x) for kv in _UNITS.items() for x in kv)), F.right(p, F.lit(1)))
+    total = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda t, p: t + number(p) * factor(p))
+    form = F.regexp_replace(body, "[0-9]{1,9}([WDHMS])", "$1")
+    return F.when(form.isin(_FORMS) & ~F.regexp_like(body, F.lit("[0-9]{10}")) & (F.size(pairs) == F.length(F.translate(form, "PT", ""))) & (total > 0) & (total <= 90 * DAY), total)
 
 
 def hours(secs: Column | str) -> Column:

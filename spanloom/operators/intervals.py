@@ -38,12 +38,10 @@ def _runs(df: DataFrame, keys: Sequence[str], touching: bool = True) -> DataFram
 
 def islands(df: DataFrame, by: Sequence[str] = (), width: int = DAY) -> DataFrame:
     """The union of each owner's intervals: disjoint intervals (by, s, e), those that touch merged."""
-    pieces = _runs(cut(df.select(*by, "s", "e"), width), [*by, "_b"]).drop("_b")
-    if by:
-        return _runs(pieces, by)
-    # without owners only what reaches a bucket's edge, at most two pieces of each, meets in one place
+    pieces = _runs(cut(df.select(*by, "s", "e"), width), [*by, "_b"])
+    # only what reaches a bucket's edge, at most two pieces of each, meets in one place (the null group); the rest stays with its bucket
     edge = (F.col("s") % width == 0) | (F.col("e") % width == 0)
-    return pieces.where(~edge).unionByName(_runs(pieces.where(edge), by))
+    return _runs(pieces.withColumn("_b", F.when(~edge, F.col("_b"))), [*by, "_b"]).drop("_b")
 
 
 def union_seconds(df: DataFrame, by: Sequence[str] = (), width: int = DAY) -> DataFrame:
@@ -67,14 +65,27 @@ def overlap_join(left: DataFrame, right: DataFrame, by: Sequence[str] = (), widt
     return sides[0].join(sides[1], [*by, "_b"]).where(shared).drop("_b")
 
 
-def overlap_pairs(df: DataFrame, by: Sequence[str] = (), id: str = "id", width: int = DAY // 4) -> DataFrame:
+def typical_width(df: DataFrame) -> int:
+    """A bucket width for joins: the mean length of the intervals, a minute at least; cut to it, they are three pieces each on average at most."""
+    mean = df.where("e > s").agg(F.avg(F.col("e") - F.col("s"))).first()[0]
+    return max(60, int(mean or 0))
+
+
+def overlap_pairs(df: DataFrame, by: Sequence[str] = (), id: str = "id", width: int | None = None) -> DataFrame:
     """Each unordered pair of an owner's intervals that share time, once: (by, left, right, s, e, seconds).
 
     The left one is the first by (s, e, id). Intervals that only touch are no pair; rows equal
-    in all three are not compared with themselves.
+    in all three are not compared with themselves. Of two that share time the later begins inside the
+    earlier: so an interval looks for others in the buckets that it meets, and is found only in the one where it
+    begins. Without a ``width`` buckets are as wide as the intervals are long, so that a bucket of short ones
+    holds few.
     """
-    rows = df.select(*by, F.col(id).alias("id"), "s", "e")
-    pairs = overlap_join(rows, rows, by, width).where(F.struct("l_s", "l_e", "l_id") < F.struct("r_s", "r_e", "r_id"))
+    width = width or typical_width(df)
+    rows = df.select(*by, F.col(id).alias("id"), "s", "e").where("e > s")
+    held = rows.select(*by, *(F.col(c).alias(f"l_{c}") for c in ("id", "s", "e")), F.explode(F.sequence(_bucket(F.col("s"), width), _bucket(F.col("e") - 1, width))).alias("_b"))
+    begun = rows.select(*by, *(F.col(c).alias(f"r_{c}") for c in ("id", "s", "e")), _bucket(F.col("s"), width).alias("_b"))
+    later = (F.col("r_s") >= F.col("l_s")) & (F.col("r_s") < F.col("l_e")) & (F.struct("l_s", "l_e", "l_id") < F.struct("r_s", "r_e", "r_id"))
+    pairs = held.join(begun, [*by, "_b"]).where(later)
     s, e = F.greatest("l_s", "r_s"), F.least("l_e", "r_e")
     return pairs.select(*by, F.col("l_id").alias("left"), F.col("r_id").alias("right"), s.alias("s"), e.alias("e"), (e - s).alias("seconds"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
@@ -58,30 +58,33 @@ def expand(masters: DataFrame, until_local: Column, key: str = "family") -> Data
     event), interval, byday (weekdays from 0; null: the start's), wkst, count, until_utc
     (inclusive, null: none). ``until_local``: the last civil time asked for. Each day's civil time is the start's;
     one that the zone skips is no occurrence and takes no number, but the first always is one.
-    COUNT counts before exclusions. A master of null start or zone has no occurrence; masters are
-    repeated by an explode that is bounded by the horizon, the rule's interval and its end, and
-    numbered within their key only.
+    COUNT counts before exclusions. A master of null start or zone has no occurrence. Each row's
+    days are an array (steps of the interval, or its weeks by their weekdays, up to the horizon and the
+    rule's end) that is filtered, cut at COUNT and exploded with its numbers: nothing is shuffled, and a
+    key's masters are numbered each for itself.
     """
     spec = {f.name for f in masters.schema.fields}
     opt = lambda c, kind: F.col(c) if c in spec else F.lit(None).cast(kind)
     rows = masters.select(key, "local", "zone", opt("freq", "string").alias("freq"), F.coalesce(opt("interval", "int"), F.lit(1)).alias("interval"), opt("byday", "array<int>").alias("byday"), F.coalesce(opt("wkst", "int"), F.lit(0)).alias("wkst"), opt("count", "int").alias("count"), opt("until_utc", "timestamp_ntz").alias("until_utc"), until_local.alias("horizon"))
-    daily = F.col("freq") == "DAILY"
-    step = F.when(daily, F.col("interval")).otherwise(1)
+    daily, weekly = F.col("freq") == "DAILY", F.col("freq") == "WEEKLY"
     reach = F.datediff(F.least("horizon", F.coalesce(F.col("until_utc") + F.expr("INTERVAL '2' DAY"), F.col("horizon"))), F.col("local"))
     reach = F.when(F.col("freq").isNull(), 0).otherwise(F.greatest(reach, F.lit(0)))
     # every daily candidate but the skipped ones counts, so twice the days that COUNT asks for are more than needed
     reach = F.when(daily & F.col("count").isNotNull(), F.least(reach, (2 * F.col("count") + 8).cast("bigint") * F.col("interval"))).otherwise(reach).cast("int")
-    days = rows.where("local is not null and zone is not null").withColumn("day", F.explode(F.sequence(F.lit(0), reach, step.cast("int"))))
-    days = days.withColumn("at", F.timestamp_add("DAY", F.col("day"), F.col("local")))
     start_day = times.weekday("local")
-    offset = F.pmod(start_day - F.col("wkst"), F.lit(7))
-    week = F.floor((F.col("day") + offset) / 7)
-    weekly = (week % F.col("interval") == 0) & F.array_contains(F.coalesce("byday", F.array(start_day)), times.weekday("at"))
-    seed = F.col("day") == 0
-    days = days.where(seed | (daily | weekly) & times.exists("at", F.col("zone"))).withColumn("utc", times.to_utc("at", F.col("zone")))
-    days = days.where(seed | F.col("until_utc").isNull() | (F.col("utc") <= F.col("until_utc")))
-    ordinal = F.row_number().over(Window.partitionBy(key).orderBy("at"))
-    return days.withColumn("ordinal", ordinal).where(F.col("count").isNull() | (F.col("ordinal") <= F.col("count"))).where(F.col("at") <= F.col("horizon")).select(key, "ordinal", F.col("at").alias("local"), "utc")
+    rows = rows.where("local is not null and zone is not null").withColumns({"reach": reach, "offset": F.pmod(start_day - F.col("wkst"), F.lit(7)), "byday": F.coalesce("byday", F.array(start_day))})
+    by_day = F.sequence(F.lit(0), F.col("reach"), F.col("interval"))
+    weeks = F.sequence(F.lit(0), F.col("reach") + F.col("offset"), 7 * F.col("interval"))
+    by_week = F.flatten(F.transform(weeks, lambda w: F.transform("byday", lambda d: w + F.pmod(d - F.col("wkst"), F.lit(7)) - F.col("offset"))))
+    by_week = F.array_sort(F.array_union(F.array(F.lit(0)), F.filter(by_week, lambda d: d.between(0, F.col("reach")))))
+    rows = rows.withColumn("days", F.when(daily, by_day).when(weekly, by_week).otherwise(F.array(F.lit(0))))
+    at = lambda d: F.timestamp_add("DAY", d, F.col("local"))
+    placed = F.transform("days", lambda d: F.struct(d.alias("day"), at(d).alias("at"), times.to_utc(at(d), F.col("zone")).alias("utc")))
+    seen = lambda x: (x["day"] == 0) | (times.from_utc(x["utc"], F.col("zone")) == x["at"]) & (F.col("until_utc").isNull() | (x["utc"] <= F.col("until_utc")))
+    rows = rows.withColumn("placed", placed).withColumn("found", F.filter("placed", seen))
+    counted = F.when(F.col("count").isNotNull(), F.slice("found", F.lit(1), F.greatest(F.col("count"), F.lit(0)))).otherwise(F.col("found"))
+    out = rows.select(key, "horizon", F.posexplode(counted).alias("pos", "x"))
+    return out.where(F.col("x.at") <= F.col("horizon")).select(key, (F.col("pos") + 1).alias("ordinal"), F.col("x.at").alias("local"), F.col("x.utc").alias("utc"))
 
 
 def without(occurrences: DataFrame, excluded: DataFrame, key: str = "family", on: str = "utc") -> DataFrame:

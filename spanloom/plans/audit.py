@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 import zoneinfo
 from collections.abc import Sequence
 from functools import cached_property
@@ -13,8 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import InputError, Limits
 from ..functions import times
 from ..operators import intervals as iv
-from ..operators import recurrence
-from ..operators.families import dedup
+from ..operators import families, recurrence
 from ..operators.rollup import daily, day_spine
 from ..session import prepare
 from ..sources import ics
@@ -26,7 +26,9 @@ _TEXT, _SNAPSHOTS, _CARDINALITY, _CANCELLED, _MASTER, _NONRECURRING, _OVERRIDE,
 
 def _window(start: str, end: str, zone: str) -> tuple[datetime.date, datetime.date, int, int]:
     try:
-        first, last = (datetime.datetime.strptime(x, "%Y-%m-%d").date() for x in (start, end))
+        if not all(re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}", x) for x in (start, end)):
+            raise ValueError("dates are like 2026-01-31")
+        first, last = (datetime.date.fromisoformat(x) for x in (start, end))
         local = [datetime.datetime.combine(d, datetime.time(), zoneinfo.ZoneInfo(zone)) for d in (first, last)]
     except (ValueError, KeyError, OSError) as e:
         raise InputError(f"bad window or zone: {e}") from None
@@ -39,7 +41,7 @@ class Audit:
     """Occurrences, issues and rollups of calendar files within [start, end) on ``zone``'s civil days.
 
     Every attribute is a DataFrame, computed on first use and then kept as a table in the shared folder. Times in seconds are UTC; dates of all-day occurrences are
-    civil. Records are known by ``ord`` (file number times a million plus the event's number in it).
+    civil. Records are known by ``ord`` (the file's number in the upper and the event's number in it in the lower 32 bits).
     """
 
     def __init__(self, spark: SparkSession, paths: Sequence[str], start: str, end: str, zone: str, floating_timezone: str | None = None, limits: Limits | None = None):
@@ -53,9 +55,16 @@ class Audit:
         self.limits.check("files", len(self.paths))
 
     @cached_property
+    def _read(self) -> tuple[DataFrame, DataFrame]:
+        files, events = ics.read(self.spark, self.paths, self.floating or self.zone, self.floating is not None)
+        size, longest = files.agg(F.sum("bytes"), F.max("longest")).first()
+        self.limits.check("input_bytes", size or 0)
+        self.limits.check("line_bytes", longest or 0)
+        return files, events
+
+    @property
     def files(self) -> DataFrame:
-        found = ics.read(self.spark, self.paths, self.floating or self.zone, self.floating is not None, self.limits.line_bytes)
-        return save(found, "files")
+        return self._read[0]
 
     @cached_property
     def sources(self) -> DataFrame:
@@ -64,8 +73,10 @@ class Audit:
     @cached_property
     def records(self) -> DataFrame:
         """Every event as a record: identity, decoded values and what is wrong with it alone."""
-        rows = self.files.select("source_ord", F.explode("events").alias("x")).select("source_ord", (F.col("source_ord") * 1_000_000 + F.col("x.no")).cast("bigint").alias("ord"), "x.*")
-        return save(rows, "records")
+        rows = self._read[1].withColumn("ord", F.shiftleft(F.col("source_ord").cast("bigint"), 32) + F.col("no"))
+        rows = save(rows, "records")
+        self.limits.check("events", rows.count())
+        return rows
 
     def _decoded(self, start: Column, transp: Column, status: Column, rule: bool) -> dict[str, Column]:
         """bad, duration and the rule's end, for a record with the given (perhaps inherited) values."""
@@ -95,7 +106,7 @@ class Audit:
     @cached_property
     def unique(self) -> DataFrame:
         """The first record of each UID and fingerprint."""
-        first = dedup(self.members, source="source_ord").select(F.col("canonical").alias("ord"))
+        first = families.dedup(self.members, source="source_ord").select(F.col("canonical").alias("ord"))
         return save(self.members.join(first, "ord", "left_semi"), "unique")
 
     @cached_property
@@ -140,18 +151,20 @@ class Audit:
         """(uid, code, coded): the first failed check of every family that has one; such a family has no occurrence."""
         fail = lambda df, check, code, ord="ord", sub=None: df.select("uid", F.lit(check).alias("check"), F.col(ord).alias("ord"), (F.lit(0) if sub is None else sub).alias("sub"), (F.lit(code) if isinstance(code, str) else code).alias("code"))
         m = self.members
-        sets = m.groupBy("uid", "source_ord").agg(F.array_sort(F.collect_set("fingerprint")).alias("set"), F.min("ord").alias("ord")).groupBy("uid").agg(F.countDistinct("set").alias("n"), F.min("ord").alias("ord")).where("n > 1")
-        counts = self.unique.groupBy("uid").agg(F.count_if(~F.col("is_override")).alias("masters"), F.min("ord").alias("ord")).where("masters <> 1")
+        sets = families.snapshot_conflicts(m, source="source_ord").withColumn("ord", F.lit(0).cast("bigint"))
+        # overrides of one instance are told apart below, by the order of the checks of each
+        counts = families.cardinality_errors(self.unique.withColumn("identity", F.col("rid.value"))).where("code <> 'conflicting_overrides'").withColumn("ord", F.lit(0).cast("bigint"))
         over = self.overrides
         found = [
             fail(m.where("bad_text"), _TEXT, "unsupported_event"),
             fail(sets, _SNAPSHOTS, "conflicting_snapshots"),
-            fail(counts, _CARDINALITY, F.when(F.col("masters") == 0, "orphan_override").otherwise("conflicting_masters")),
+            fail(counts, _CARDINALITY, F.col("code")),
             fail(over.where("m_cancelled"), _CANCELLED, "cancelled_master_with_overrides"),
             fail(self.masters.where("bad and not cancelled"), _MASTER, "unsupported_event"),
             fail(over.where("not m_recurs"), _NONRECURRING, "nonrecurring_master"),
             fail(over.where("problem is not null"), _OVERRIDE, F.col("problem.code"), sub=F.col("problem.sub")),
             fail(self._orphans, _EXPANSION, "orphan_override"),
+            fail(self._exhausted.withColumn("ord", F.lit(0).cast("bigint")), _EXPANSION, "resolution_limit", sub=F.lit(-1)),
         ]
         out = found[0]
         for df in found[1:]:
@@ -170,10 +183,29 @@ class Audit:
         rows = m.select("uid", F.col("start.value").alias("local"), F.col("start.zone").alias("zone"), F.when(F.col("recurs"), F.col("rule.freq")).alias("freq"), "rule.interval", "rule.byday", "rule.wkst", "rule.count", "until_utc", F.greatest(horizon, "through", "start.value").alias("stop"))
         return save(recurrence.expand(rows, F.col("stop"), "uid"), "candidates")
 
+    @cached_property
+    def _resolutions(self) -> DataFrame:
+        """(uid, n): instances that are looked at to resolve a family's overrides."""
+        return save(self._candidates.join(self.overrides.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.count("*").alias("n")), "resolutions")
+
+    @cached_property
+    def _exhausted(self) -> DataFrame:
+        """Families whose overrides would take more than the limit to resolve; the whole family is excluded."""
+        most = self.limits.resolutions
+        return self._resolutions.where(F.lit(False) if most is None else F.col("n") > most).select("uid")
+
+    @cached_property
+    def counters(self) -> dict[str, int]:
+        """How much was read, expanded, resolved and found."""
+        resolved = self._resolutions.agg(F.sum("n")).first()[0] or 0
+        out = {"events": self.records.count(), "candidates": self._candidates.count() - resolved, "resolutions": resolved, "occurrences": self.occurrences.count()}
+        self.limits.check("candidates", out["candidates"])
+        return out
+
     @cached_property
     def _orphans(self) -> DataFrame:
         real = self.overrides.where("problem is null and not m_bad and not m_cancelled and m_recurs")
-        return real.join(self._candidates.select("uid", F.col("local").alias("identity")), ["uid", "identity"], "left_anti")
+        return recurrence.orphans(real, self._candidates.select("uid", F.col("local").alias("identity")), "uid", "identity")
 
     @cached_property
     def _resolved(self) -> DataFrame:
@@ -182,7 +214,7 @@ class Audit:
         kept = recurrence.without(good, excluded, "uid")
         own = self.masters.select("uid", F.col("ord").alias("master"), F.col("start.kind").alias("kind"), F.col("start.zone").alias("zone"), F.col("duration").alias("m_duration"), F.col("transparent").alias("m_transparent"))
         new = self.overrides.select("uid", F.col("identity").alias("local"), F.col("ord").alias("override"), F.col("start.utc").alias("new_s"), F.col("duration").alias("new_duration"), "cancelled", F.col("transparent").alias("new_transparent"), F.col("start.kind").alias("new_kind"))
-        rows = kept.join(own, "uid").join(new, ["uid", "local"], "left")
+        rows = recurrence.resolve(kept.join(own, "uid"), new, "uid", "local")
         zoned = F.concat(F.date_format(F.col("local").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), times.offset_text(times.seconds("local"), times.seconds("utc")))
         identity = F.when(F.col("kind") == "date", F.date_format(F.col("local").cast("timestamp"), "yyyy-MM-dd")).when(F.col("kind") == "floating", F.date_format(F.col("local").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("kind") == "utc", times.iso("utc")).otherwise(zoned)
         return save(rows.withColumn("recurrence_id", identity), "resolved")
@@ -204,7 +236,9 @@ class Audit:
         civil = lambda d: int(datetime.datetime.combine(d, datetime.time(), datetime.timezone.utc).timestamp())
         lo, hi = (F.when(F.col("all_day"), civil(d)).otherwise(t) for d, t in ((self.first, self.lo), (self.last, self.hi)))
         cut = iv.clip(rows.withColumns({"cs": F.col("s"), "ce": F.col("e")}), lo, hi, "cs", "ce")
-        return save(cut, "occurrences")
+        cut = save(cut, "occurrences")
+        self.limits.check("occurrences", cut.count())
+        return cut
 
     @cached_property
     def timed(self) -> DataFrame:
@@ -228,7 +262,9 @@ class Audit:
 
     @cached_property
     def overlaps(self) -> DataFrame:
-        return iv.overlap_pairs(self.timed)
+        pairs = save(iv.overlap_pairs(self.timed), "pairs")
+        self.limits.check("pairs", pairs.count())
+        return pairs
 
     @cached_property
     def daily(self) -> DataFrame:

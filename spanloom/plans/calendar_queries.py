@@ -49,6 +49,20 @@ def recur_daily(spark: SparkSession, d: str) -> DataFrame:
     return _daily(spark, d)
 
 
+@query(
+    """WITH m AS (SELECT o_orderkey family, 1 + o_custkey % 2 n, CASE o_custkey % 3 WHEN 0 THEN TIMESTAMP '2024-03-01 02:30:00' WHEN 1 THEN TIMESTAMP '2024-10-25 01:30:00' ELSE TIMESTAMP '2024-03-03 23:45:00' END + to_days(CAST(o_orderkey % 12 AS INTEGER)) start FROM orders),
+c AS (SELECT family, x, start + to_days(CAST(x * n AS INTEGER)) l FROM (SELECT *, unnest(range(20)) x FROM m)),
+f AS (SELECT family, l, l + to_hours(CASE WHEN l >= TIMESTAMP '2024-03-10 03:00:00' AND l < TIMESTAMP '2024-11-03 02:00:00' THEN 4 ELSE 5 END) utc FROM c WHERE x = 0 OR NOT (l >= TIMESTAMP '2024-03-10 02:00:00' AND l < TIMESTAMP '2024-03-10 03:00:00'))
+SELECT family, ordinal, l AS "local", utc FROM (SELECT family, CAST(row_number() OVER (PARTITION BY family ORDER BY l) AS INTEGER) ordinal, l, utc FROM f) WHERE ordinal <= 9"""
+)
+def recur_daily_dst(spark: SparkSession, d: str) -> DataFrame:
+    """Daily rules of New York over both changes of the clock: a time that the zone skips is no occurrence and takes no number."""
+    k = F.col("o_custkey") % 3
+    first = F.when(k == 0, "2024-03-01 02:30:00").when(k == 1, "2024-10-25 01:30:00").otherwise("2024-03-03 23:45:00").cast("timestamp_ntz")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("family"), F.timestamp_add("DAY", (F.col("o_orderkey") % 12).cast("int"), first).alias("local"), F.lit("America/New_York").alias("zone"), F.lit("DAILY").alias("freq"), (1 + F.col("o_custkey") % 2).cast("int").alias("interval"), F.lit(9).alias("count"))
+    return recurrence.expand(rows, F.timestamp_add("DAY", F.lit(60), "local"))
+
+
 @query(
     f"""WITH m AS (SELECT o_orderkey family, {_START} start, 1 + o_custkey % 2 n, CASE o_custkey % 3 WHEN 0 THEN [6, 1] WHEN 1 THEN [0, 2, 4] ELSE [isodow(o_orderdate) - 1] END wd, CASE WHEN o_custkey % 3 = 0 THEN 6 ELSE 0 END w FROM orders),
 c AS (SELECT family, x, start + to_days(CAST(x AS INTEGER)) utc, n, wd, (isodow(start) - 1 - w + 7) % 7 off FROM (SELECT *, unnest(range(57)) x FROM m)),
@@ -207,6 +221,18 @@ def gap_witnesses(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("before", "after")})
 
 
+@query(
+    f"""WITH {EVENTS}, {_TEAM_WINDOWS}, {_team_busy()}, g AS ({gaps_sql('SELECT * FROM w', 'SELECT * FROM busy', 'team, date', 600)})
+SELECT date, count(*) AS shown, sum(e - s)::BIGINT AS shown_seconds, (SELECT count(*) FROM g) AS gaps, (SELECT sum(e - s)::BIGINT FROM g) AS gap_seconds FROM g GROUP BY date"""
+)
+def filter_gap_dates(spark: SparkSession, d: str) -> DataFrame:
+    """What each choice of the availability date filter shows, beside the totals, which stay unfiltered."""
+    found = iv.gaps(_team_windows(spark, d), intervals(spark, d), "date", ["team"], 600)
+    shown = found.groupBy("date").agg(F.count("*").alias("shown"), F.sum("seconds").alias("shown_seconds"))
+    total = shown.agg(F.sum("shown").alias("gaps"), F.sum("shown_seconds").alias("gap_seconds"))
+    return shown.join(F.broadcast(total), F.lit(True))
+
+
 @query(f"WITH {EVENTS}, {_TEAM_WINDOWS.replace('FROM events)))', 'FROM events) WHERE isodow(date) <= 5))')}, {_team_busy(kinds=chr(107) + 'ind NOT IN ($$view$$, $$error$$)')}, g AS ({gaps_sql('SELECT * FROM w', 'SELECT * FROM busy', 'team, date', 1800)}) SELECT *, e - s AS seconds FROM g")
 def availability_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Gaps of half an hour in working windows beside what is opaque and not cancelled."""
@@ -282,7 +308,12 @@ def freebusy_lines(spark: SparkSession, d: str) -> DataFrame:
     return freebusy.lines(_periods(spark, d), ["owner"])
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE l AS (SELECT doc_id, 'DESCRIPTION:' || regexp_replace(text, '[\r\n]+', '\\n', 'g') line FROM documents),
+p AS (SELECT doc_id, line rest, 75 room, 0 n, '' part FROM l UNION ALL
+SELECT doc_id, substr(rest, k + 1), 74, n + 1, left(rest, k) FROM (SELECT *, list_max(list_filter(range(1, 76), lambda x: strlen(left(rest, x)) <= room))::INTEGER k FROM p WHERE rest <> ''))
+SELECT l.doc_id, f.folded FROM l LEFT JOIN (SELECT doc_id, string_agg(part, chr(13) || chr(10) || ' ' ORDER BY n) folded FROM p WHERE n > 0 GROUP BY doc_id) f USING (doc_id)"""
+)
 def ics_fold(spark: SparkSession, d: str) -> DataFrame:
     """``documents`` as folded content lines (tests compare with a byte-wise fold)."""
     rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("DESCRIPTION:"), F.regexp_replace("text", "[\\r\\n]+", "\\\\n")).alias("line"))

@@ -15,6 +15,17 @@ from .registry import EVENTS, HI, LO, gaps_sql, intervals, islands_sql, level_sq
 _FIRST, _LAST = datetime.date(2024, 1, 5), datetime.date(2024, 1, 20)
 
 
+def _spine(rows: DataFrame, zone: str = "UTC") -> DataFrame:
+    """The days of a zone from the first to the last that ``rows`` meet."""
+    date = lambda t: F.to_date(times.from_utc(times.instant(t), zone))
+    first, last = rows.agg(F.min(date(F.col("s"))), F.max(date(F.greatest("s", F.col("e") - 1)))).first()
+    return day_spine(rows.sparkSession, first, last + datetime.timedelta(1), zone)
+
+
+def _spine_sql(offset: int) -> str:
+    return f"k AS (SELECT unnest(range((SELECT min(s) - {offset} FROM ev) // 86400, (SELECT max(greatest(s, e - 1)) - {offset} FROM ev) // 86400 + 1)) k), d AS (SELECT DATE '1970-01-01' + CAST(k AS INTEGER) AS date, k * 86400 + {offset} lo, k * 86400 + {offset} + 86400 hi FROM k)"
+
+
 @query(
     f"""WITH {EVENTS}, r AS (SELECT id, CASE WHEN id % 4 = 2 AND id % 3 = 0 THEN 'America/New_York' WHEN id % 7 = 3 THEN 'America/New_York' END tz, CASE id % 6 WHEN 0 THEN strftime(make_timestamp(s * 1000000), '%Y%m%d') WHEN 1 THEN strftime(make_timestamp(s * 1000000), '%Y%m%dT%H%M%SZ')
 WHEN 5 THEN strftime(make_timestamp(s * 1000000), '%Y-%m-%d') WHEN 4 THEN '20241301T000000' ELSE strftime(make_timestamp(s * 1000000), '%Y%m%dT%H%M%S') END raw FROM ev),
@@ -39,7 +50,7 @@ def iso_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {EVENTS}, r AS (SELECT id, (e - s) % 60 x, CASE id % 8 WHEN 0 THEN 'P' || (id % 14) || 'W' WHEN 1 THEN 'P' || (id % 100) || 'D' WHEN 2 THEN 'PT' || ((e - s) % 60) || 'M' WHEN 3 THEN 'P1DT2H' || ((e - s) % 60) || 'M4S' WHEN 4 THEN 'P1W1D' WHEN 5 THEN 'PT' || ((e - s) % 60) || 'H5S' WHEN 6 THEN 'PT' || ((e - s) % 60) || 'S' ELSE 'T5M' END raw FROM ev),
-v AS (SELECT id, CASE id % 8 WHEN 0 THEN (id % 14) * 604800 WHEN 1 THEN (id % 100) * 86400 WHEN 2 THEN x * 60 WHEN 3 THEN 86400 + 7200 + x * 60 + 4 WHEN 6 THEN x END secs FROM r)
+v AS (SELECT id, CASE id % 8 WHEN 0 THEN (id % 14) * 604800 WHEN 1 THEN (id % 100) * 86400 WHEN 2 THEN x * 60 WHEN 3 THEN 86400 + 7200 + x * 60 + 4 WHEN 5 THEN x * 3600 + 5 WHEN 6 THEN x END secs FROM r)
 SELECT id, CASE WHEN secs > 0 AND secs <= 7776000 THEN secs END::BIGINT AS seconds FROM v"""
 )
 def duration_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +150,7 @@ def busy_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _daily_sql(offset: int) -> str:
-    return f"""WITH {EVENTS}, d AS (SELECT DATE '2024-01-05' + CAST(k AS INTEGER) AS date, {LO + offset} + k * 86400 lo, {LO + offset} + k * 86400 + 86400 hi FROM range(15) r(k)),
+    return f"""WITH {EVENTS}, {_spine_sql(offset)},
 t AS (SELECT DISTINCT team FROM ev), h AS (SELECT team, date, greatest(s, lo) s, least(e, hi) e FROM ev JOIN d ON s < hi AND e > lo AND e > s),
 u AS (SELECT team, date, sum(e - s) secs FROM ({islands_sql('SELECT team, date, s, e FROM h', 'team, date')}) GROUP BY 1, 2),
 c AS (SELECT team, date, count(*) n FROM ev JOIN d ON (s < hi AND e > lo AND e > s) OR (s = e AND s >= lo AND s < hi) GROUP BY 1, 2)
@@ -148,16 +159,51 @@ SELECT team, date, (hi - lo)::BIGINT AS day_seconds, coalesce(secs, 0)::BIGINT A
 
 @query(_daily_sql(0))
 def daily_occupancy(spark: SparkSession, d: str) -> DataFrame:
-    return daily(intervals(spark, d), day_spine(spark, _FIRST, _LAST), ("team",))
+    rows = intervals(spark, d)
+    return daily(rows, _spine(rows), ("team",))
 
 
 @query(_daily_sql(18000))
 def daily_occupancy_local(spark: SparkSession, d: str) -> DataFrame:
-    return daily(intervals(spark, d), day_spine(spark, _FIRST, _LAST, "America/New_York"), ("team",))
+    rows = intervals(spark, d)
+    return daily(rows, _spine(rows, "America/New_York"), ("team",))
+
+
+#: 55 days, which bring the events over the change to summer time on 10 March 2024.
+_TO_MARCH = 55 * times.DAY
+_NY_SUMMER = "CASE WHEN {0} >= TIMESTAMP '2024-03-10 03:00:00' AND {0} < TIMESTAMP '2024-11-03 02:00:00' THEN 4 ELSE 5 END"
+
+
+@query(
+    f"""WITH ev AS (SELECT team, s + {_TO_MARCH} s, e + {_TO_MARCH} e FROM (WITH {EVENTS} SELECT * FROM ev)), k AS (SELECT unnest(range((SELECT min(s) - 18000 FROM ev) // 86400, (SELECT max(greatest(s, e - 1)) - 14400 FROM ev) // 86400 + 1)) k),
+d AS (SELECT date, epoch(date)::BIGINT + 3600 * CASE WHEN date <= DATE '2024-03-10' THEN 5 ELSE 4 END lo, epoch(date)::BIGINT + 86400 + 3600 * CASE WHEN date < DATE '2024-03-10' THEN 5 ELSE 4 END hi FROM (SELECT DATE '1970-01-01' + CAST(k AS INTEGER) AS date FROM k)),
+h AS (SELECT date, greatest(s, lo) s, least(e, hi) e FROM ev JOIN d ON s < hi AND e > lo AND e > s), u AS (SELECT date, sum(e - s) secs FROM ({islands_sql('SELECT date, s, e FROM h', 'date')}) GROUP BY 1),
+c AS (SELECT date, count(*) n FROM ev JOIN d ON (s < hi AND e > lo AND e > s) OR (s = e AND s >= lo AND s < hi) GROUP BY 1)
+SELECT date, (hi - lo)::BIGINT AS day_seconds, coalesce(secs, 0)::BIGINT AS occupied_seconds, coalesce(n, 0)::BIGINT AS timed_occurrences, 0::BIGINT AS all_day_occurrences FROM d LEFT JOIN u USING (date) LEFT JOIN c USING (date)"""
+)
+def daily_occupancy_dst(spark: SparkSession, d: str) -> DataFrame:
+    """Days of New York in spring, one of which has 23 hours."""
+    rows = intervals(spark, d).select("team", (F.col("s") + _TO_MARCH).alias("s"), (F.col("e") + _TO_MARCH).alias("e"))
+    return daily(rows, _spine(rows, "America/New_York"))
+
+
+@query(f"WITH {EVENTS}, l AS (SELECT id, make_timestamp((s + id % 366 * 86400) * 1000000) l FROM ev) SELECT id, l + to_hours({_NY_SUMMER.format('l')}) AS utc, NOT (l >= TIMESTAMP '2024-03-10 02:00:00' AND l < TIMESTAMP '2024-03-10 03:00:00') AS is_real FROM l")
+def local_to_utc_dst(spark: SparkSession, d: str) -> DataFrame:
+    """Civil times of New York through a year: the gap takes the offset before it, the fold its first instant."""
+    at = intervals(spark, d).select("id", times.instant(F.col("s") + F.col("id") % 366 * times.DAY).alias("l"))
+    return at.select("id", times.to_utc("l", "America/New_York").alias("utc"), times.exists("l", F.lit("America/New_York")).alias("is_real"))
+
+
+@query(
+    f"""WITH {EVENTS}, u AS (SELECT id, make_timestamp((s + id % 366 * 86400) * 1000000) u FROM ev), o AS (SELECT id, u, CASE WHEN u >= TIMESTAMP '2024-03-10 07:00:00' AND u < TIMESTAMP '2024-11-03 06:00:00' THEN 4 ELSE 5 END h FROM u)
+SELECT id, strftime(u - to_hours(h), '%Y-%m-%dT%H:%M:%S') || '-0' || h || ':00' AS new_york FROM o"""
+)
+def local_projection_dst(spark: SparkSession, d: str) -> DataFrame:
+    return intervals(spark, d).select("id", times.local_text(times.instant(F.col("s") + F.col("id") % 366 * times.DAY), "America/New_York").alias("new_york"))
 
 
 @query(
-    f"""WITH {EVENTS}, d AS (SELECT DATE '2024-01-05' + CAST(k AS INTEGER) AS date, {LO} + k * 86400 lo, {LO} + k * 86400 + 86400 hi FROM range(15) r(k)),
+    f"""WITH {EVENTS}, {_spine_sql(0)},
 x AS (SELECT s, CASE WHEN id % 10 = 0 THEN s ELSE e END e FROM ev WHERE kind <> 'signup'),
 h AS (SELECT date, greatest(s, lo) s, least(e, hi) e FROM x JOIN d ON s < hi AND e > lo AND e > s), u AS (SELECT date, sum(e - s) secs FROM ({islands_sql('SELECT date, s, e FROM h', 'date')}) GROUP BY 1),
 c AS (SELECT date, count(*) n FROM x JOIN d ON (s < hi AND e > lo AND e > s) OR (s = e AND s >= lo AND s < hi) GROUP BY 1),
@@ -170,7 +216,7 @@ def daily_counts(spark: SparkSession, d: str) -> DataFrame:
     timed = rows.where("kind <> 'signup'").withColumn("e", F.when(F.col("id") % 10 == 0, F.col("s")).otherwise(F.col("e")))
     ds = F.to_date(times.instant("s"))
     all_day = rows.where("kind = 'signup'").select(ds.alias("ds"), F.date_add(ds, (1 + F.col("id") % 3).cast("int")).alias("de"))
-    return daily(timed, day_spine(spark, _FIRST, _LAST), (), all_day)
+    return daily(timed, _spine(intervals(spark, d)), (), all_day)
 
 
 def _pairs_sql(by: str) -> str:

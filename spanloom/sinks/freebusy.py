@@ -6,8 +6,8 @@ import datetime
 import re
 import uuid
 from collections.abc import Sequence
+from itertools import pairwise
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,25 +31,34 @@ def lines(merged: DataFrame, by: Sequence[str]) -> DataFrame:
     return merged.select(*by, number.alias("line_no"), text.alias("line"))
 
 
+def _fold_ends(bytes_of: list[int]) -> list[int]:
+    """Where, in characters, each part of a line ends whose characters have so many bytes: 75 bytes fit into the first and 74 into each further one."""
+    ends, room = [], 75
+    for k, n in enumerate(bytes_of):
+        if n > room:
+            ends.append(k)
+            room = 74
+        room -= n
+    return [*ends, len(bytes_of)]
+
+
 def fold_line(line: str) -> str:
     """A content line in parts of at most 75 octets, never cut inside a character; later parts begin with a space, which counts."""
-    raw, out, room = line.encode(), [], 75
-    while len(raw) > room:
-        cut = room
-        while raw[cut] & 0xC0 == 0x80:
-            cut -= 1
-        out.append(raw[:cut])
-        raw, room = raw[cut:], 74
-    return b"\r\n ".join([*out, raw]).decode()
+    ends = _fold_ends([len(c.encode()) for c in line])
+    return "\r\n ".join(line[a:b] for a, b in zip([0, *ends], ends, strict=False))
 
 
 def fold(line: Column | str) -> Column:
-    """Folded content lines; null stays null."""
-
-    def folded(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda x: None if x is None else fold_line(x))
+    """:func:`fold_line` as a column, from built-in functions; null stays null.
 
-    return F.pandas_udf(folded, "string")(line)
+    The line's bytes are looked at as Latin-1 characters: a part is the longest run that isn't
+    followed by a byte inside a UTF-8 character.
+    """
+    raw = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")
+    first = F.regexp_extract(raw, r"(?s)^.{1,75}(?![\x80-\xBF])", 0)
+    further = F.regexp_extract_all(F.substr(raw, F.length(first) + 1), F.lit(r"(?s).{1,74}(?![\x80-\xBF])"), F.lit(0))
+    folded = F.array_join(F.concat(F.array(first), further), "\r\n ")
+    return F.decode(F.encode(folded, "ISO-8859-1"), "UTF-8")
 
 
 def export_identity(uid: str | None = None, created_at: str | None = None) -> tuple[str, datetime.datetime]:
@@ -67,11 +76,9 @@ def export_identity(uid: str | None = None, created_at: str | None = None) -> tu
 def calendar_bytes(merged: list[tuple[int, int]], lo: int, hi: int, uid: str, created: datetime.datetime, max_bytes: int = 8 << 20) -> bytes:
     """One owner's collected periods as a VFREEBUSY calendar. Periods have to be sorted, apart and inside [lo, hi)."""
     text = lambda t: datetime.datetime.fromtimestamp(t, datetime.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
-    reach = None
-    for s, e in merged:
-        if not lo <= s < e <= hi or reach is not None and s <= reach:
-            raise ValueError("periods aren't sorted, apart and inside the horizon")
-        reach = e
+    edges = [t for period in merged for t in period]
+    if edges and (edges[0] < lo or edges[-1] > hi) or any(a >= b for a, b in pairwise(edges)):
+        raise ValueError("periods aren't sorted, apart and inside the horizon")
     body = ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//Spanloom//Free Busy//EN", "METHOD:PUBLISH", "BEGIN:VFREEBUSY", f"UID:{uid}", f"DTSTAMP:{created:%Y%m%dT%H%M%SZ}", f"DTSTART:{text(lo)}", f"DTEND:{text(hi)}"]
     body += [f"FREEBUSY;FBTYPE=BUSY:{text(s)}/{text(e)}" for s, e in merged]
     raw = "".join(fold_line(x) + "\r\n" for x in [*body, "END:VFREEBUSY", "END:VCALENDAR"]).encode()

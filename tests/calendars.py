@@ -1,5 +1,8 @@
 """Small calendars for tests, written from rows of properties."""
 
+import datetime
+import zoneinfo
+
 
 def event(uid, start=None, end=None, *more, summary=None):
     lines = ["BEGIN:VEVENT", f"UID:{uid}"]
@@ -19,32 +22,61 @@ def calendar(*events, head=()):
 
 
 NY = ";TZID=America/New_York:"
+BERLIN = ";TZID=Europe/Berlin:"
+
+
+def seconds(local, zone="Europe/Berlin", fold=0):
+    """UTC seconds of a civil time written like 2025-10-24 07:15."""
+    return int(datetime.datetime.fromisoformat(local).replace(tzinfo=zoneinfo.ZoneInfo(zone), fold=fold).timestamp())
 
 
-def mixed_week():
-    """Ten kinds of events in March 2026, in New York."""
+def fair():
+    """Four days of a fair in Berlin, over the change from summer time: a series, what overlaps, touches and lies inside, and what occupies nothing."""
     return calendar(
-        event("a-daily", f"{NY}20260306T090000", f"{NY}20260306T100000", "RRULE:FREQ=DAILY;COUNT=5", f"EXDATE{NY}20260308T090000"),
-        event("b-overlap", f"{NY}20260306T093000", f"{NY}20260306T103000"),
-        event("c-nested", f"{NY}20260306T094500", f"{NY}20260306T095500"),
-        event("d-adjacent", f"{NY}20260306T103000", f"{NY}20260306T110000"),
-        event("e-floating", "20260306T110000", "20260306T113000"),
-        event("f-dates", ";VALUE=DATE:20260306", ";VALUE=DATE:20260308"),
-        event("g-transparent", "20260306T080000", "20260306T120000", "TRANSP:TRANSPARENT"),
-        event("h-cancelled", None, None, "STATUS:CANCELLED"),
-        event("i-point", "20260306T120000"),
-        event("j-hostile", "20260306T130000", "20260306T140000", "DESCRIPTION:PRIVATE", summary="<script>alert(1)</script> & \\, text"),
+        event("setup", f"{BERLIN}20251024T071500", f"{BERLIN}20251024T084500", "RRULE:FREQ=DAILY;COUNT=4", f"EXDATE{BERLIN}20251026T071500"),
+        event("talk", f"{BERLIN}20251024T080000", f"{BERLIN}20251024T093000"),
+        event("break", f"{BERLIN}20251024T093000", f"{BERLIN}20251024T100000"),
+        event("night", f"{BERLIN}20251025T223000", f"{BERLIN}20251026T043000"),
+        event("lunch", "20251025T120000", "20251025T130000"),
+        event("call", f"{BERLIN}20251025T121500", f"{BERLIN}20251025T122000"),
+        event("holiday", ";VALUE=DATE:20251025", ";VALUE=DATE:20251027"),
+        event("open day", f"{BERLIN}20251027T090000", f"{BERLIN}20251027T180000", "TRANSP:TRANSPARENT"),
+        event("off", None, None, "STATUS:CANCELLED"),
+        event("mark", f"{BERLIN}20251027T150000"),
+        event("quote", f"{BERLIN}20251027T160000", f"{BERLIN}20251027T164000", "COMMENT:not for others", summary="<b onclick=x()>Offer</b> \\; more"),
     )
 
 
-def moved_instances():
-    rid = "RECURRENCE-ID:202603{}T100000Z"
+#: Occurrences of the fair with length, and its dates, written out by hand.
+FAIR_TIMES = [(seconds(f"2025-10-{a}"), seconds(f"2025-10-{b}")) for a, b in (("24 07:15", "24 08:45"), ("25 07:15", "25 08:45"), ("27 07:15", "27 08:45"), ("24 08:00", "24 09:30"), ("24 09:30", "24 10:00"), ("25 22:30", "26 04:30"), ("25 12:00", "25 13:00"), ("25 12:15", "25 12:20"), ("27 16:00", "27 16:40"))]
+FAIR_DATES = ["2025-10-25", "2025-10-26"]
+
+
+def minutes(spans):
+    """Every minute that a span holds."""
+    return {m for s, e in spans for m in range(s // 60, e // 60)}
+
+
+def runs(cells):
+    """Lengths in seconds of the runs of consecutive minutes."""
+    out, last = [], None
+    for m in sorted(cells):
+        if last is None or m > last + 1:
+            out.append(0)
+        out[-1] += 60
+        last = m
+    return out
+
+
+def rescheduled():
+    """A weekly class with instances moved into the days from 19 to 21 November 2025 from both sides, moved away, cancelled and made transparent."""
+    rid = "RECURRENCE-ID:2025{}T170000Z"
     return calendar(
-        event("series", "20260301T100000Z", "20260301T110000Z", "RRULE:FREQ=DAILY;COUNT=10", summary="Daily"),
-        event("series", "20260303T090000Z", None, rid.format("01"), summary="From before"),
-        event("series", "20260303T093000Z", "20260303T113000Z", rid.format("10"), summary="From after"),
-        event("series", "20260320T100000Z", None, rid.format("03")),
-        event("series", None, None, rid.format("04"), "STATUS:CANCELLED"),
-        event("series", "20260305T100000Z", None, rid.format("05"), "TRANSP:TRANSPARENT"),
-        event("anchor", "20260303T094500Z", "20260303T101500Z"),
+        event("class", "20251105T170000Z", "20251105T174500Z", "RRULE:FREQ=WEEKLY;COUNT=6", summary="Class"),
+        event("class", "20251120T080000Z", None, rid.format("1112"), summary="From the week before"),
+        event("class", None, None, rid.format("1119"), "STATUS:CANCELLED"),
+        event("class", "20251121T170000Z", None, rid.format("1126"), "TRANSP:TRANSPARENT"),
+        event("class", "20251120T083000Z", "20251120T100000Z", rid.format("1203"), summary="From December"),
+        event("class", "20251220T170000Z", None, rid.format("1210")),
+        event("visit", "20251120T082000Z", "20251120T083500Z"),
     )

@@ -3,7 +3,7 @@ import itertools
 
 import pytest
 
-from calendars import NY, calendar, event, mixed_week, moved_instances
+from calendars import FAIR_DATES, FAIR_TIMES, NY, calendar, event, fair, minutes, rescheduled, seconds
 from spanloom.errors import InputError, LimitError, Limits
 from spanloom.plans.audit import Audit
 
@@ -36,25 +36,29 @@ def codes(a):
     return sorted(r.code for r in a.issues.collect())
 
 
-def test_mixed_week(audit):
-    a = audit(mixed_week(), start="2026-03-06", end="2026-03-11", zone="America/New_York")
+def test_fair_equals_a_count_of_minutes(audit):
+    a = audit(fair(), start="2025-10-24", end="2025-10-28", zone="Europe/Berlin")
     assert a.complete
-    assert a.occupied_seconds() == 23_400
-    assert sorted(r.seconds for r in a.overlaps.collect()) == [600, 600, 1800]
-    assert a.occurrences.count() == 11
+    held = minutes(FAIR_TIMES)
+    assert a.occupied_seconds() == 60 * len(held)
+    shared = [60 * len(minutes([x]) & minutes([y])) for x, y in itertools.combinations(FAIR_TIMES, 2)]
+    assert sorted(r.seconds for r in a.overlaps.collect()) == sorted(n for n in shared if n)
+    assert a.occurrences.count() == len(FAIR_TIMES) + 2  # a point and the holiday are occurrences too
+    days = [(seconds(f"2025-10-{d}"), seconds(f"2025-10-{d + 1}")) for d in range(24, 28)]
     daily = a.daily.orderBy("date").collect()
-    assert [r.occupied_seconds for r in daily] == [12_600, 3_600, 0, 3_600, 3_600]
-    assert [r.all_day_occurrences for r in daily] == [1, 1, 0, 0, 0]
-    assert [r.day_seconds for r in daily] == [86_400, 86_400, 82_800, 86_400, 86_400]
+    assert [r.occupied_seconds for r in daily] == [60 * len(held & minutes([d])) for d in days]
+    assert [r.day_seconds for r in daily] == [e - s for s, e in days] == [86_400, 86_400, 90_000, 86_400]
+    assert [r.all_day_occurrences for r in daily] == [int(str(r.date) in FAIR_DATES) for r in daily]
 
 
-def test_moved_instances(audit):
-    a = audit(moved_instances())
+def test_rescheduled_instances(audit):
+    a = audit(rescheduled(), start="2025-11-19", end="2025-11-22")
     assert a.complete
-    assert a.occupied_seconds() == 9_000
-    assert a.overlaps.count() == 3
-    assert a.occurrences.count() == 3
-    assert [r.recurrence_id for r in a.cancellations.collect()] == ["2026-03-04T10:00:00Z"]
+    times = [tuple(utc(f"2025-11-20T{t}Z") for t in x) for x in (("08:00", "08:45"), ("08:30", "10:00"), ("08:20", "08:35"))]
+    assert sorted((r.s, r.e) for r in a.occurrences.collect()) == sorted(times)
+    assert a.occupied_seconds() == 60 * len(minutes(times))
+    assert sorted(r.seconds for r in a.overlaps.collect()) == sorted(60 * len(minutes([x]) & minutes([y])) for x, y in itertools.combinations(times, 2))
+    assert [r.recurrence_id for r in a.cancellations.collect()] == ["2025-11-19T17:00:00Z"]
 
 
 def test_spring_gap(audit):
@@ -172,8 +176,22 @@ def test_folded_lines_and_escapes(audit):
 
 
 def test_settings_and_limits(audit):
-    for more in ({"start": "2026-03-06"}, {"end": "2026-07-01"}, {"zone": "Nowhere/Land"}, {"start": "06.03.2026"}):
+    for more in ({"start": "2026-03-06"}, {"end": "2026-07-01"}, {"zone": "Nowhere/Land"}, {"start": "06.03.2026"}, {"start": "2026-3-3"}):
         with pytest.raises(InputError):
             audit(calendar(), **more)
     with pytest.raises(LimitError):
         audit(calendar(), calendar(), limits=Limits(files=1))
+
+
+def test_names_are_literal_and_lines_have_a_limit(spark, tmp_path):
+    text = calendar(event("u", "20260303T100000Z", "20260303T110000Z"))
+    for name in ("team[1].ics", "a*b?.ics", "{x,y} z.ics"):
+        (tmp_path / name).write_text(text, newline="")
+    paths = [str(tmp_path / name) for name in ("team[1].ics", "a*b?.ics", "{x,y} z.ics", "team[1].ics")]
+    a = Audit(spark, paths, "2026-03-03", "2026-03-04", "UTC")
+    assert a.complete and a.occurrences.count() == 1 and [r.name for r in a.sources.orderBy("source_ord").collect()] == [p.rsplit("/", 1)[1] for p in paths]
+    folded = "SUMMARY:" + "\r\n ".join(["x" * 60] * 5)
+    (tmp_path / "long.ics").write_text(calendar(event("u", "20260303T100000Z", None, folded)), newline="")
+    assert Audit(spark, [str(tmp_path / "long.ics")], "2026-03-03", "2026-03-04", "UTC", limits=Limits(line_bytes=308)).complete
+    with pytest.raises(LimitError):
+        assert Audit(spark, [str(tmp_path / "long.ics")], "2026-03-03", "2026-03-04", "UTC", limits=Limits(line_bytes=307)).complete

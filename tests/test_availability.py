@@ -3,52 +3,64 @@ import json
 
 import pytest
 
-from calendars import NY, calendar, event, mixed_week
+from calendars import FAIR_TIMES, NY, calendar, event, fair, minutes, runs, seconds
 from spanloom.errors import InputError
 from spanloom.plans.availability import Availability, Shared, busy_periods
 from spanloom.sinks.freebusy import IncompleteExport, calendar_bytes, export_identity, fold_line
 from spanloom.sources import freebusy, specs
 
-V1 = {"version": 1, "start": "2026-03-06", "end": "2026-03-11", "timezone": "America/New_York", "weekdays": ["MO", "TU", "WE", "TH", "FR"], "work_start": "09:00", "work_end": "17:00", "minimum_seconds": 1800, "all_day": "block"}
-SPLIT = [["09:00", "12:00"], ["13:00", "17:00"]]
-V2 = {k: V1[k] for k in ("start", "end", "timezone", "minimum_seconds", "all_day")} | {"version": 2, "weekly": dict.fromkeys(("MO", "TU", "WE", "TH", "FR"), SPLIT), "exceptions": [{"date": "2026-03-08", "windows": [["10:00", "12:00"]]}, {"date": "2026-03-09", "windows": []}]}
+
+
+def parsed(spark, *raw):
+    rows = spark.createDataFrame([(k, f"f{k}", len(x), "", bytearray(x)) for k, x in enumerate(raw, 1)], "source_ord int, name string, bytes bigint, sha256 string, content binary")
+    return freebusy.parsed(rows).orderBy("source_ord").collect()
+
+
+V1 = {"version": 1, "start": "2025-10-24", "end": "2025-10-28", "timezone": "Europe/Berlin", "weekdays": ["MO", "TU", "FR"], "work_start": "08:00", "work_end": "16:30", "minimum_seconds": 2400, "all_day": "block"}
+SPLIT = [["08:30", "11:30"], ["12:30", "16:00"]]
+V2 = {k: V1[k] for k in ("start", "end", "timezone", "minimum_seconds", "all_day")} | {"version": 2, "weekly": dict.fromkeys(("MO", "TU", "WE", "TH", "FR"), SPLIT), "exceptions": [{"date": "2025-10-25", "windows": [["11:00", "14:00"]]}, {"date": "2025-10-27", "windows": []}]}
 
 
 @pytest.fixture()
 def week(tmp_path):
-    path = tmp_path / "week.ics"
-    path.write_text(mixed_week(), newline="")
+    path = tmp_path / "fair.ics"
+    path.write_text(fair(), newline="")
     return str(path)
 
 
 def test_version_1(spark, week):
     a = Availability(spark, [week], V1)
-    assert sorted(r.seconds for r in a.candidates().collect()) == [25_200, 25_200]
+    free = minutes([(seconds(f"2025-10-{d} 08:00"), seconds(f"2025-10-{d} 16:30")) for d in (24, 27)]) - minutes(FAIR_TIMES)
+    want = sorted(n for n in runs(free) if n >= 2400)
+    assert sorted(r.seconds for r in a.candidates().collect()) == want == [23_400, 26_100]
 
 
 def test_version_2(spark, week):
     a = Availability(spark, [week], V2)
     days = a.days().orderBy("date").collect()
-    assert [r.status for r in days] == ["fully_booked", "closed", "available", "closed", "available"]
+    assert [r.status for r in days] == ["available", "fully_booked", "closed", "closed"]
     total = lambda c: sum(getattr(r, c) for r in days)
-    assert (total("working_seconds"), total("occupied_seconds"), total("candidate_seconds"), a.candidates().count()) == (57_600, 28_800, 28_800, 3)
+    work = minutes([(seconds(f"2025-10-24 {a}"), seconds(f"2025-10-24 {b}")) for a, b in SPLIT])
+    holiday = minutes([(seconds("2025-10-25 11:00"), seconds("2025-10-25 14:00"))])
+    free = work - minutes(FAIR_TIMES)
+    assert (total("working_seconds"), total("occupied_seconds"), total("candidate_seconds"), a.candidates().count()) == (60 * len(work | holiday), 60 * len((work - free) | holiday), 60 * len(free), len(runs(free)))
 
 
 def test_incomplete_calendars_have_no_candidates(spark, tmp_path):
     path = tmp_path / "bad.ics"
-    path.write_text(calendar(event("u", "20260306T140000Z", None, "RRULE:FREQ=YEARLY")))
+    path.write_text(calendar(event("u", "20251024T140000Z", None, "RRULE:FREQ=YEARLY")))
     a = Availability(spark, [str(path)], V2)
     days = a.days().orderBy("date").collect()
     assert a.candidates().count() == 0 and {r.status for r in days} == {"closed", "incomplete"} and {r.free_seconds for r in days} == {None}
     with pytest.raises(IncompleteExport):
-        busy_periods(spark, [str(path)], "2026-03-06", "2026-03-07", "UTC", "ignore")
+        busy_periods(spark, [str(path)], "2025-10-24", "2025-10-25", "UTC", "ignore")
 
 
 def test_witnesses(spark, tmp_path):
     path = tmp_path / "w.ics"
     path.write_text(calendar(event("a", f"{NY}20260306T090000", f"{NY}20260306T110000"), event("b", f"{NY}20260306T100000", f"{NY}20260306T110000"), event("c", f"{NY}20260306T113000", f"{NY}20260306T170000")))
-    gaps = Availability(spark, [str(path)], V1 | {"end": "2026-03-07"}).candidates().collect()
-    assert [(r.seconds, [x["ord"] % 1_000_000 for x in r.before], [x["ord"] % 1_000_000 for x in r.after]) for r in gaps] == [(1800, [1, 2], [3])]
+    gaps = Availability(spark, [str(path)], V1 | {"start": "2026-03-06", "end": "2026-03-07", "timezone": "America/New_York", "work_start": "09:00", "work_end": "17:00", "minimum_seconds": 1800}).candidates().collect()
+    assert [(r.seconds, [x["ord"] & 0xFFFFFFFF for x in r.before], [x["ord"] & 0xFFFFFFFF for x in r.after]) for r in gaps] == [(1800, [1, 2], [3])]
 
 
 @pytest.mark.parametrize(("zone", "date", "clock", "error"), [("America/New_York", "2026-03-08", "02:30", "Nonexistent"), ("America/New_York", "2026-11-01", "01:30", "Ambiguous"), ("Pacific/Apia", "2011-12-30", "09:00", "Nonexistent")])
@@ -58,13 +70,13 @@ def test_boundaries_have_to_be_one_instant(spark, week, zone, date, clock, error
         Availability(spark, [week], V1 | {"start": date, "end": after, "timezone": zone, "weekdays": list(specs.WEEKDAYS), "work_start": clock, "work_end": "17:00"})
 
 
-@pytest.mark.parametrize("change", [{"version": 3}, {"weekdays": ["MO", "MO"]}, {"work_end": "09:00"}, {"work_start": "9:00"}, {"minimum_seconds": 0}, {"minimum_seconds": True}, {"all_day": "maybe"}, {"timezone": "X/Y"}, {"end": "2026-03-06"}, {"extra": 1}])
+@pytest.mark.parametrize("change", [{"version": 3}, {"weekdays": ["MO", "MO"]}, {"work_end": "08:00"}, {"work_start": "9:00"}, {"minimum_seconds": 0}, {"minimum_seconds": True}, {"all_day": "maybe"}, {"timezone": "X/Y"}, {"end": "2025-10-24"}, {"extra": 1}])
 def test_bad_specifications(change):
     with pytest.raises(InputError):
         specs.validate_spec(V1 | change)
 
 
-@pytest.mark.parametrize("change", [{"weekly": {"XX": []}}, {"weekly": {"MO": [["09:00", "12:00"], ["11:00", "13:00"]]}}, {"exceptions": [{"date": "2026-04-01", "windows": []}]}, {"exceptions": [{"date": "2026-03-07", "windows": []}] * 2}, {"exceptions": [{"date": "2026-03-07"}]}])
+@pytest.mark.parametrize("change", [{"weekly": {"XX": []}}, {"weekly": {"MO": [["09:00", "12:00"], ["11:00", "13:00"]]}}, {"exceptions": [{"date": "2025-12-01", "windows": []}]}, {"exceptions": [{"date": "2025-10-25", "windows": []}] * 2}, {"exceptions": [{"date": "2025-10-25"}]}])
 def test_bad_schedules(change):
     with pytest.raises(InputError):
         specs.validate_spec(V2 | change)
@@ -83,7 +95,8 @@ def test_busy_export_round_trip(spark, tmp_path):
     assert len(busy_periods(spark, [str(path)], "2026-03-03", "2026-03-05", "UTC", "block")[2]) == 2
     uid, created = export_identity("123e4567-e89b-42d3-a456-426614174000", "2026-03-01T00:00:00Z")
     raw = calendar_bytes(found, lo, hi, uid, created)
-    assert freebusy.parse(raw) == (lo, hi, [("BUSY", *found[0])])
+    (got,) = parsed(spark, raw)
+    assert (got.error, got.lo, got.hi, [tuple(p) for p in got.periods]) == (None, lo, hi, [("BUSY", *found[0])])
     for bad in ("123E4567-e89b-42d3-a456-426614174000", "123e4567-e89b-12d3-a456-426614174000"):
         with pytest.raises(ValueError):
             export_identity(bad)
@@ -106,10 +119,18 @@ def fb(lo, hi, *lines):
 DAY = ("20260309T000000Z", "20260310T000000Z")
 
 
-@pytest.mark.parametrize("line", ["FREEBUSY:20260309T010000Z", "FREEBUSY:20260309T010000Z/20260309T010000Z", "FREEBUSY:20260309T010000Z/PT0S", "FREEBUSY:20260309T010000Z/P1WT1H", "FREEBUSY:20260309T230000Z/PT2H", "FREEBUSY;FBTYPE=X:20260309T010000Z/PT1H", "FREEBUSY;TZID=UTC:20260309T010000Z/PT1H", "FREEBUSY:20260309T010000/PT1H", "RRULE:FREQ=DAILY", "UID:again", "nothing", "ATTENDEE:x", "FREEBUSY:20260309T010000Z/PT1H,", "FREEBUSY:20260309T010000Z/PTH", "FREEBUSY;VALUE=DATE:20260309T010000Z/PT1H"])
-def test_rejected_freebusy(line):
-    with pytest.raises(freebusy.Rejected):
-        freebusy.parse(fb(*DAY, line).encode())
+REJECTED = [
+    "FREEBUSY:20260309T050000Z", "FREEBUSY:20260309T050000Z/20260309T050000Z", "FREEBUSY:20260309T050000Z/PT0M", "FREEBUSY:20260309T050000Z/P2WT3H", "FREEBUSY:20260309T213000Z/PT2H31M", "FREEBUSY;FBTYPE=MAYBE:20260309T050000Z/PT1H", "FREEBUSY;TZID=UTC:20260309T050000Z/PT1H",
+    "FREEBUSY:20260309T050000/PT1H", "EXDATE:20260309T050000Z", "UID:second", "no colon here", "LOCATION:x", "FREEBUSY:20260309T050000Z/PT1H,,", "FREEBUSY:20260309T050000Z/PT1M1H", "FREEBUSY;VALUE=DATE:20260309T050000Z/PT1H", "FREEBUSY:20260309T250000Z/PT1H", "FREEBUSY;FBTYPE=BUSY;FBTYPE=FREE:20260309T050000Z/PT1H", "", "BEGIN:VEVENT", "CONTACT:",
+]
+ACCEPTED = {"FREEBUSY:20260309T050000Z/PT1H30S": [("BUSY", 5 * 3600, 6 * 3600 + 30)], "freebusy;fbtype=busy-tentative:20260309T000000Z/+P1D,20260309T010000Z/20260309T013000Z": [("BUSY-TENTATIVE", 0, 86_400), ("BUSY-TENTATIVE", 3600, 5400)], "COMMENT:a\r\nCOMMENT:b\r\n c": [], 'FREEBUSY;FBTYPE="FREE":20260309T100000Z/PT90M': [("FREE", 36_000, 41_400)]}
+
+
+def test_rejected_and_accepted_freebusy(spark):
+    base = seconds("2026-03-09 00:00", "UTC")
+    got = parsed(spark, *(fb(*DAY, line).encode() for line in [*REJECTED, *ACCEPTED]), b"", b" x", fb(*DAY).replace("\r\n", "\r").encode(), fb(*DAY).replace("UID:u", "UID:\xff").encode("latin-1"), fb(*DAY).replace("UID:u\r\n", "").encode(), fb("20260309T000000Z", "20260709T000000Z").encode())
+    assert [r.error is None for r in got] == [False] * len(REJECTED) + [True] * len(ACCEPTED) + [False] * 6
+    assert [[(p.kind, p.s - base, p.e - base) for p in r.periods] for r in got[len(REJECTED) : -6]] == list(ACCEPTED.values())
 
 
 def test_shared_windows(spark, tmp_path):

@@ -2,7 +2,7 @@ import json
 import os
 
 import pytest
-from calendars import calendar, event, mixed_week, moved_instances
+from calendars import calendar, event, fair, rescheduled
 from pyspark.sql import functions as F
 
 from spanloom import cli
@@ -17,15 +17,15 @@ def run(spark, *argv, **more):
 
 def test_audit_bundle(spark, tmp_path):
     path, out = tmp_path / "m.ics", str(tmp_path / "out")
-    path.write_text(moved_instances(), newline="")
-    window = ["--start", "2026-03-03", "--end", "2026-03-06", "--timezone", "UTC"]
+    path.write_text(rescheduled(), newline="")
+    window = ["--start", "2025-11-19", "--end", "2025-11-22", "--timezone", "UTC"]
     assert run(spark, "audit", *window, "--output", out, str(path)) == 0
     got = json.loads((tmp_path / "out" / "report.json").read_text())
-    assert (got["occupied_seconds"], len(got["overlaps"]), len(got["cancellations"]), got["complete"]) == (9_000, 3, 1, True)
+    assert (got["occupied_seconds"], len(got["overlaps"]), len(got["cancellations"]), got["complete"]) == (7_200, 3, 1, True)
     assert [o["id"] for o in got["occurrences"]] == ["o1", "o2", "o3"] and {p["left"] for p in got["overlaps"]} <= {"o1", "o2", "o3"}
     assert sorted(os.listdir(out)) == ["report.html", "report.json"] and os.stat(out).st_mode & 0o777 == 0o700
     assert run(spark, "audit", *window, "--output", out, str(path)) == 1  # never overwritten
-    assert run(spark, "audit", *window, "--output", out + "2", str(path), limits=Limits(pairs=2)) == 2 and not os.path.exists(out + "2")
+    assert run(spark, "audit", *window, "--output", out + "2", str(path), limits=Limits(pairs=2)) == 1 and not os.path.exists(out + "2")
     assert run(spark, "audit", *window, "--output", out + "3", str(tmp_path / "missing.ics")) == 1
 
 
@@ -41,11 +41,11 @@ def test_incomplete_exits_2_and_text_is_escaped(spark, tmp_path):
 
 
 def test_availability_bundle(spark, tmp_path):
-    (tmp_path / "w.ics").write_text(mixed_week(), newline="")
-    spec = {"version": 1, "start": "2026-03-06", "end": "2026-03-11", "timezone": "America/New_York", "weekdays": ["MO", "TU", "WE", "TH", "FR"], "work_start": "09:00", "work_end": "17:00", "minimum_seconds": 1800, "all_day": "block"}
+    (tmp_path / "w.ics").write_text(fair(), newline="")
+    spec = {"version": 1, "start": "2025-10-24", "end": "2025-10-28", "timezone": "Europe/Berlin", "weekdays": ["MO", "FR"], "work_start": "08:00", "work_end": "16:30", "minimum_seconds": 2400, "all_day": "block"}
     (tmp_path / "s.json").write_text(json.dumps(spec))
     assert run(spark, "availability", "--spec", str(tmp_path / "s.json"), "--output", str(tmp_path / "o"), str(tmp_path / "w.ics")) == 0
-    assert json.loads((tmp_path / "o" / "report.json").read_text())["candidate_seconds"] == 50_400
+    assert json.loads((tmp_path / "o" / "report.json").read_text())["candidate_seconds"] == 23_400 + 26_100
 
 
 def test_bounded_json():
