@@ -11,15 +11,17 @@ from .shared import BROADCAST_BYTES, drop, save
 HUB = 500
 
 
-def _with_least(edges: DataFrame, least) -> tuple[DataFrame, DataFrame]:
-    """``edges`` (u, v) with m, the ``least`` of their u's links, and the table (u, m, n) of these, combined before the shuffle."""
-    least = save(edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), "least")
+def _with_least(edges: DataFrame, least: DataFrame, bound: int) -> DataFrame:
+    """``edges`` (u, v) with m, from the table ``least`` (u, m, n) of their u's, of at most ``bound`` edges.
+
+    Hubs are at most bound / HUB; a broadcast of that many is proven small, or else all join by a shuffle.
+    """
+    plain = least.select("u", "m")
+    if bound <= HUB or bound // HUB * 64 > BROADCAST_BYTES:
+        return edges.join(plain, "u")
     hubs = least.where(F.col("n") > HUB).select("u", "m")
-    count = hubs.count()
-    if not count or count * 64 > BROADCAST_BYTES:
-        return edges.join(least.select("u", "m"), "u"), least
     others = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
-    return others.unionByName(edges.join(F.broadcast(hubs), "u")), least
+    return others.unionByName(edges.join(F.broadcast(hubs), "u"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -38,12 +40,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if tuple(now) == state or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         state = tuple(now)
-        both, least = _with_least(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), F.least(F.min("v"), F.col("u")))
-        large = save(both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        drop(least)
-        both, least = _with_least(large, F.min("v"))
-        small = both.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, least, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = save(large.distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, now[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         new = save(small.distinct(), "links")
-        for used in (least, edges, large):
-            drop(used)
+        drop(edges)
+        drop(large)
         edges = new

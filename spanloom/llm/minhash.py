@@ -153,7 +153,7 @@ def linked(sketch: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     classes = save(classes, "classes")
     copies = usable.join(classes.where("rep <> last").select("n_shingles", "digest", "digest2", "rep"), ["n_shingles", "digest", "digest2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     member = classes.select(F.col("rep").alias("id"), "n_shingles", F.explode("bands").alias("bucket"))
-    heads = member.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head <> tail").drop("tail")
+    heads = member.groupBy("bucket").agg(F.min(F.struct("id", "n_shingles")).alias("first"), F.max("id").alias("tail")).where("first.id <> tail").select("bucket", F.col("first.id").alias("head"), F.col("first.n_shingles").alias("n_head"))
     member = save(member.join(heads, "bucket"), "buckets")
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
@@ -166,7 +166,7 @@ def linked(sketch: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         both = pairs.join(left, "a").join(right, "b").where(near)
         return save(both.mapInArrow(_confirm(percent), f"a {key}, b {key}").distinct(), "confirmed")
 
-    stars = member.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    stars = member.where(f"id <> head and 100 * least(n_shingles, n_head) >= {percent} * greatest(n_shingles, n_head)").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     linked = confirmed(stars)
     found = components(linked)
     placed = member.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -103,17 +103,21 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _units(data: np.ndarray, words: Words) -> np.ndarray:
-    """[first, end) in words of the lines, and of the blocks of several lines between blank ones, of at least PARAGRAPH words."""
+    """[first, end) in words of a text's paragraphs: each line of at least PARAGRAPH words, and shorter lines in a row, up to a blank or a longer one, if they have as many together."""
     breaks = np.concatenate(([0], np.cumsum(data == 10)))
     behind = breaks[words.starts[1:]] - breaks[words.ends[:-1]]
     new = words.doc[1:] != words.doc[:-1]
-    lines, blocks = (np.concatenate(([0], np.flatnonzero(new | (behind >= n)) + 1, [len(words.starts)])) for n in (1, 2))
-    units = np.unique(np.concatenate([np.stack((x[:-1], x[1:]), 1) for x in (lines, blocks)]), axis=0)
+    edges = np.concatenate(([0], np.flatnonzero(new | (behind > 0)) + 1, [len(words.starts)]))
+    long = np.diff(edges) >= PARAGRAPH
+    # a line goes on with the one before if both are short and nothing but one line break parts them
+    on = ~(long[1:] | long[:-1] | (new | (behind > 1))[edges[1:-1] - 1])
+    heads = edges[:-1][np.concatenate(([True], ~on))]
+    units = np.stack((heads, np.append(heads[1:], len(words.starts))), 1)
     return units[units[:, 1] - units[:, 0] >= PARAGRAPH]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sketch of each text's lines and blocks; a unit's id is (id, place, length in words)."""
+    """The sketch of each text's paragraphs; a unit's id is (id, place, length in words)."""
     for whole in batches:
         for batch in slices(whole):
             data, offsets = utf8(batch.column("text"))
@@ -128,7 +132,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of those lines and blocks of each text that its column ``units`` asks for."""
+    """Shingle sets of those paragraphs of each text that its column ``units`` asks for."""
     for whole in batches:
         for batch in slices(whole):
             data, offsets = utf8(batch.column("text"))
@@ -155,8 +159,8 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     every passage of 49 words or more repeated word for word is found. Paragraphs that meet in a
     band are linked if the Jaccard similarity of their five-word shingles reaches ``percent``
     (checked on the full sets, as 32-bit hashes), and the words between two paragraphs that don't
-    touch are one more paragraph, compared as a whole. Lines, and blocks between blank lines, of 18 words
-    or more are paragraphs too, at their whole length: they meet by MinHash bands without a common
+    touch are one more paragraph, compared as a whole. Written paragraphs, that is lines of 18 words or
+    more and blocks of shorter lines with as many together, count too, at their whole length: they meet by MinHash bands without a common
     anchor and are checked in the same way, so that near copies go with what differs in them. Linked paragraphs form components. In each, the paragraph of the
     smallest id (``kept_id``) stays; those of other documents go. Removals that overlap or touch
     are merged; at both edges words that the kept document has there as well go too, up to 31, which is all of
