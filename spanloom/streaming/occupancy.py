@@ -21,9 +21,16 @@ def islands(stream: DataFrame, by: Sequence[str], late: str = "1 hour") -> DataF
 
 
 def daily(stream: DataFrame, by: Sequence[str], late: str = "1 hour") -> DataFrame:
-    """Per day of begin the number of intervals and the sum of their lengths, an upper bound of the occupied time."""
-    grouped = stream.where("ends > begins").withWatermark("begins", late).groupBy(*by, F.window("begins", "1 day").alias("w"))
-    return grouped.agg(F.count("*").alias("intervals"), F.sum(F.unix_timestamp("ends") - F.unix_timestamp("begins")).alias("seconds")).select(*by, F.to_date("w.start").alias("date"), "intervals", "seconds")
+    """Occupied seconds of each merged block on each UTC day that it meets: (by, date, seconds), one row a block and day.
+
+    Blocks are apart, so a day's rows add up to the batch rollup's occupied seconds. The
+    cutting at midnight keeps no state.
+    """
+    last = F.to_date(F.col("ends") - F.expr("INTERVAL '0.000001' SECOND"))
+    days = islands(stream, by, late).withColumn("date", F.explode(F.sequence(F.to_date("begins"), last)))
+    start = F.greatest(F.col("begins"), F.col("date").cast("timestamp"))
+    end = F.least(F.col("ends"), F.date_add("date", 1).cast("timestamp"))
+    return days.select(*by, "date", (F.unix_timestamp(end) - F.unix_timestamp(start)).alias("seconds"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, by: str, longest: str = "1 day", late: str = "1 hour") -> DataFrame:

@@ -68,3 +68,20 @@ def test_streamed_islands_equal_batch(spark, tmp_path):
     got = {(r.owner, r.s, r.e) for r in spark.sql("select owner, unix_timestamp(begins) s, unix_timestamp(ends) e from blocks").collect()}
     want = {(r.owner, r.s, r.e) for r in iv.islands(df.where("id < 99"), ["owner"]).collect()}
     assert got == want
+
+
+def test_streamed_days_add_up_to_the_batch_rollup(spark, tmp_path):
+    import datetime
+
+    from spanloom.operators.rollup import daily, day_spine
+
+    rows = [(k % 2, k, k * 7_919 % 250_000, k * 7_919 % 250_000 + 1 + k * 997 % 60_000) for k in range(40)] + [(o, 99, 10**7, 10**7 + 1) for o in (0, 1)]
+    df = spark.createDataFrame(rows, "owner int, id int, s long, e long")
+    df.select("owner", "id", F.timestamp_seconds("s").alias("begins"), F.timestamp_seconds("e").alias("ends")).repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("owner int, id int, begins timestamp, ends timestamp").parquet(str(tmp_path / "in"))
+    query = occupancy.daily(stream, ["owner"], "1 minute").writeStream.format("memory").queryName("days").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.processAllAvailable()
+    query.stop()
+    got = {(r.owner, r.date): r.n for r in spark.sql("select owner, date, sum(seconds) n from days group by owner, date").collect()}
+    want = daily(df.where("id < 99"), day_spine(spark, datetime.date(1970, 1, 1), datetime.date(1970, 1, 5)), ("owner",)).where("occupied_seconds > 0").collect()
+    assert got == {(r.owner, r.date): r.occupied_seconds for r in want}

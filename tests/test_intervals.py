@@ -104,3 +104,30 @@ def test_blocks_and_gaps(spark, df, rows):
 def test_empty(df):
     none = df.limit(0)
     assert iv.islands(none, ["seed"]).collect() == [] and iv.overlap_pairs(none, ["seed"]).collect() == [] and iv.concurrency(none).collect() == []
+
+
+def test_a_hot_owner_is_split_and_its_result_stays_the_union(spark):
+    rng = random.Random(99)
+    rows = [(int(k % 3 == 0), k, s, s + rng.choice((5, 400, 90_000, 200_000))) for k in range(3000) for s in (rng.randrange(40 * 86_400),)]
+    rows += [(7, 10_000 + k, k * 86_400, (k + 1) * 86_400) for k in range(20)]
+    df = spark.createDataFrame(rows, "owner int, id int, s long, e long")
+    got = defaultdict(list)
+    for r in iv.islands(df, ["owner"]).collect():
+        got[r.owner].append((r.s, r.e))
+    for owner in (0, 1, 7):
+        want = []
+        for s, e in sorted((s, e) for o, _, s, e in rows if o == owner):
+            if want and s <= want[-1][1]:
+                want[-1][1] = max(want[-1][1], e)
+            else:
+                want.append([s, e])
+        assert sorted(got[owner]) == [tuple(x) for x in want]
+
+
+def test_pairs_of_short_and_long_intervals(spark):
+    rng = random.Random(5)
+    rows = [(k % 2, k, s, s + rng.choice((1, 30, 60, 100_000 if k % 50 == 0 else 45))) for k in range(400) for s in (rng.randrange(5000),)]
+    df = spark.createDataFrame(rows, "owner int, id int, s long, e long")
+    want = Counter((o, x, y) for o, x, s, e in rows for p, y, t, u in rows if o == p and s < u and t < e and (s, e, x) < (t, u, y))
+    for width in (None, 60, 7200):
+        assert Counter((r.owner, r.left, r.right) for r in iv.overlap_pairs(df, ["owner"], width=width).collect()) == want
