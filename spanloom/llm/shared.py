@@ -1,40 +1,16 @@
-"""Intermediate tables in the folder that all executors share, and joins whose broadcasts are size-checked."""
+"""What the text operators share: intermediate tables, joins whose broadcasts are size-checked, free column names."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its rows times its row width stay under this.
-BROADCAST_BYTES = 32 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests), a folder under the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+from ..tables import drop, save, shared_dir
 
+__all__ = ["BROADCAST_BYTES", "drop", "save", "shared_dir", "small", "unused"]
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
-
-    The files outlive a lost executor, so a later stage never recomputes the lineage before them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table of :func:`save` that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: A side is broadcast only if its rows times its row width stay under this.
+BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -62,3 +62,38 @@ def test_fit_chars_of_long_words_is_the_longest_prefix_that_fits(spark):
         counted = tokencount.prefix_counts(docs, vocabulary_, budget=budget)
         assert all(r.fit_chars == max(j for j, n in enumerate(library[r.doc_id]) if n <= budget) for r in counted.collect())
     assert all(r.prefix_tokens == library[r.doc_id][min(60, len(library[r.doc_id]) - 1)] for r in tokencount.tokens_in_prefix(counted, 60).collect())
+
+
+def test_recall_of_planted_paragraphs(spark):
+    """Exact copies inside lines, near copies and short paragraphs, each behind a variant of smaller id that is no copy."""
+    rng = random.Random(7)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, want = [], {"inside": [], "near": [], "short": []}
+    for k in range(0, 30_000, 100):
+        passage = some(60)
+        rows.append((k, " ".join(some(30) + passage[:25] + some(40))))
+        rows += [(k + j, " ".join(some(rng.randint(0, 60)) + passage + some(rng.randint(0, 60)))) for j in (1, 2)]
+        want["inside"].append((k + 2, set(passage)))
+        near, n = some(rng.randint(60, 160)), 0
+        other = list(near)
+        while jaccard(shingles(near), shingles(other)) > 0.89 or n == 0:
+            other[rng.randrange(5, len(near) - 5)], n = some(1)[0], n + 1
+        if jaccard(shingles(near), shingles(other)) >= 0.8:
+            rows += [(k + 3, "\n".join(map(" ".join, (some(20), near)))), (k + 4, "\n".join(map(" ".join, (some(20), other, some(20)))))]
+            want["near"].append((k + 4, set(other)))
+        short = some(rng.randint(18, 48))
+        rows += [(k + j, "\n".join(map(" ".join, (some(22), short, some(19))))) for j in (5, 6)]
+        want["short"].append((k + 6, set(short)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text, gone = {i: t.split() for i, t in rows}, {}
+    for r in passages.repeated(docs).collect():
+        gone.setdefault(r.doc_id, []).extend(text[r.doc_id][r.first_word : r.first_word + r.n_words])
+    share = {kind: sum(len(words & set(gone.get(i, []))) for i, words in found) / sum(len(words) for _, words in found) for kind, found in want.items()}
+    print(share, {kind: len(found) for kind, found in want.items()})
+    assert share["inside"] == 1 and share["near"] >= 0.99 and share["short"] == 1
+    # nothing but planted words goes
+    planted = {i: words for found in want.values() for i, words in found}
+    extra = sum(len(set(words) - planted.get(i, set())) for i, words in gone.items())
+    assert extra <= 0.02 * sum(map(len, gone.values()))
