@@ -153,7 +153,7 @@ def linked(sketch: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     classes = save(classes, "classes")
     copies = usable.join(classes.where("rep <> last").select("n_shingles", "digest", "digest2", "rep"), ["n_shingles", "digest", "digest2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     member = classes.select(F.col("rep").alias("id"), "n_shingles", F.explode("bands").alias("bucket"))
-    heads = member.groupBy("bucket").agg(F.min(F.struct("id", "n_shingles")).alias("first"), F.max("id").alias("tail")).where("first.id <> tail").select("bucket", F.col("first.id").alias("head"), F.col("first.n_shingles").alias("n_head"))
+    heads = member.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("tail"), F.min_by("n_shingles", "id").alias("n_head")).where("head <> tail").drop("tail")
     member = save(member.join(heads, "bucket"), "buckets")
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
