@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gbt, html_extract, langid, line_dedup, minhash, packing, passages, quality_rules, tokencount
+from . import bpe, decontaminate, gbt, html_extract, langid, line_dedup, minhash, packing, passages, quality_rules, tokencount
 from .labelled import held_out
 
 #: Names of the public vocabularies; their folder is looked up where a query needs one.
@@ -71,9 +71,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated(found).alias("contaminated"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY), with_ids=False)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_quality_rules, op3_substring_dedup, op4_language_id, op5_line_dedup, op6_quality_classifier, op7_packing, op8_token_counts, op9_html_extraction, op10_decontamination)
+    for f in (op1_minhash, op2_quality_rules, op3_substring_dedup, op4_language_id, op5_line_dedup, op6_quality_classifier, op7_packing, op8_token_counts, op9_html_extraction, op10_decontamination, op13_bpe)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
