@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gbt, html_extract, langid, line_dedup, minhash, packing, passages, quality_rules, tokencount
+from . import bpe, decontaminate, gbt, html_extract, langid, line_dedup, minhash, packing, passages, prefix_trie, quality_rules, tokencount
 from .labelled import held_out
 
 #: Names of the public vocabularies; their folder is looked up where a query needs one.
@@ -71,17 +71,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated(found).alias("contaminated"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY), with_ids=False)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_quality_rules, op3_substring_dedup, op4_language_id, op5_line_dedup, op6_quality_classifier, op7_packing, op8_token_counts, op9_html_extraction, op10_decontamination, op13_bpe)
+    for f in (op1_minhash, op2_quality_rules, op3_substring_dedup, op4_language_id, op5_line_dedup, op6_quality_classifier, op7_packing, op8_token_counts, op9_html_extraction, op10_decontamination, op11_prefix_trie, op13_bpe)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 in SQL: its table of 256, and the sum of a list of bytes.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) tab)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, {}), lambda a, b: xor(tab[xor(a, b) % 256 + 1], a // 256)), 4294967295)"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') w FROM documents),
@@ -100,6 +108,21 @@ f AS (SELECT l.source, line FROM l JOIN n USING (source) WHERE trim(line, ' ' ||
 k AS (SELECT source, list(line) ls FROM f GROUP BY 1),
 x AS (SELECT doc_id, d.source, text, string_split(text, chr(10)) ls, list_filter(string_split(text, chr(10)), lambda y: NOT coalesce(list_contains(k.ls, y), false)) kept FROM documents d LEFT JOIN k ON d.source = k.source)
 SELECT doc_id, source, coalesce(len(ls) - len(kept), 0)::BIGINT n_dropped, array_to_string(kept, chr(10)) "text" FROM x""",
+    "op11_prefix_trie": rf"""
+WITH {_CRC_TABLE},
+o AS (SELECT conv_id c, coalesce(role, '') r, coalesce(text, '') x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) n FROM conversations WHERE conv_id IS NOT NULL),
+cv AS (SELECT c, len, c - c % 20 f, {_CRC.format("list_transform(string_split(c::VARCHAR, ''), lambda y: ord(y)::BIGINT)")} % 4 h FROM (SELECT c, max(n) len FROM o GROUP BY c), crc),
+b AS (SELECT cv.c, o.n, r, x FROM cv JOIN o ON o.c = cv.f AND o.n <= h
+UNION ALL SELECT cv.c, o.n - cv.h + least(cv.h, coalesce(fl.len, 0)), r, x FROM cv JOIN o USING (c) LEFT JOIN cv fl ON fl.c = cv.f WHERE o.n > cv.h),
+p AS (SELECT c, n d, x, list([r, x]) OVER (PARTITION BY c ORDER BY n) k FROM b),
+s AS (SELECT c, d, x, min(c) OVER (PARTITION BY k) top FROM p UNION ALL SELECT c, 0, '', (SELECT min(c) FROM cv) FROM cv),
+n AS (SELECT s.top, s.d, any_value(u.top) up, count(*) m, (count(*) - 1) * len(regexp_extract_all(any_value(s.x), '[^\x20\x09-\x0D]+')) saved FROM s LEFT JOIN s u ON u.c = s.c AND u.d = s.d - 1 GROUP BY 1, 2),
+k AS (SELECT up top, d - 1 d, count(*) kids FROM n GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(kids, 0) kids FROM n LEFT JOIN k USING (top, d)),
+t AS (SELECT s.top, s.d, sum((kids = 0)::INT) leaves, sum(saved) saved FROM f JOIN s ON s.c = f.top AND s.d <= f.d GROUP BY 1, 2),
+e AS (SELECT top, d, string_agg(c::VARCHAR, ',' ORDER BY c) ids FROM s WHERE d = (SELECT max(d) FROM s z WHERE z.c = s.c) GROUP BY 1, 2)
+SELECT f.top conv_id, f.d::BIGINT AS depth, f.up parent_conv_id, m::BIGINT n_convs, kids::BIGINT n_children, leaves::BIGINT n_leaves, t.saved::BIGINT saved_tokens, sha256(coalesce(ids, '')) ends_sha256
+FROM f JOIN t USING (top, d) LEFT JOIN e USING (top, d)""",
     "op10_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark WHERE item_id IS NOT NULL),
