@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gbt, html_extract, langid, line_dedup, minhash, packing, passages, prefix_trie, quality_rules, tokencount
+from . import bpe, decontaminate, gbt, html_extract, langid, line_dedup, minhash, packing, passages, prefix_trie, quality_rules, spelling, tokencount
 from .labelled import held_out
 
 #: Names of the public vocabularies; their folder is looked up where a query needs one.
@@ -75,13 +75,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY), with_ids=False)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_quality_rules, op3_substring_dedup, op4_language_id, op5_line_dedup, op6_quality_classifier, op7_packing, op8_token_counts, op9_html_extraction, op10_decontamination, op11_prefix_trie, op13_bpe)
+    for f in (op1_minhash, op2_quality_rules, op3_substring_dedup, op4_language_id, op5_line_dedup, op6_quality_classifier, op7_packing, op8_token_counts, op9_html_extraction, op10_decontamination, op11_prefix_trie, op12_spelling, op13_bpe)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,6 +127,19 @@ t AS (SELECT s.top, s.d, sum((kids = 0)::INT) leaves, sum(saved) saved FROM f JO
 e AS (SELECT top, d, string_agg(c::VARCHAR, ',' ORDER BY c) ids FROM s WHERE d = (SELECT max(d) FROM s z WHERE z.c = s.c) GROUP BY 1, 2)
 SELECT f.top conv_id, f.d::BIGINT AS depth, f.up parent_conv_id, m::BIGINT n_convs, kids::BIGINT n_children, leaves::BIGINT n_leaves, t.saved::BIGINT saved_tokens, sha256(coalesce(ids, '')) ends_sha256
 FROM f JOIN t USING (top, d) LEFT JOIN e USING (top, d)""",
+    "op12_spelling": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') r FROM documents),
+g AS (SELECT doc_id, r, count(*) n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) x FROM r WHERE length(r) >= 6 GROUP BY 1, 2),
+h AS (SELECT r, n, {_CRC.format("list_transform(range(1, length(x), 2), lambda k: ('0x' || substr(x, k, 2))::BIGINT)")} h FROM g, crc),
+w AS (SELECT w AS word, sum(n)::BIGINT n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(r, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END w, n FROM h) WHERE length(w) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+d AS (SELECT word, n, k, left(word, (k - 1)::INT) || substr(word, (k + 1)::INT) x FROM (SELECT *, unnest(range(1, length(word) + 1)) k FROM w)),
+p AS (SELECT a.word, b.word other, b.n m FROM d a JOIN d b ON a.x = b.x AND a.k = b.k AND a.word <> b.word
+UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.x = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.x = w.word),
+b AS (SELECT word, count(*) n_near, max(m) m FROM p GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) n_near, CASE WHEN m >= 5 * w.n THEN (SELECT min(other) FROM p WHERE p.word = w.word AND p.m = b.m) END form, CASE WHEN m >= 5 * w.n THEN m END form_n FROM w LEFT JOIN b USING (word)),
+t AS (SELECT word, word root, form nxt FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.nxt)
+SELECT f.word, form, root, n, n_near::BIGINT n_near, form_n FROM f JOIN t ON t.word = f.word AND t.nxt IS NULL""",
     "op10_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark WHERE item_id IS NOT NULL),

@@ -46,4 +46,4 @@ def test_stages(spark, sf_dir):
 
 def test_run_and_registration(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir[0]).count() > 0
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [*range(1, 12), 13] and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
