@@ -107,8 +107,10 @@ c AS (SELECT x doc_id, min(y) component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, len(g)::BIGINT n_shingles, component_id, s.doc_id = component_id kept FROM s JOIN c USING (doc_id)""",
     "op5_line_dedup": """
 WITH n AS (SELECT source, count(*) n FROM documents WHERE source IS NOT NULL GROUP BY 1),
-l AS (SELECT DISTINCT doc_id, source, unnest(string_split(text, chr(10))) line FROM documents),
-f AS (SELECT l.source, line FROM l JOIN n USING (source) WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY l.source, line, n.n HAVING count(*) >= 2 AND 100 * count(*) > 10 * n.n),
+u AS (SELECT DISTINCT doc_id, source, unnest(string_split(text, chr(10))) line FROM documents WHERE source IS NOT NULL),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line DESC) k FROM u WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+c AS (SELECT a.source, a.line, count(DISTINCT coalesce(b.line, '')) c FROM l a LEFT JOIN l b ON b.doc_id = a.doc_id AND b.k = CASE WHEN a.k = 1 THEN 2 ELSE 1 END GROUP BY 1, 2),
+f AS (SELECT c.source, line FROM c JOIN n USING (source) WHERE c >= 3 AND 100 * c > 10 * n.n),
 k AS (SELECT source, list(line) ls FROM f GROUP BY 1),
 x AS (SELECT doc_id, d.source, text, string_split(text, chr(10)) ls, list_filter(string_split(text, chr(10)), lambda y: NOT coalesce(list_contains(k.ls, y), false)) kept FROM documents d LEFT JOIN k ON d.source = k.source)
 SELECT doc_id, source, coalesce(len(ls) - len(kept), 0)::BIGINT n_dropped, array_to_string(kept, chr(10)) "text" FROM x""",

@@ -44,6 +44,39 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in pieces} == set(found["decontamination"])
 
 
+@pytest.mark.parametrize("pages", [2, 10, 15])
+def test_copies_on_small_sites_keep_one_text(spark, pages):
+    """Two equal documents and a near copy, of one line or of several, among others of a site, with and without a common line."""
+    rng = random.Random(pages)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for lines in (1, 5):
+        for common in ("", "\nCommon line"):
+            clean = "\n".join(corpus.prose(rng, 100 // lines) for _ in range(lines))
+            rows = [(0, clean + common), (1, clean + common)] + [(2, clean.replace(clean.split()[50], "changed", 1) + common)] * (pages > 2)
+            rows += [(3 + k, corpus.prose(rng, 60) + common) for k in range(pages - 3)]
+            docs = spark.createDataFrame([(i, t, None, "site", len(t)) for i, t in rows], schema)
+            cut = corpus_pipeline.drop_boilerplate_lines(spark, docs, "")
+            kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, cut, "").collect()}
+            assert set(kept) == {0, *range(3, pages)} and kept[0].split("\nCommon")[0] == clean
+            assert not common or pages == 2 or not any("Common" in t for t in kept.values())
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Empty tables, nulls, repeated rows, ties, clashing columns and a very long word pass every stage; n_chars follows the text."""
+    base, _ = sf_dir
+    rows = [(i, t, None, "s", 0, "x", "y", 1) for i, t in corpus.ODD] + [(950, "w" * 200_000 + " and ten words more to be kept as they are here", "en", None, 1, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lines string, host string, label int")
+    for given in (docs.limit(0), docs):
+        now = given
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            new = stage(spark, now, base)
+            assert new.dtypes == docs.dtypes
+            now = spark.createDataFrame(new.collect(), new.schema)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, base).collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in now.collect()}
+    assert [r.n_chars for r in corpus_pipeline.drop_boilerplate_lines(spark, docs.where("doc_id = 903"), base).collect()] == [200_000]
+
+
 def test_run_and_registration(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir[0]).count() > 0
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
