@@ -152,7 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str =
     The driver gets their hashed counts, a bounded number of sparse rows. With no labels, or of
     one kind only, the probability is the constant share of label 1 (1/2 with none).
     """
-    rows = labelled.sample(docs, labels, label, bound, id, text).mapInArrow(_features, "id long, label int, cells array<int>, shares array<float>").toArrow().sort_by("id")
+    taken = labelled.sample(docs, labels, label, bound, id, text)
+    kind = taken.schema["id"].dataType.simpleString()
+    rows = taken.mapInArrow(_features, f"id {kind}, label int, cells array<int>, shares array<float>").toArrow().sort_by("id")
     lists = {c: [x.values.to_numpy(zero_copy_only=False) for x in rows.column(c)] for c in ("cells", "shares")}
     return fit(lists["cells"], lists["shares"], np.array(rows.column("label").to_pylist(), float))
 

@@ -7,6 +7,7 @@ from collections import Counter
 import corpus
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from spanloom.llm import gbt, langid, quality_rules
 
 
@@ -81,6 +82,9 @@ def test_quality_rules(spark, tables):
     assert sum((scored[i].probability >= 0.5) == truth[i] for i in out) / len(out) > 0.95
     p = np.array([scored[i].probability for i in out])
     assert abs(p.mean() - np.mean([truth[i] for i in out])) < 0.1  # calibrated in the large
+    names = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    named = quality_rules.judge(names(docs), quality_rules.train(names(docs), names(labels)))
+    assert named.schema["doc_id"].dataType.simpleString() == "string" and {r.doc_id for r in named.collect()} == {f"d{i}" for i in scored}
     nothing = quality_rules.train(docs.limit(0), labels)
     assert {r.probability for r in quality_rules.judge(odd, nothing).collect()} == {0.5}
 
