@@ -48,8 +48,9 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     given = taken.groupBy("conv").agg(F.array_sort(F.collect_list(entry)).alias("given"))
     mixed = lambda upto, name: F.aggregate(F.slice("given", 1, upto), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseXOR(y[name]))
     begun = given.select("conv", F.posexplode("given").alias("at", "e"), "given").select("conv", "e.depth", mixed(F.col("at") + 1, "h").alias("k"), mixed(F.col("at") + 1, "g").alias("l"), "e.h", "e.g", "e.words")
+    # what is joined to rows of hot keys is a table, not a sum over the same keys: so Spark can split a key's rows among tasks
     known = convs.join(given, "conv", "left").select("conv", "shared", F.coalesce(F.size("given"), F.lit(0)).alias("size"), *(F.when(F.col("given").isNotNull(), mixed(F.size("given"), c)).otherwise(F.lit(0)).alias(f"base_{c}") for c in ("h", "g")))
-    kept = turns.join(known, "conv").where("n > shared").withColumn("depth", F.col("n") - F.col("shared") + F.col("size")).withColumns({"h": h, "g": g})
+    kept = turns.join(save(known, "known"), "conv").where("n > shared").withColumn("depth", F.col("n") - F.col("shared") + F.col("size")).withColumns({"h": h, "g": g})
     kept = save(kept.select("conv", "depth", "h", "g", "words", "base_h", "base_g", "_block", "_tie"), "kept")
     chained = running(kept, ["conv"], ["depth"], {"own_h": ("xor", F.col("h")), "own_g": ("xor", F.col("g"))})
     later = chained.select("conv", "depth", F.col("base_h").bitwiseXOR(F.col("own_h")).alias("k"), F.col("base_g").bitwiseXOR(F.col("own_g")).alias("l"), "h", "g", "words")
@@ -63,7 +64,7 @@ def paths(prefixes: DataFrame, convs: DataFrame) -> DataFrame:
     is on every path. ``ends`` marks a path's last node.
     """
     root = convs.agg(F.min("conv")).first()[0]
-    tops = prefixes.groupBy("depth", "k", "l").agg(F.min("conv").alias("top"))
+    tops = save(prefixes.groupBy("depth", "k", "l").agg(F.min("conv").alias("top")), "tops")
     named = prefixes.join(tops, ["depth", "k", "l"]).select("conv", "depth", "top", "words")
     roots = convs.select("conv", F.lit(0).cast("bigint").alias("depth"), F.lit(root).cast("bigint").alias("top"), F.lit(0).cast("bigint").alias("words"))
     steps = save(named.unionByName(roots), "steps")
@@ -80,6 +81,7 @@ def nodes(paths: DataFrame) -> DataFrame:
     of those lie at or under it.
     """
     own = paths.groupBy("conv").agg(F.max("depth").alias("length"), F.sum((F.col("top") != F.col("conv")).cast("bigint")).alias("others"))
+    own = save(own, "own")
     at_or_under = F.greatest(F.col("length") + 1 - F.greatest("others", "depth"), F.lit(0))
     each = paths.join(own, "conv").groupBy("top", "depth").agg(F.min("up").alias("up"), F.count("*").alias("n_convs"), F.min("words").alias("words"), F.sum(at_or_under).alias("size"))
     each = save(each, "nodes")
