@@ -50,51 +50,108 @@ def union_seconds(df: DataFrame, by: Sequence[str] = (), width: int = DAY) -> Da
     return pieces.groupBy(*by).agg(F.sum(F.col("e") - F.col("s")).alias("seconds"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, by: Sequence[str] = (), width: int = DAY // 4) -> DataFrame:
-    """All pairs of a left and a right row of one owner that share time.
+#: An index level of width 2**w takes intervals of up to 2**(w + _MORE) seconds, and of over 2**(w - _LESS - 1): at most 2**_MORE + 1 cells each.
+_MORE, _LESS = 3, 2
+
+
+def _bits(df: DataFrame) -> Column:
+    return F.length(F.bin(F.col("e") - F.col("s") - 1))
+
+
+def _lengths(df: DataFrame) -> set[int]:
+    """How many bits the lengths of ``df`` have: 64 kinds at most."""
+    return {r.b for r in df.where("e > s").select(_bits(df).alias("b")).distinct().collect()}
+
 
-    Left columns are named l_* and right ones r_*. Both sides are repeated for each bucket that they
-    meet and joined by owner and bucket; a pair is kept in the bucket where its common time
-    begins, so comes once. Choose ``width`` near the usual length of the longer intervals.
+def _fewest(lengths: set[int]) -> tuple[int, ...]:
+    out: list[int] = []
+    for bits in sorted(lengths):
+        if not out or bits > out[-1] + _MORE:
+            out.append(bits + _LESS)
+    return tuple(out) or (0,)
+
+
+def index_levels(df: DataFrame) -> tuple[int, ...]:
+    """The levels w that an index of these intervals needs: every length has one whose cells of 2**w seconds suit it.
+
+    A pass of its own finds the lengths. The fewest levels that serve all are taken: one or two for intervals of like length,
+    five for those of a second to ten years.
     """
-    sides = []
-    for name, df in (("l", left), ("r", right)):
-        rows = df.where("e > s").withColumn("_b", F.explode(F.sequence(_bucket(F.col("s"), width), _bucket(F.col("e") - 1, width))))
-        sides.append(rows.select(*by, "_b", *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in by)))
-    shared = (F.col("l_s") < F.col("r_e")) & (F.col("r_s") < F.col("l_e")) & (_bucket(F.greatest("l_s", "r_s"), width) == F.col("_b"))
-    return sides[0].join(sides[1], [*by, "_b"]).where(shared).drop("_b")
+    return _fewest(_lengths(df))
+
+
+def _level(levels: Sequence[int], s: str = "s", e: str = "e") -> Column:
+    """A row's own level: the first that takes its length."""
+    out = F.lit(levels[-1])
+    for w in reversed(levels[:-1]):
+        out = F.when(F.col(e) - F.col(s) <= 1 << (w + _MORE), w).otherwise(out)
+    return out
+
+
+def _cells(level: Column, s: str = "s", e: str = "e") -> Column:
+    at = lambda t: F.call_function("shiftright", t, level)
+    return F.sequence(at(F.col(s)), at(F.col(e) - 1))
 
 
-def typical_width(df: DataFrame) -> int:
-    """A bucket width for joins: the mean length of the intervals, a minute at least; cut to it, they are three pieces each on average at most."""
-    mean = df.where("e > s").agg(F.avg(F.col("e") - F.col("s"))).first()[0]
-    return max(60, int(mean or 0))
+def _on(level: int) -> Column:
+    """The cells of one level, each with the level."""
+    return F.transform(_cells(F.lit(level)), lambda c: F.struct(F.lit(level).alias("w"), c.alias("c")))
 
 
-def overlap_pairs(df: DataFrame, by: Sequence[str] = (), id: str = "id", width: int | None = None) -> DataFrame:
+def begin_in(left: DataFrame, right: DataFrame, by: Sequence[str] = (), levels: Sequence[int] | None = None) -> DataFrame:
+    """All pairs of a left and a right row of one owner of which the right one begins inside the left: columns l_* and r_*.
+
+    A left row lies in the few cells of its own level that it meets; a right one is looked up in the one cell of each level that holds its
+    begin. So a pair meets once, and no row is copied more often than there are levels or cells of one, however lengths are
+    mixed. ``levels`` are those of :func:`index_levels` for the left rows; they are found in a pass of their own if not given.
+    """
+    levels = tuple(levels or index_levels(left))
+    held = left.where("e > s").withColumn("_level", _level(levels)).withColumn("_cell", F.explode(_cells(F.col("_level"))))
+    place = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.shiftright("s", w).alias("c")) for w in levels)))
+    begun = right.where("e > s").withColumn("_at", place).withColumns({"_level": F.col("_at.w"), "_cell": F.col("_at.c")})
+    named = lambda df, side, own: df.select(*by, "_level", "_cell", *(F.col(c).alias(f"{side}_{c}") for c in own if c not in by))
+    pairs = named(held, "l", left.columns).join(named(begun, "r", right.columns), [*by, "_level", "_cell"])
+    return pairs.where((F.col("r_s") >= F.col("l_s")) & (F.col("r_s") < F.col("l_e"))).drop("_level", "_cell")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All pairs of a left and a right row of one owner that share time.
+
+    Left columns are named l_* and right ones r_*. A pair meets on the higher level of its two rows: there the longer one
+    lies in a few cells, and the shorter one in one or two; the pair is kept in the cell where its common time
+    begins, so comes once. A row is put on its own level, if the other side has rows there or below, and on the higher ones that the
+    other side has.
+    """
+    lengths = [_lengths(df) for df in (left, right)]
+    levels, sides = _fewest(lengths[0] | lengths[1]), []
+    theirs = [{next(w for w in levels if b <= w + _MORE) for b in kinds} for kinds in lengths]
+    for name, df, other in (("l", left, theirs[1]), ("r", right, theirs[0])):
+        own = F.col("_own")
+        cells = [F.when(((own == w) & F.lit(any(x <= w for x in other))) | ((own < w) & F.lit(w in other)), _on(w)) for w in levels]
+        rows = df.where("e > s").withColumn("_own", _level(levels)).withColumn("_at", F.explode(F.flatten(F.array_compact(F.array(*cells)))))
+        sides.append(rows.select(*by, F.col("_at.w").alias("_level"), F.col("_at.c").alias("_cell"), F.col("_own").alias(f"_{name}"), *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in by)))
+    begins = F.call_function("shiftright", F.greatest("l_s", "r_s"), F.col("_level")) == F.col("_cell")
+    shared = (F.col("l_s") < F.col("r_e")) & (F.col("r_s") < F.col("l_e")) & (F.greatest("_l", "_r") == F.col("_level")) & begins
+    return sides[0].join(sides[1], [*by, "_level", "_cell"]).where(shared).drop("_level", "_cell", "_l", "_r")
+
+
+def overlap_pairs(df: DataFrame, by: Sequence[str] = (), id: str = "id", levels: Sequence[int] | None = None) -> DataFrame:
     """Each unordered pair of an owner's intervals that share time, once: (by, left, right, s, e, seconds).
 
     The left one is the first by (s, e, id). Intervals that only touch are no pair; rows equal
     in all three are not compared with themselves. Of two that share time the later begins inside the
-    earlier: so an interval looks for others in the buckets that it meets, and is found only in the one where it
-    begins. Without a ``width`` buckets are as wide as the intervals are long, so that a bucket of short ones
-    holds few.
+    earlier, so pairs are those of :func:`begin_in`.
     """
-    width = width or typical_width(df)
-    rows = df.select(*by, F.col(id).alias("id"), "s", "e").where("e > s")
-    held = rows.select(*by, *(F.col(c).alias(f"l_{c}") for c in ("id", "s", "e")), F.explode(F.sequence(_bucket(F.col("s"), width), _bucket(F.col("e") - 1, width))).alias("_b"))
-    begun = rows.select(*by, *(F.col(c).alias(f"r_{c}") for c in ("id", "s", "e")), _bucket(F.col("s"), width).alias("_b"))
-    later = (F.col("r_s") >= F.col("l_s")) & (F.col("r_s") < F.col("l_e")) & (F.struct("l_s", "l_e", "l_id") < F.struct("r_s", "r_e", "r_id"))
-    pairs = held.join(begun, [*by, "_b"]).where(later)
-    s, e = F.greatest("l_s", "r_s"), F.least("l_e", "r_e")
-    return pairs.select(*by, F.col("l_id").alias("left"), F.col("r_id").alias("right"), s.alias("s"), e.alias("e"), (e - s).alias("seconds"))
+    rows = df.select(*by, F.col(id).alias("id"), "s", "e")
+    pairs = begin_in(rows, rows, by, levels).where(F.struct("l_s", "l_e", "l_id") < F.struct("r_s", "r_e", "r_id"))
+    e = F.least("l_e", "r_e")
+    return pairs.select(*by, F.col("l_id").alias("left"), F.col("r_id").alias("right"), F.col("r_s").alias("s"), e.alias("e"), (e - F.col("r_s")).alias("seconds"))
 
 
 def blocks(df: DataFrame, by: Sequence[str] = (), id: str = "id", width: int = DAY) -> DataFrame:
     """:func:`islands` with the sorted ids of their members, of those that begin and of those that end with them."""
-    merged = islands(df, by, width)
     rows = df.select(*by, F.col(id).alias("id"), "s", "e")
-    member = overlap_join(merged, rows, by, width)
+    member = begin_in(islands(df, by, width), rows, by)
     listed = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("r_id"))))
     grouped = member.groupBy(*by, F.col("l_s").alias("s"), F.col("l_e").alias("e"))
     return grouped.agg(listed(F.lit(True)).alias("members"), listed(F.col("r_s") == F.col("l_s")).alias("starting"), listed(F.col("r_e") == F.col("l_e")).alias("ending"))
@@ -156,16 +213,16 @@ def clip(df: DataFrame, lo: int | Column, hi: int | Column, s: str = "s", e: str
     return df.where((a < b) | point).withColumns({s: a, e: F.greatest(a, b)})
 
 
-def assign(df: DataFrame, windows: DataFrame, by: Sequence[str] = (), width: int = DAY) -> DataFrame:
+def assign(df: DataFrame, windows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows cut to each window that they meet: the columns of both, with s and e of the common time, w_s and w_e of the window."""
-    both = overlap_join(windows, df, by, width)
+    both = overlap_join(windows, df, by)
     out = {c: F.col(f"r_{c}") for c in df.columns if c not in by} | {"w_s": F.col("l_s"), "w_e": F.col("l_e")} | {c: F.col(f"l_{c}") for c in windows.columns if c not in (*by, "s", "e")}
     return both.select(*by, *(v.alias(k) for k, v in (out | {"s": F.greatest("l_s", "r_s"), "e": F.least("l_e", "r_e")}).items()))
 
 
 def gaps(windows: DataFrame, busy: DataFrame, window: str, by: Sequence[str] = (), minimum: int = 1, width: int = DAY) -> DataFrame:
     """Free time of each window, in gaps of at least ``minimum`` seconds: (by, window, s, e, seconds). A window without busy time is one gap."""
-    held = assign(busy.select(*by, "s", "e"), windows.select(*by, window, "s", "e"), by, width)
+    held = assign(busy.select(*by, "s", "e"), windows.select(*by, window, "s", "e"), by)
     free = subtract(windows.select(*by, window, "s", "e"), held, [*by, window], width)
     return free.withColumn("seconds", F.col("e") - F.col("s")).where(F.col("seconds") >= minimum)
 
@@ -173,7 +230,7 @@ def gaps(windows: DataFrame, busy: DataFrame, window: str, by: Sequence[str] = (
 def witnessed_gaps(windows: DataFrame, busy: DataFrame, window: str, by: Sequence[str] = (), id: str = "id", minimum: int = 1, width: int = DAY) -> DataFrame:
     """:func:`gaps` with ``before`` and ``after``: the sorted ids of what ends and begins at their edges, empty at a window's edge."""
     keys = [*by, window]
-    held = assign(busy.select(*by, F.col(id).alias("id"), "s", "e"), windows.select(*by, window, "s", "e"), by, width)
+    held = assign(busy.select(*by, F.col(id).alias("id"), "s", "e"), windows.select(*by, window, "s", "e"), by)
     free = gaps(windows, busy, window, by, minimum, width)
     ends = held.groupBy(*keys, F.col("e").alias("_t")).agg(F.array_sort(F.collect_set("id")).alias("before"))
     starts = held.groupBy(*keys, F.col("s").alias("_t")).agg(F.array_sort(F.collect_set("id")).alias("after"))

@@ -58,14 +58,14 @@ def test_global_union(df, rows):
     assert [t for r in found for t in range(r.s, r.e)] == sorted(want) and all(a.e < b.s for a, b in zip(found, found[1:], strict=False))
 
 
-@pytest.mark.parametrize("width", [5, 1000])
-def test_pairs(df, rows, width):
+@pytest.mark.parametrize("levels", [None, (0,), (3,), (2, 30)])
+def test_pairs(df, rows, levels):
     by = defaultdict(list)
     for seed, i, s, e, _ in rows:
         if s < e:
             by[seed].append((s, e, i))
     want = Counter((k, a[2], b[2], max(a[0], b[0]), min(a[1], b[1])) for k, own in by.items() for a in own for b in own if a < b and a[0] < b[1] and b[0] < a[1])
-    assert Counter((r.seed, r.left, r.right, r.s, r.e) for r in iv.overlap_pairs(df, ["seed"], width=width).collect()) == want
+    assert Counter((r.seed, r.left, r.right, r.s, r.e) for r in iv.overlap_pairs(df, ["seed"], levels=levels).collect()) == want
 
 
 def test_set_operations(df, rows):
@@ -129,5 +129,33 @@ def test_pairs_of_short_and_long_intervals(spark):
     rows = [(k % 2, k, s, s + rng.choice((1, 30, 60, 100_000 if k % 50 == 0 else 45))) for k in range(400) for s in (rng.randrange(5000),)]
     df = spark.createDataFrame(rows, "owner int, id int, s long, e long")
     want = Counter((o, x, y) for o, x, s, e in rows for p, y, t, u in rows if o == p and s < u and t < e and (s, e, x) < (t, u, y))
-    for width in (None, 60, 7200):
-        assert Counter((r.owner, r.left, r.right) for r in iv.overlap_pairs(df, ["owner"], width=width).collect()) == want
+    for levels in (None, (6,), (13,)):
+        assert Counter((r.owner, r.left, r.right) for r in iv.overlap_pairs(df, ["owner"], levels=levels).collect()) == want
+
+
+def test_index_of_lengths_from_a_second_to_ten_years(spark):
+    """No row has more than nine cells or is looked up on more levels than there are, and pairs are those of brute force."""
+    rng = random.Random(17)
+    rows = [(k % 2, k, s, s + 2 ** rng.randrange(29) + rng.randrange(9)) for k in range(300) for s in (rng.randrange(-(2**28), 2**28) if k % 3 else rng.randrange(500),)]
+    df = spark.createDataFrame(rows, "owner int, id int, s long, e long")
+    levels = iv.index_levels(df)
+    assert len(levels) <= 6
+    cells = df.select(F.size(iv._cells(iv._level(levels))).alias("n")).agg(F.max("n")).first()[0]
+    assert cells <= 9
+    left, right = df.where("id % 2 = 0"), df.where("id % 2 = 1 or id < 50")
+    shared = Counter((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] % 2 == 0 and (b[1] % 2 or b[1] < 50) and a[2] < b[3] and b[2] < a[3])
+    assert Counter((r.owner, r.l_id, r.r_id) for r in iv.overlap_join(left, right, ["owner"]).collect()) == shared
+    inside = Counter((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] <= b[2] < a[3])
+    assert Counter((r.owner, r.l_id, r.r_id) for r in iv.begin_in(df, df, ["owner"]).collect()) == inside
+    pairs = Counter((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[3] and b[2] < a[3] and (a[2], a[3], a[1]) < (b[2], b[3], b[1]))
+    assert Counter((r.left, r.right) for r in iv.overlap_pairs(df, ["owner"]).collect()) == pairs
+
+
+def test_one_long_interval_among_short_ones(spark):
+    """A year beside a minute: nine cells, not half a million."""
+    year = 365 * 86_400
+    rows = [(0, 0, 0, year)] + [(0, k, k * 5000, k * 5000 + 60) for k in range(1, 500)]
+    df = spark.createDataFrame(rows, "owner int, id int, s long, e long")
+    levels = iv.index_levels(df)
+    assert df.where("id = 0").select(F.size(iv._cells(iv._level(levels)))).first()[0] <= 9
+    assert {(r.left, r.right) for r in iv.overlap_pairs(df, ["owner"]).collect()} == {(0, k) for k in range(1, 500)}
