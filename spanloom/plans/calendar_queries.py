@@ -49,6 +49,19 @@ def recur_daily(spark: SparkSession, d: str) -> DataFrame:
     return _daily(spark, d)
 
 
+@query(
+    """WITH m AS (SELECT o_orderkey family, TIMESTAMP '1900-01-01 09:30:00' + to_days(CAST(o_orderkey % 1000 AS INTEGER)) start, 1 + o_custkey % 7 n, CAST(o_orderdate AS DATE) d FROM orders),
+i AS (SELECT *, unnest(range((date_diff('day', CAST(start AS DATE), d) + n - 1) // n, date_diff('day', CAST(start AS DATE), d) // n + 40)) x FROM m)
+SELECT family, CAST(x + 1 AS INTEGER) AS ordinal, start + to_days(CAST(x * n AS INTEGER)) - INTERVAL 345 MINUTE AS utc FROM i WHERE start + to_days(CAST(x * n AS INTEGER)) <= d + INTERVAL 30 DAY"""
+)
+def recur_window(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of Kathmandu that began in 1900, over the 30 days from an order's date: numbers count from the start, candidates are those of the window."""
+    start = F.timestamp_add("DAY", (F.col("o_orderkey") % 1000).cast("int"), F.lit("1900-01-01 09:30:00").cast("timestamp_ntz"))
+    begin = F.col("o_orderdate").cast("date").cast("timestamp_ntz")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("family"), start.alias("local"), F.lit("Asia/Kathmandu").alias("zone"), F.lit("DAILY").alias("freq"), (1 + F.col("o_custkey") % 7).cast("int").alias("interval"), begin.alias("begin"))
+    return recurrence.expand(rows, F.timestamp_add("DAY", F.lit(30), "begin"), from_local=F.col("begin")).select("family", "ordinal", "utc")
+
+
 @query(
     """WITH m AS (SELECT o_orderkey family, 1 + o_custkey % 2 n, CASE o_custkey % 3 WHEN 0 THEN TIMESTAMP '2024-03-01 02:30:00' WHEN 1 THEN TIMESTAMP '2024-10-25 01:30:00' ELSE TIMESTAMP '2024-03-03 23:45:00' END + to_days(CAST(o_orderkey % 12 AS INTEGER)) start FROM orders),
 c AS (SELECT family, x, start + to_days(CAST(x * n AS INTEGER)) l FROM (SELECT *, unnest(range(20)) x FROM m)),

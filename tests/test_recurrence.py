@@ -119,3 +119,36 @@ def test_schedules_equal_minute_cells(spark):
         assert r.error is None and not got[r.date] & {min(own) - 1, *own, max(own) + 1}  # windows that touch are one
         got[r.date] |= own
     assert all(got[d] == own for d, own in cells.items())
+
+
+def test_a_window_far_from_the_start_makes_only_its_own_candidates(spark):
+    """Rules from 1900, over a window of 90 days: the same rows as from the start on, without making those before."""
+    rng, rows = random.Random(8), []
+    begin, horizon = datetime.datetime(2024, 2, 20), datetime.datetime(2024, 5, 20)
+    for k in range(40):
+        local = datetime.datetime(1900, 1, 1) + datetime.timedelta(rng.randrange(400), rng.choice((0, 7200, 9000)))
+        freq = rng.choice(("DAILY", "WEEKLY"))
+        rows.append((k, local, ZONES[k % 4], freq, rng.randint(1, 3), sorted(rng.sample(range(7), 2)) if freq == "WEEKLY" else None, rng.randrange(7), rng.choice((None, 2000, 45_000))))
+    df = spark.createDataFrame(rows, "family int, local timestamp_ntz, zone string, freq string, interval int, byday array<int>, wkst int, count int")
+    key = lambda r: (r.family, r.ordinal, r.local, r.utc)
+    every = recurrence.expand(df, F.lit(horizon)).where(F.col("local") >= F.lit(begin)).collect()
+    part = recurrence.expand(df, F.lit(horizon), from_local=F.lit(begin))
+    assert sorted(map(key, part.collect())) == sorted(map(key, every)) and len(every) > 500
+    daily = df.where("freq = 'DAILY' and interval = 1 and count is null").limit(1)
+    assert 85 <= recurrence.expand(daily, F.lit(horizon), from_local=F.lit(begin)).count() <= 91
+
+
+def test_zone_periods_equal_conversions_one_by_one(spark):
+    from spanloom.functions import times, zones
+
+    names = ["America/New_York", "Europe/Dublin", "Australia/Lord_Howe", "Pacific/Apia", "Asia/Kathmandu", "Africa/Monrovia", "UTC"]
+    first, last = (datetime.date(y, 1, 1).toordinal() - 719_163 for y in (1900, 2040))
+    table = zones.periods(spark, names, first, last)
+    at = F.lit(first * 86_400) + F.pmod(F.xxhash64("id"), F.lit((last - first) * 86_400))
+    some = spark.range(60_000).select(at.alias("t"), F.get(F.array(*map(F.lit, names)), (F.col("id") % 7).cast("int")).alias("zone"))
+    near = table.where("hi < 4000000000000").select("zone", F.explode(F.array("shown", "hi")).alias("x")).select("zone", F.explode(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda k: F.col("x") + k * 900)).alias("t")).select("t", "zone").where(F.col("t").between(first * 86_400, last * 86_400))
+    rows = some.unionByName(near).distinct().join(table, "zone").where("t >= lo and t < hi")
+    local = times.instant("t")
+    wrong = rows.where((times.seconds(times.to_utc(local, F.col("zone"))) != F.col("t") - F.col("offset")) | (times.exists(local, F.col("zone")) != (F.col("t") < F.col("shown"))))
+    assert wrong.collect() == [] and rows.count() == some.unionByName(near).distinct().count()
+    assert table.where("zone = 'Pacific/Apia' and hi - shown = 86400").count() == 1
