@@ -17,8 +17,8 @@ from ..tables import save
 
 #: A running value's window function, and how a block's own value is joined to what came before (null: nothing).
 _KINDS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
-    "sum": (F.sum, lambda before, own: F.coalesce(before, F.lit(0)) + own),
-    "xor": (F.bit_xor, lambda before, own: F.coalesce(before, F.lit(0)).bitwiseXOR(own)),
+    "sum": (F.sum, lambda before, own: F.coalesce(before, F.lit(0)) + F.coalesce(own, F.lit(0))),
+    "xor": (F.bit_xor, lambda before, own: F.coalesce(before, F.lit(0)).bitwiseXOR(F.coalesce(own, F.lit(0)))),
     "max": (F.max, F.greatest),
     "last": (lambda c: F.last(c, ignorenulls=True), lambda before, own: F.coalesce(own, before)),
 }
@@ -34,13 +34,14 @@ def blocks(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     return save(rows.repartitionByRange(*by, *order, "_tie").withColumn("_block", F.spark_partition_id()), "blocks")
 
 
-def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]], own_row: bool = True) -> DataFrame:
     """``rows`` of :func:`blocks` with a running value for each name: of its kind (sum, xor, max or last that isn't null), up to and with the row.
 
+    With own_row=False up to the row before; a group's first row then has a sum of 0, and null else.
     ``rows`` are read three times, so should be a table; they may have lost rows since they were dealt out, and
-    have columns more, but lie in their blocks still. Nulls are skipped; a null key is a group of its own.
+    have more columns, but lie in their blocks still. Nulls are skipped; a null key is a group of its own.
     """
-    own = Window.partitionBy("_block", *by).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("_block", *by).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, 0 if own_row else -1)
     inside = rows.select("*", *(_KINDS[kind][0](value).over(own).alias(name) for name, (kind, value) in values.items()))
     key = F.struct(*by, F.lit(0))
     spans = rows.groupBy(F.col("_block").alias("_of")).agg(F.min(key).alias("_first"), F.max(key).alias("_end"))

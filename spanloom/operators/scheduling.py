@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times
+from . import scan
 from .intervals import islands
 
 
@@ -43,10 +44,16 @@ def merge_windows(schedule: DataFrame, zone: str) -> DataFrame:
 
 
 def overlapping_windows(windows: DataFrame, by: str | None = None) -> DataFrame:
-    """Windows that begin before an earlier one has ended (columns s, e; within ``by`` if given)."""
-    order = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("s", "e")
-    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return windows.withColumn("_reach", reach).where(F.col("s") < F.col("_reach")).drop("_reach")
+    """Windows that begin before an earlier one has ended (columns s, e; within ``by`` if given).
+
+    Owners' windows are looked at in two levels, so an owner may have any number; without owners they are one
+    specification's, of at most a few a day.
+    """
+    if by:
+        reached = scan.running(scan.blocks(windows, [by], ["s", "e"]), [by], ["s", "e"], {"_reach": ("max", F.col("e"))}, own_row=False)
+    else:
+        reached = windows.withColumn("_reach", F.max("e").over(Window.partitionBy().orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)))
+    return reached.where(F.col("s") < F.col("_reach")).select(windows.columns)
 
 
 def day_status(days: DataFrame, minimum: int) -> DataFrame:

@@ -18,7 +18,8 @@ from ..operators import families, recurrence
 from ..operators.rollup import daily, day_spine
 from ..session import prepare
 from ..sources import ics
-from ..tables import save
+from ..sources import lines as text_lines
+from ..tables import save, save_counted
 
 #: Order of the checks of a family; the first that fails names the family's error.
 _TEXT, _SNAPSHOTS, _CARDINALITY, _CANCELLED, _MASTER, _NONRECURRING, _OVERRIDE, _EXPANSION = range(8)
@@ -46,7 +47,7 @@ class Audit:
 
     def __init__(self, spark: SparkSession, paths: Sequence[str], start: str, end: str, zone: str, floating_timezone: str | None = None, limits: Limits | None = None):
         self.spark, self.paths, self.zone, self.floating = prepare(spark), list(paths), zone, floating_timezone
-        self.limits = limits or Limits()
+        self.limits, self._counts = limits or Limits(), {}
         if not self.paths:
             raise InputError("no calendar given")
         self.first, self.last, self.lo, self.hi = _window(start, end, zone)
@@ -56,12 +57,20 @@ class Audit:
 
     @cached_property
     def _read(self) -> tuple[DataFrame, DataFrame]:
-        files, events = ics.read(self.spark, self.paths, self.floating or self.zone, self.floating is not None)
-        size, longest = files.agg(F.sum("bytes"), F.max("longest")).first()
-        self.limits.check("input_bytes", size or 0)
-        self.limits.check("line_bytes", longest or 0)
+        # sizes come from the listing, so too much input is refused before any of it is read
+        size, largest = text_lines.sizes(self.spark, self.paths).agg(F.sum("bytes"), F.max("bytes")).first()
+        self.limits.check("input_bytes", size)
+        files, events = ics.read(self.spark, self.paths, self.floating or self.zone, self.floating is not None, largest > ics.WIDE_FILE)
+        self.limits.check("line_bytes", files.agg(F.max("longest")).first()[0] or 0)
         return files, events
 
+    def _kept(self, df: DataFrame, name: str, counter: str | None = None) -> DataFrame:
+        """``df`` as a table, its rows counted by the job that writes it and held against the limit of that counter."""
+        out, self._counts[name] = save_counted(df, name)
+        if counter:
+            self.limits.check(counter, self._counts[name])
+        return out
+
     @property
     def files(self) -> DataFrame:
         return self._read[0]
@@ -74,9 +83,7 @@ class Audit:
     def records(self) -> DataFrame:
         """Every event as a record: identity, decoded values and what is wrong with it alone."""
         rows = self._read[1].withColumn("ord", F.shiftleft(F.col("source_ord").cast("bigint"), 32) + F.col("no"))
-        rows = save(rows, "records")
-        self.limits.check("events", rows.count())
-        return rows
+        return self._kept(rows, "records", "events")
 
     def _decoded(self, start: Column, transp: Column, status: Column, rule: bool) -> dict[str, Column]:
         """bad, duration and the rule's end, for a record with the given (perhaps inherited) values."""
@@ -181,7 +188,7 @@ class Audit:
         m = m.join(one, "uid", "left_semi")
         horizon = F.when(F.col("start.kind") == "date", F.lit(self.last).cast("timestamp_ntz")).otherwise(times.from_utc(times.instant(F.lit(self.hi)), F.col("start.zone")))
         rows = m.select("uid", F.col("start.value").alias("local"), F.col("start.zone").alias("zone"), F.when(F.col("recurs"), F.col("rule.freq")).alias("freq"), "rule.interval", "rule.byday", "rule.wkst", "rule.count", "until_utc", F.greatest(horizon, "through", "start.value").alias("stop"))
-        return save(recurrence.expand(rows, F.col("stop"), "uid"), "candidates")
+        return self._kept(recurrence.expand(rows, F.col("stop"), "uid"), "candidates")
 
     @cached_property
     def _resolutions(self) -> DataFrame:
@@ -198,7 +205,8 @@ class Audit:
     def counters(self) -> dict[str, int]:
         """How much was read, expanded, resolved and found."""
         resolved = self._resolutions.agg(F.sum("n")).first()[0] or 0
-        out = {"events": self.records.count(), "candidates": self._candidates.count() - resolved, "resolutions": resolved, "occurrences": self.occurrences.count()}
+        _, n = (self.records, self._candidates, self.occurrences), self._counts  # tables are counted when they are made
+        out = {"events": n["records"], "candidates": n["candidates"] - resolved, "resolutions": resolved, "occurrences": n["occurrences"]}
         self.limits.check("candidates", out["candidates"])
         return out
 
@@ -236,9 +244,7 @@ class Audit:
         civil = lambda d: int(datetime.datetime.combine(d, datetime.time(), datetime.timezone.utc).timestamp())
         lo, hi = (F.when(F.col("all_day"), civil(d)).otherwise(t) for d, t in ((self.first, self.lo), (self.last, self.hi)))
         cut = iv.clip(rows.withColumns({"cs": F.col("s"), "ce": F.col("e")}), lo, hi, "cs", "ce")
-        cut = save(cut, "occurrences")
-        self.limits.check("occurrences", cut.count())
-        return cut
+        return self._kept(cut, "occurrences", "occurrences")
 
     @cached_property
     def timed(self) -> DataFrame:
@@ -253,18 +259,17 @@ class Audit:
         warned = self.files.select("source_ord", null("bigint").alias("ord"), F.lit("unsupported_component").alias("code"), F.explode("warnings").alias("message"))
         nameless = self.records.where("uid is null or uid = '' or bad_text").select(null("int").alias("source_ord"), "ord", F.lit("invalid_identity").alias("code"), F.lit("Missing, empty or repeated identity").alias("message"))
         failed = self.members.join(self.errors, "uid").select(null("int").alias("source_ord"), "ord", "code", F.concat(F.lit("Family excluded: "), F.col("code")).alias("message"))
-        return save(files.unionByName(warned).unionByName(nameless).unionByName(failed), "issues")
+        return self._kept(files.unionByName(warned).unionByName(nameless).unionByName(failed), "issues")
 
     @cached_property
     def complete(self) -> bool:
         """False if anything wasn't understood; absence of occurrences then proves nothing."""
-        return self.issues.limit(1).count() == 0
+        _ = self.issues
+        return self._counts["issues"] == 0
 
     @cached_property
     def overlaps(self) -> DataFrame:
-        pairs = save(iv.overlap_pairs(self.timed), "pairs")
-        self.limits.check("pairs", pairs.count())
-        return pairs
+        return self._kept(iv.overlap_pairs(self.timed), "pairs", "pairs")
 
     @cached_property
     def daily(self) -> DataFrame:

@@ -24,18 +24,27 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
+def _listed(spark: SparkSession, paths: Sequence[str], column: str) -> DataFrame:
+    """(source_ord, name, column) of single files, numbered from 1 in the order given; null for empty ones, which the reader skips."""
+    given = [(k, _qualified(spark, p), p.rstrip("/").rsplit("/", 1)[-1]) for k, p in enumerate(paths, 1)]
+    known = spark.createDataFrame(given, "source_ord int, path string, name string")
+    found = spark.read.format("binaryFile").load(sorted({_escaped(path) for _, path, _ in given})).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), column)
+    return known.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(found, "path", "left").select("source_ord", "name", column)
+
+
+def sizes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(source_ord, name, bytes) of single files, from their listing: no content is read."""
+    return _listed(spark, paths, "length").select("source_ord", "name", F.coalesce("length", F.lit(0).cast("bigint")).alias("bytes"))
+
+
 def files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(source_ord, name, bytes, sha256, content) of single files, read in one scan and numbered from 1 in the order given.
 
     Names are literal, whatever characters they hold. A file given twice comes twice; empty files, which
     the reader skips, are there too.
     """
-    given = [(k, _qualified(spark, p), p.rstrip("/").rsplit("/", 1)[-1]) for k, p in enumerate(paths, 1)]
-    known = spark.createDataFrame(given, "source_ord int, path string, name string")
-    found = spark.read.format("binaryFile").load(sorted({_escaped(path) for _, path, _ in given})).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content")
     content = F.coalesce("content", F.lit(b""))
-    rows = known.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(found, "path", "left")
-    return rows.select("source_ord", "name", F.octet_length(content).cast("bigint").alias("bytes"), F.sha2(content, 256).alias("sha256"), content.alias("content"))
+    return _listed(spark, paths, "content").select("source_ord", "name", F.octet_length(content).cast("bigint").alias("bytes"), F.sha2(content, 256).alias("sha256"), content.alias("content"))
 
 
 def head(line: Column) -> dict[str, Column]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +24,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def save_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """:func:`save`, and how many rows were written, which the writing job counts on its way."""
+    seen = Observation()
+    out = save(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return out, seen.get["rows"]
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table of :func:`save` that nothing will read again."""
     spark = df.sparkSession

@@ -1,6 +1,7 @@
 """Small calendars for tests, written from rows of properties."""
 
 import datetime
+import random
 import zoneinfo
 
 
@@ -30,26 +31,95 @@ def seconds(local, zone="Europe/Berlin", fold=0):
     return int(datetime.datetime.fromisoformat(local).replace(tzinfo=zoneinfo.ZoneInfo(zone), fold=fold).timestamp())
 
 
-def fair():
-    """Four days of a fair in Berlin, over the change from summer time: a series, what overlaps, touches and lies inside, and what occupies nothing."""
-    return calendar(
-        event("setup", f"{BERLIN}20251024T071500", f"{BERLIN}20251024T084500", "RRULE:FREQ=DAILY;COUNT=4", f"EXDATE{BERLIN}20251026T071500"),
-        event("talk", f"{BERLIN}20251024T080000", f"{BERLIN}20251024T093000"),
-        event("break", f"{BERLIN}20251024T093000", f"{BERLIN}20251024T100000"),
-        event("night", f"{BERLIN}20251025T223000", f"{BERLIN}20251026T043000"),
-        event("lunch", "20251025T120000", "20251025T130000"),
-        event("call", f"{BERLIN}20251025T121500", f"{BERLIN}20251025T122000"),
-        event("holiday", ";VALUE=DATE:20251025", ";VALUE=DATE:20251027"),
-        event("open day", f"{BERLIN}20251027T090000", f"{BERLIN}20251027T180000", "TRANSP:TRANSPARENT"),
-        event("off", None, None, "STATUS:CANCELLED"),
-        event("mark", f"{BERLIN}20251027T150000"),
-        event("quote", f"{BERLIN}20251027T160000", f"{BERLIN}20251027T164000", "COMMENT:not for others", summary="<b onclick=x()>Offer</b> \\; more"),
-    )
-
-
-#: Occurrences of the fair with length, and its dates, written out by hand.
-FAIR_TIMES = [(seconds(f"2025-10-{a}"), seconds(f"2025-10-{b}")) for a, b in (("24 07:15", "24 08:45"), ("25 07:15", "25 08:45"), ("27 07:15", "27 08:45"), ("24 08:00", "24 09:30"), ("24 09:30", "24 10:00"), ("25 22:30", "26 04:30"), ("25 12:00", "25 13:00"), ("25 12:15", "25 12:20"), ("27 16:00", "27 16:40"))]
-FAIR_DATES = ["2025-10-25", "2025-10-26"]
+class Sample:
+    """A made-up calendar of one zone and what it occupies from day ``first`` for ``days`` days, worked out day by day.
+
+    ``times`` are the occurrences with length (seconds), cut to the window; ``points`` those without; ``dates`` the civil dates of
+    each all-day occurrence in the window; ``cancelled`` the cancelled instances.
+    """
+
+    def __init__(self, seed, first="2025-10-24", days=4, zone="Europe/Berlin", entries=14):
+        self.rng, self.zone, self.tz = random.Random(seed), zone, zoneinfo.ZoneInfo(zone)
+        self.first, self.days = datetime.date.fromisoformat(first), days
+        self.lo, self.hi = (self._at(datetime.datetime.combine(self.first + datetime.timedelta(d), datetime.time())) for d in (0, days))
+        self.times, self.dates, self.points, self.cancelled, events = [], [], 0, 0, []
+        for k in range(entries):
+            events += getattr(self, "_" + self.rng.choice(("single", "single", "daily", "weekly", "whole", "hidden")))(f"u{seed}-{k}")
+        self.text = calendar(*events)
+
+    def _at(self, local):
+        return int(local.replace(tzinfo=self.tz).timestamp())
+
+    def _local(self, spread=2):
+        """A time off the hours at which clocks change."""
+        day = self.first + datetime.timedelta(self.rng.randrange(-spread, self.days + spread))
+        return datetime.datetime.combine(day, datetime.time(self.rng.randrange(4, 23), self.rng.choice((0, 5, 20, 45))))
+
+    def _text(self, local):
+        """A time property's parameters and value, in the zone, floating or in UTC."""
+        kind = self.rng.choice(("zoned", "floating", "utc"))
+        if kind == "utc":
+            return datetime.datetime.fromtimestamp(self._at(local), datetime.timezone.utc).strftime(":%Y%m%dT%H%M%SZ")
+        return (f";TZID={self.zone}:" if kind == "zoned" else ":") + local.strftime("%Y%m%dT%H%M%S")
+
+    def _zoned(self, local):
+        return f";TZID={self.zone}:" + local.strftime("%Y%m%dT%H%M%S")
+
+    def _occupy(self, s, e):
+        if s == e:
+            self.points += self.lo <= s < self.hi
+        elif max(s, self.lo) < min(e, self.hi):
+            self.times.append((max(s, self.lo), min(e, self.hi)))
+
+    def _single(self, uid):
+        local, length = self._local(), datetime.timedelta(minutes=self.rng.choice((0, 5, 40, 90, 600, 1500)))
+        start = self._text(local)
+        self._occupy(self._at(local), self._at(local + length))
+        if not length:
+            return [event(uid, start)]
+        return [event(uid, start, self._zoned(local + length) if start[0] == ";" else ":" + (local + length).strftime("%Y%m%dT%H%M%S") if start[-1] != "Z" else datetime.datetime.fromtimestamp(self._at(local + length), datetime.timezone.utc).strftime(":%Y%m%dT%H%M%SZ"), "COMMENT:not for others", summary="<b onclick=x()>Offer</b> \\; more")]
+
+    def _series(self, uid, step, rule):
+        """Some instances of a series are left out, moved, cancelled or made transparent."""
+        local, length = self._local(9), datetime.timedelta(minutes=self.rng.choice((15, 60, 130)))
+        count, out, more = self.rng.randint(1, 12), [], []
+        for k in range(count):
+            day = local + k * step
+            fate = self.rng.choice(("stays",) * 5 + ("excluded", "moved", "cancelled", "transparent"))
+            identity = "RECURRENCE-ID" + self._zoned(day)
+            if fate == "excluded":
+                more.append("EXDATE" + self._zoned(day))
+            elif fate == "moved":
+                new = self._local()
+                out.append(event(uid, self._zoned(new), None, identity, summary="Moved"))
+                self._occupy(self._at(new), self._at(new) + int(length.total_seconds()))
+            elif fate == "cancelled":
+                out.append(event(uid, None, None, identity, "STATUS:CANCELLED"))
+                self.cancelled += 1
+            elif fate == "transparent":
+                out.append(event(uid, self._zoned(day), None, identity, "TRANSP:TRANSPARENT"))
+            else:
+                self._occupy(self._at(day), self._at(day) + int(length.total_seconds()))
+        return [event(uid, self._zoned(local), self._zoned(local + length), f"RRULE:FREQ={rule};COUNT={count}", *more), *out]
+
+    def _daily(self, uid):
+        n = self.rng.randint(1, 3)
+        return self._series(uid, datetime.timedelta(n), f"DAILY;INTERVAL={n}")
+
+    def _weekly(self, uid):
+        return self._series(uid, datetime.timedelta(7), "WEEKLY")
+
+    def _whole(self, uid):
+        day, n = self._local().date(), self.rng.randint(1, 3)
+        self.dates.append([str(d) for k in range(n) for d in (day + datetime.timedelta(k),) if 0 <= (d - self.first).days < self.days])
+        return [event(uid, day.strftime(";VALUE=DATE:%Y%m%d"), (day + datetime.timedelta(n)).strftime(";VALUE=DATE:%Y%m%d"))]
+
+    def _hidden(self, uid):
+        """What occupies nothing."""
+        if self.rng.random() < 0.5:
+            return [event(uid, None, None, "STATUS:CANCELLED")]
+        local = self._local()
+        return [event(uid, self._zoned(local), self._zoned(local + datetime.timedelta(hours=3)), "TRANSP:TRANSPARENT")]
 
 
 def minutes(spans):
@@ -66,17 +136,3 @@ def runs(cells):
         out[-1] += 60
         last = m
     return out
-
-
-def rescheduled():
-    """A weekly class with instances moved into the days from 19 to 21 November 2025 from both sides, moved away, cancelled and made transparent."""
-    rid = "RECURRENCE-ID:2025{}T170000Z"
-    return calendar(
-        event("class", "20251105T170000Z", "20251105T174500Z", "RRULE:FREQ=WEEKLY;COUNT=6", summary="Class"),
-        event("class", "20251120T080000Z", None, rid.format("1112"), summary="From the week before"),
-        event("class", None, None, rid.format("1119"), "STATUS:CANCELLED"),
-        event("class", "20251121T170000Z", None, rid.format("1126"), "TRANSP:TRANSPARENT"),
-        event("class", "20251120T083000Z", "20251120T100000Z", rid.format("1203"), summary="From December"),
-        event("class", "20251220T170000Z", None, rid.format("1210")),
-        event("visit", "20251120T082000Z", "20251120T083500Z"),
-    )

@@ -3,7 +3,7 @@ import itertools
 
 import pytest
 
-from calendars import FAIR_DATES, FAIR_TIMES, NY, calendar, event, fair, minutes, rescheduled, seconds
+from calendars import NY, Sample, calendar, event, minutes, seconds
 from spanloom.errors import InputError, LimitError, Limits
 from spanloom.plans.audit import Audit
 
@@ -36,29 +36,24 @@ def codes(a):
     return sorted(r.code for r in a.issues.collect())
 
 
-def test_fair_equals_a_count_of_minutes(audit):
-    a = audit(fair(), start="2025-10-24", end="2025-10-28", zone="Europe/Berlin")
-    assert a.complete
-    held = minutes(FAIR_TIMES)
+@pytest.mark.parametrize("seed", [1, 3, 16])
+def test_generated_calendars_equal_a_count_of_minutes(audit, seed):
+    """Four days over the end of summer time: single events, series with exclusions and overrides, all-day and hidden ones."""
+    x = Sample(seed, entries=24)
+    a = audit(x.text, start="2025-10-24", end="2025-10-28", zone="Europe/Berlin")
+    assert a.complete and len(x.times) > 8
+    held, dates = minutes(x.times), [d for d in x.dates if d]
     assert a.occupied_seconds() == 60 * len(held)
-    shared = [60 * len(minutes([x]) & minutes([y])) for x, y in itertools.combinations(FAIR_TIMES, 2)]
+    shared = [60 * len(minutes([p]) & minutes([q])) for p, q in itertools.combinations(x.times, 2)]
     assert sorted(r.seconds for r in a.overlaps.collect()) == sorted(n for n in shared if n)
-    assert a.occurrences.count() == len(FAIR_TIMES) + 2  # a point and the holiday are occurrences too
+    assert sorted((r.cs, r.ce) for r in a.occurrences.where("not all_day and ce > cs").collect()) == sorted(x.times)
+    assert a.occurrences.count() == len(x.times) + x.points + len(dates)
+    assert a.cancellations.count() == x.cancelled
     days = [(seconds(f"2025-10-{d}"), seconds(f"2025-10-{d + 1}")) for d in range(24, 28)]
     daily = a.daily.orderBy("date").collect()
     assert [r.occupied_seconds for r in daily] == [60 * len(held & minutes([d])) for d in days]
     assert [r.day_seconds for r in daily] == [e - s for s, e in days] == [86_400, 86_400, 90_000, 86_400]
-    assert [r.all_day_occurrences for r in daily] == [int(str(r.date) in FAIR_DATES) for r in daily]
-
-
-def test_rescheduled_instances(audit):
-    a = audit(rescheduled(), start="2025-11-19", end="2025-11-22")
-    assert a.complete
-    times = [tuple(utc(f"2025-11-20T{t}Z") for t in x) for x in (("08:00", "08:45"), ("08:30", "10:00"), ("08:20", "08:35"))]
-    assert sorted((r.s, r.e) for r in a.occurrences.collect()) == sorted(times)
-    assert a.occupied_seconds() == 60 * len(minutes(times))
-    assert sorted(r.seconds for r in a.overlaps.collect()) == sorted(60 * len(minutes([x]) & minutes([y])) for x, y in itertools.combinations(times, 2))
-    assert [r.recurrence_id for r in a.cancellations.collect()] == ["2025-11-19T17:00:00Z"]
+    assert [r.all_day_occurrences for r in daily] == [sum(str(r.date) in d for d in dates) for r in daily]
 
 
 def test_spring_gap(audit):
@@ -195,3 +190,20 @@ def test_names_are_literal_and_lines_have_a_limit(spark, tmp_path):
     assert Audit(spark, [str(tmp_path / "long.ics")], "2026-03-03", "2026-03-04", "UTC", limits=Limits(line_bytes=308)).complete
     with pytest.raises(LimitError):
         assert Audit(spark, [str(tmp_path / "long.ics")], "2026-03-03", "2026-03-04", "UTC", limits=Limits(line_bytes=307)).complete
+
+
+def test_large_files_are_parsed_in_two_levels(spark, tmp_path):
+    """The same events, whether a file is one window partition or its lines fill many blocks."""
+    from spanloom.sources import ics
+
+    paths = []
+    for seed in (21, 22):
+        paths.append(str(tmp_path / f"{seed}.ics"))
+        (tmp_path / f"{seed}.ics").write_text(Sample(seed, entries=40).text, newline="")
+    (tmp_path / "bad.ics").write_text("BEGIN:VCALENDAR\r\nVERSION:2.0\r\nEND:VEVENT\r\n", newline="")
+    paths.append(str(tmp_path / "bad.ics"))
+    both = []
+    for wide in (False, True):
+        files, events = ics.read(spark, paths, "Europe/Berlin", True, wide)
+        both.append((sorted(map(str, files.collect())), sorted(map(str, events.collect()))))
+    assert both[0] == both[1] and len(both[0][1]) > 60
