@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import signal
 import threading
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 
+#: Seconds that a cancelled job has to end before the driver is interrupted.
+GRACE = 1.0
+
+
 class InputError(Exception):
     """Input or settings that no result can be made from; not a ValueError, so that checks of single values never swallow it."""
 
@@ -32,6 +37,7 @@ class Limits:
     pairs: int | None = 20_000
     report_bytes: int | None = 8 << 20
     periods: int | None = 20_000
+    intervals: int | None = 100_000
     windows: int | None = 20_000
     candidates: int | None = 200_000
     resolutions: int | None = 200_000
@@ -55,9 +61,40 @@ class Limits:
         return count
 
 
+def _on_main() -> bool:
+    return threading.current_thread() is threading.main_thread()
+
+
+@contextmanager
+def terminable() -> Iterator[None]:
+    """SIGTERM interrupts its body as Ctrl-C does, so that what has been begun is cleaned up."""
+    if not _on_main():
+        yield
+        return
+
+    def stop(*_) -> None:
+        raise KeyboardInterrupt
+
+    before = signal.signal(signal.SIGTERM, stop)
+    try:
+        yield
+    finally:
+        signal.signal(signal.SIGTERM, before)
+
+
+@contextmanager
+def undisturbed() -> Iterator[None]:
+    """Signals that would interrupt its body wait for its end."""
+    held = signal.pthread_sigmask(signal.SIG_BLOCK, {signal.SIGINT, signal.SIGTERM, signal.SIGALRM})
+    try:
+        yield
+    finally:
+        signal.pthread_sigmask(signal.SIG_SETMASK, held)
+
+
 @contextmanager
 def deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
-    """Cancels the Spark jobs of its body, and raises, once it has run for ``seconds``."""
+    """Ends its body, and raises, once it has run for ``seconds``: its Spark jobs are cancelled, and what the driver does by itself is interrupted."""
     if seconds is None:
         yield
         return
@@ -67,9 +104,17 @@ def deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
         late.set()
         context.cancelJobGroup(group)
 
+    def interrupt(*_) -> None:
+        late.set()
+        raise LimitError("late")
+
     timer = threading.Timer(seconds, stop)
     context.setJobGroup(group, "bounded in time", True)
     timer.start()
+    if _on_main():
+        # a job that is cancelled ends by itself; the alarm is for work without a job
+        before = signal.signal(signal.SIGALRM, interrupt)
+        signal.setitimer(signal.ITIMER_REAL, seconds + GRACE)
     try:
         yield
     except (PySparkException, InputError):
@@ -77,6 +122,9 @@ def deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
             raise
     finally:
         timer.cancel()
+        if _on_main():
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
         context.setLocalProperty("spark.jobGroup.id", None)
     if late.is_set():
         raise LimitError(f"seconds limit exceeded ({seconds})")

@@ -136,20 +136,25 @@ class Shared:
         self.manifest, self.manifest_source = specs.validate_manifest(specs.parse_json(raw)), specs.fingerprint(manifest_path, raw)
         base, owners, paths = os.path.dirname(os.path.abspath(manifest_path)), [], []
         seen: dict[tuple[int, int], int] = {}
+        size = 0
         for pid, p in enumerate(self.manifest["participants"], 1):
             for s in p["sources"]:
                 path = os.path.join(base, s["path"])
-                specs.read_small(path, self.limits.input_bytes or 1 << 40)
+                specs.regular(path)
                 st = os.stat(path)
+                size += st.st_size
+                self.limits.check("input_bytes", size)
                 if seen.setdefault((st.st_dev, st.st_ino), pid) != pid:
                     raise InputError("a source file belongs to one participant")
                 paths.append(path)
                 owners.append((len(paths), pid))
         self.lo, self.hi = self.manifest["lo"], self.manifest["hi"]
         files = save(freebusy_in.read(self.spark, paths), "freebusy")
+        self.limits.check("periods", files.agg(F.sum(F.size("periods"))).first()[0] or 0)
         self.files = freebusy_in.require(files).join(self.spark.createDataFrame(owners, "source_ord int, pid int"), "source_ord")
         self.people = self.spark.createDataFrame([(k, p["alias"], p["timezone"]) for k, p in enumerate(self.manifest["participants"], 1)], "pid int, alias string, zone string")
         self.sets = save(self._sets(), "sets")
+        self.limits.check("intervals", self.sets.count())
         common = iv.common(self.sets.where("kind = 'free'"), "pid", len(self.manifest["participants"]))
         length = self.manifest["duration_seconds"]
         found = common.withColumn("seconds", F.col("e") - F.col("s")).where(F.col("seconds") >= length)

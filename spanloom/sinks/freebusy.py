@@ -11,6 +11,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import LimitError
 from ..functions import times
 from ..operators import intervals as iv
 
@@ -73,7 +74,7 @@ def export_identity(uid: str | None = None, created_at: str | None = None) -> tu
     return f"urn:uuid:{name}", datetime.datetime.strptime(created_at, "%Y-%m-%dT%H:%M:%S%z")
 
 
-def calendar_bytes(merged: list[tuple[int, int]], lo: int, hi: int, uid: str, created: datetime.datetime, max_bytes: int = 8 << 20) -> bytes:
+def calendar_bytes(merged: list[tuple[int, int]], lo: int, hi: int, uid: str, created: datetime.datetime, max_bytes: int | None = 8 << 20) -> bytes:
     """One owner's collected periods as a VFREEBUSY calendar. Periods have to be sorted, apart and inside [lo, hi)."""
     text = lambda t: datetime.datetime.fromtimestamp(t, datetime.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
     edges = [t for period in merged for t in period]
@@ -82,6 +83,6 @@ def calendar_bytes(merged: list[tuple[int, int]], lo: int, hi: int, uid: str, cr
     body = ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//Spanloom//Free Busy//EN", "METHOD:PUBLISH", "BEGIN:VFREEBUSY", f"UID:{uid}", f"DTSTAMP:{created:%Y%m%dT%H%M%SZ}", f"DTSTART:{text(lo)}", f"DTEND:{text(hi)}"]
     body += [f"FREEBUSY;FBTYPE=BUSY:{text(s)}/{text(e)}" for s, e in merged]
     raw = "".join(fold_line(x) + "\r\n" for x in [*body, "END:VFREEBUSY", "END:VCALENDAR"]).encode()
-    if len(raw) > max_bytes:
-        raise ValueError(f"the calendar has over {max_bytes} bytes")
+    if max_bytes is not None and len(raw) > max_bytes:
+        raise LimitError(f"report_bytes limit exceeded ({max_bytes})")
     return raw

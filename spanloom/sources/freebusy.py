@@ -24,6 +24,11 @@ _REQUIRED = ("VERSION", "PRODID", "UID", "DTSTAMP", "DTSTART", "DTEND")
 _STRICT = r'^[A-Za-z][A-Za-z0-9-]*+(?:;[A-Za-z][A-Za-z0-9-]*+=(?:[A-Za-z0-9-]++|"[A-Za-z0-9-]++"))*+:'
 
 
+def _upper(text: Column) -> Column:
+    """a-z as A-Z; other letters, some of which a general upper case turns into these, stay as they are."""
+    return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def _utc(text: Column) -> Column:
     kind, value = times.decode_time(text, F.lit(None).cast("string"))
     return F.when(kind == "utc", times.seconds(value))
@@ -52,8 +57,8 @@ def _lines(files: DataFrame, line_bytes: int) -> DataFrame:
         .when(F.exists(whole, lambda x: F.octet_length(x) > line_bytes), "line_bytes limit exceeded")
     )
     rows = files.select("source_ord", fault.alias("unreadable"), F.when(fault.isNull(), whole).alias("lines")).select("source_ord", "unreadable", F.posexplode_outer("lines").alias("pos", "line"))
-    rows = rows.withColumns(text_lines.head(F.col("line"))).withColumn("params", F.upper(F.regexp_replace("params", '"', "")))
-    boundary = F.when(F.col("name").isin("BEGIN", "END"), F.concat("name", F.lit(":"), F.upper("value")))
+    rows = rows.withColumns(text_lines.head(F.col("line"))).withColumn("params", _upper(F.regexp_replace("params", '"', "")))
+    boundary = F.when(F.col("name").isin("BEGIN", "END"), F.concat("name", F.lit(":"), _upper(F.col("value"))))
     order = Window.partitionBy("source_ord").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("boundary", boundary).withColumn("section", F.count("boundary").over(order))
 
@@ -66,7 +71,7 @@ def _fault(rows: DataFrame) -> Column:
     wanted = F.get(F.array(*map(F.lit, _BOUNDARIES)), section.cast("int") - 1)
     top = F.lit(False)
     for known, needed in _CALENDAR.items():
-        top = top | (name == known) & ((value != "") if needed is None else F.upper(value) == needed)
+        top = top | (name == known) & ((value != "") if needed is None else _upper(value) == needed)
     kind = lambda what: name.isin([k for k, v in _BUSY.items() if v == what])
     busy = (
         kind("periods") & only("FBTYPE", "VALUE") & F.coalesce(text_lines.param(params, "FBTYPE").isin(*KINDS), F.lit(True)) & F.coalesce(text_lines.param(params, "VALUE") == "PERIOD", F.lit(True)) & ~F.exists("periods", lambda p: p["s"].isNull())

@@ -23,14 +23,26 @@ def need(ok: bool, message: str) -> None:
         raise InputError(message)
 
 
-def read_small(path: str, limit: int) -> bytes:
-    """A regular file of at most ``limit`` bytes; pipes and devices aren't waited for."""
+def _opened(path: str):
+    """A regular file, open for reading; pipes and devices aren't waited for."""
     try:
-        fd = os.open(path, os.O_RDONLY | getattr(os, "O_NONBLOCK", 0))
+        f = open(os.open(path, os.O_RDONLY | getattr(os, "O_NONBLOCK", 0)), "rb")
     except OSError:
         raise InputError("the file can't be read") from None
-    with open(fd, "rb") as f:
-        need(stat.S_ISREG(os.fstat(f.fileno()).st_mode), "not a regular file")
+    if not stat.S_ISREG(os.fstat(f.fileno()).st_mode):
+        f.close()
+        raise InputError("not a regular file")
+    return f
+
+
+def regular(path: str) -> None:
+    """Raises for what isn't a readable regular file; nothing is read."""
+    _opened(path).close()
+
+
+def read_small(path: str, limit: int) -> bytes:
+    """A regular file of at most ``limit`` bytes."""
+    with _opened(path) as f:
         raw = f.read(limit + 1)
     need(len(raw) <= limit, f"the file has over {limit} bytes")
     return raw

@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from calendars import FAIR_TIMES, NY, calendar, event, fair, minutes, runs, seconds
+from calendars import NY, Sample, calendar, event, minutes, runs, seconds
 from spanloom.errors import InputError
 from spanloom.plans.availability import Availability, Shared, busy_periods
 from spanloom.sinks.freebusy import IncompleteExport, calendar_bytes, export_identity, fold_line
@@ -21,29 +21,41 @@ SPLIT = [["08:30", "11:30"], ["12:30", "16:00"]]
 V2 = {k: V1[k] for k in ("start", "end", "timezone", "minimum_seconds", "all_day")} | {"version": 2, "weekly": dict.fromkeys(("MO", "TU", "WE", "TH", "FR"), SPLIT), "exceptions": [{"date": "2025-10-25", "windows": [["11:00", "14:00"]]}, {"date": "2025-10-27", "windows": []}]}
 
 
+@pytest.fixture(params=[4, 5])
+def sample(request):
+    return Sample(request.param, entries=9)
+
+
 @pytest.fixture()
-def week(tmp_path):
-    path = tmp_path / "fair.ics"
-    path.write_text(fair(), newline="")
+def week(tmp_path, sample):
+    path = tmp_path / "sample.ics"
+    path.write_text(sample.text, newline="")
     return str(path)
 
 
-def test_version_1(spark, week):
+def held(sample):
+    """Minutes that anything occupies: an all-day occurrence has its dates whole."""
+    return minutes(sample.times) | minutes([(seconds(d), seconds(str(datetime.date.fromisoformat(d) + datetime.timedelta(1)))) for own in sample.dates for d in own])
+
+
+def test_version_1(spark, week, sample):
     a = Availability(spark, [week], V1)
-    free = minutes([(seconds(f"2025-10-{d} 08:00"), seconds(f"2025-10-{d} 16:30")) for d in (24, 27)]) - minutes(FAIR_TIMES)
-    want = sorted(n for n in runs(free) if n >= 2400)
-    assert sorted(r.seconds for r in a.candidates().collect()) == want == [23_400, 26_100]
+    free = [minutes([(seconds(f"2025-10-{d} 08:00"), seconds(f"2025-10-{d} 16:30"))]) - held(sample) for d in (24, 27)]
+    assert sorted(r.seconds for r in a.candidates().collect()) == sorted(n for day in free for n in runs(day) if n >= 2400)
 
 
-def test_version_2(spark, week):
+def test_version_2(spark, week, sample):
     a = Availability(spark, [week], V2)
+    windows = {"2025-10-24": SPLIT, "2025-10-25": [["11:00", "14:00"]], "2025-10-26": [], "2025-10-27": []}
+    want = {}
+    for date, spans in windows.items():
+        work = minutes([(seconds(f"{date} {x}"), seconds(f"{date} {y}")) for x, y in spans])
+        free = work - held(sample)
+        found = [n for x, y in spans for n in runs(minutes([(seconds(f"{date} {x}"), seconds(f"{date} {y}"))]) & free) if n >= V2["minimum_seconds"]]
+        status = "closed" if not work else "fully_booked" if not free else "available" if found else "below_minimum"
+        want[date] = (60 * len(work), 60 * len(work - free), sum(found), status)
     days = a.days().orderBy("date").collect()
-    assert [r.status for r in days] == ["available", "fully_booked", "closed", "closed"]
-    total = lambda c: sum(getattr(r, c) for r in days)
-    work = minutes([(seconds(f"2025-10-24 {a}"), seconds(f"2025-10-24 {b}")) for a, b in SPLIT])
-    holiday = minutes([(seconds("2025-10-25 11:00"), seconds("2025-10-25 14:00"))])
-    free = work - minutes(FAIR_TIMES)
-    assert (total("working_seconds"), total("occupied_seconds"), total("candidate_seconds"), a.candidates().count()) == (60 * len(work | holiday), 60 * len((work - free) | holiday), 60 * len(free), len(runs(free)))
+    assert {str(r.date): (r.working_seconds, r.occupied_seconds, r.candidate_seconds, r.status) for r in days} == want
 
 
 def test_incomplete_calendars_have_no_candidates(spark, tmp_path):
@@ -133,6 +145,13 @@ def test_rejected_and_accepted_freebusy(spark):
     assert [[(p.kind, p.s - base, p.e - base) for p in r.periods] for r in got[len(REJECTED) : -6]] == list(ACCEPTED.values())
 
 
+def test_names_are_ascii(spark):
+    """Letters that a general upper case turns into A-Z are none of a name or a fixed value."""
+    good = fb(*DAY).lower().replace("t0", "T0").replace("z\r\n", "Z\r\n").encode()
+    long_s = [fb(*DAY).replace("BEGIN:VFREEBUSY", "BEGIN:VFREEBUſY").encode(), fb(*DAY).replace("PRODID:x", "PRODID:x\r\nMETHOD:PUBLIſH").encode(), fb(*DAY, "FREEBUSY;FBTYPE=BUſY:20260309T050000Z/PT1H").encode()]
+    assert [r.error is None for r in parsed(spark, good, *long_s)] == [True, False, False, False]
+
+
 def test_shared_windows(spark, tmp_path):
     (tmp_path / "a.ics").write_text(fb("20260309T000000Z", "20260311T000000Z", "FREEBUSY:20260309T140000Z/PT1H", "FREEBUSY;FBTYPE=FREE:20260309T000000Z/PT12H"), newline="")
     (tmp_path / "b.ics").write_text(fb(*DAY, "FREEBUSY;FBTYPE=BUSY-TENTATIVE:20260309T160000Z/20260309T163000Z"), newline="")
