@@ -9,11 +9,11 @@ from dataclasses import fields
 
 from pyspark.errors import PySparkException
 
-from .errors import InputError, LimitError, Limits, deadline
+from .errors import InputError, LimitError, Limits, deadline, terminable
 from .plans.audit import Audit
 from .plans.availability import Availability, Shared, busy_periods
 from .session import session
-from .sinks import freebusy, report
+from .sinks import bundle, freebusy, report
 from .sources import specs
 
 
@@ -23,6 +23,7 @@ def _parser() -> argparse.ArgumentParser:
     audit = sub.add_parser("audit", help="overlaps and occupancy of calendars")
     audit.add_argument("--floating-timezone")
     audit.add_argument("--no-overlaps", action="store_true")
+    audit.add_argument("--lines", metavar="FOLDER", help="also write the report's lists as JSON lines from the executors, to a folder that they share")
     export = sub.add_parser("freebusy", help="a calendar of busy periods only")
     export.add_argument("--all-day", required=True, choices=("block", "ignore"))
     export.add_argument("--uid")
@@ -44,6 +45,8 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--output", required=True)
         p.add_argument("--max-seconds", type=float, help="cancel the run after so long")
         for f in fields(Limits):
+            if p is export and f.name == "intervals":
+                continue  # it has its own
             p.add_argument("--max-" + f.name.replace("_", "-"), type=int, help=f"at most, and by default, {f.default}")
     return top
 
@@ -56,7 +59,7 @@ def run(argv: list[str] | None = None, spark_of: Callable = session, limits: Lim
     args = _parser().parse_args(argv)
     try:
         limits = limits or Limits.lowered(**{f.name: getattr(args, f"max_{f.name}") for f in fields(Limits)})
-        with deadline(spark_of(), args.max_seconds):
+        with terminable(), deadline(spark_of(), args.max_seconds):
             return _run(args, spark_of, limits)
     except (LimitError, freebusy.IncompleteExport) as e:
         print(e, file=sys.stderr)
@@ -72,11 +75,13 @@ def _run(args: argparse.Namespace, spark_of: Callable, limits: Limits) -> int:
     if args.command == "freebusy":
         uid, created = freebusy.export_identity(args.uid, args.created_at)
         lo, hi, found = busy_periods(spark_of(), args.calendars, args.start, args.end, args.timezone, args.all_day, limits, args.max_intervals)
-        report.write_bundle(args.output, {"busy.ics": freebusy.calendar_bytes(found, lo, hi, uid, created)})
+        report.write_bundle(args.output, {"busy.ics": freebusy.calendar_bytes(found, lo, hi, uid, created, limits.report_bytes)})
         return 0
     if args.command == "audit":
         audit = Audit(spark_of(), args.calendars, args.start, args.end, args.timezone, args.floating_timezone, limits)
         content = report.audit_report(audit, not args.no_overlaps)
+        if args.lines:
+            bundle.write(report.audit_lists(audit, not args.no_overlaps), args.lines)
     elif args.command == "availability":
         spec, source = specs.load_spec(args.spec, args.max_days)
         content = report.availability_report(Availability(spark_of(), args.calendars, spec, limits, args.max_days), args.include_overlaps) | {"spec_source": source}

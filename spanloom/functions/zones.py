@@ -41,11 +41,15 @@ def periods(spark: SparkSession, zones: Iterable[str], first: int, last: int) ->
     if zones in ([], ["UTC"]):
         return spark.createDataFrame([(z, -_EVER, _EVER, _EVER, 0) for z in zones], SCHEMA)
     start = F.lit((first - 2) * times.DAY).cast("bigint")
-    base = spark.range(1).select(F.explode(F.array(*map(F.lit, zones))).alias("zone")).select("zone", (times.seconds(times.from_utc(times.instant(start), F.col("zone"))) - start).alias("offset"))
-    changes, rows = defaultdict(list), []
-    for r in transitions(spark, zones, first - 2, last + 2).collect():
-        changes[r.zone].append((r.at, r.before, r.after))
-    for zone, offset in base.collect():
+    base = spark.range(1).select(F.explode(F.array(*map(F.lit, zones))).alias("zone"))
+    base = base.select("zone", F.lit(None).cast("bigint").alias("at"), (times.seconds(times.from_utc(times.instant(start), F.col("zone"))) - start).alias("before"), F.lit(0).cast("bigint").alias("after"))
+    changes, offsets, rows = defaultdict(list), {}, []
+    for r in transitions(spark, zones, first - 2, last + 2).unionByName(base).collect():
+        if r.at is None:
+            offsets[r.zone] = r.before
+        else:
+            changes[r.zone].append((r.at, r.before, r.after))
+    for zone, offset in offsets.items():
         lo = -_EVER
         for at, before, after in sorted(changes[zone]):
             hi = max(at + before, at + after)

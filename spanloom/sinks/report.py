@@ -9,10 +9,15 @@ import os
 import shutil
 import tempfile
 
-from ..errors import LimitError
-from ..operators.families import first_seen
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..errors import LimitError, undisturbed
+from ..functions import times
+from ..operators import scan
 from ..plans.audit import Audit
 from ..plans.availability import Availability, Shared
+from ..tables import save
 
 
 def iso(secs: int) -> str:
@@ -27,11 +32,44 @@ def _span(r) -> dict:
     return {"start": iso(r.s), "end": iso(r.e), "seconds": r.e - r.s}
 
 
+def occurrence_ids(audit: Audit) -> DataFrame:
+    """(ord, recurrence_id, n, id): o1, o2 ... of an audit's occurrences: families in the order of their first record, instances in theirs.
+
+    Numbers are dense over ranges of the order, so any number of occurrences has them without meeting in one task.
+    """
+    family = audit.records.where("uid is not null").groupBy("uid").agg(F.min("ord").alias("family_order"))
+    rows = audit.occurrences.join(family, "uid").select("family_order", "ordinal", "ord", "recurrence_id")
+    numbers = scan.numbered(rows, (), ["family_order", "ordinal"])
+    return numbers.select("ord", "recurrence_id", "n", F.concat(F.lit("o"), F.col("n").cast("string")).alias("id"))
+
+
 def occurrence_names(audit: Audit) -> dict[tuple[int, str], str]:
-    """o1, o2 ... of an audit's occurrences, by record and instance: families in the order of their first record, instances in theirs."""
-    family = first_seen(audit.records.where("uid is not null").select("uid", "ord"), "uid", "ord").select("uid", "family_order").distinct()
-    rows = audit.occurrences.join(family, "uid").orderBy("family_order", "ordinal").select("ord", "recurrence_id").collect()
-    return {(r.ord, r.recurrence_id): f"o{k}" for k, r in enumerate(rows, 1)}
+    """:func:`occurrence_ids` of a report that is collected."""
+    return {(r.ord, r.recurrence_id): r.id for r in occurrence_ids(audit).collect()}
+
+
+def audit_lists(audit: Audit, overlaps: bool = True) -> dict[str, DataFrame]:
+    """The lists of an audit's report as tables, numbered like there; for audits of any size (:func:`spanloom.sinks.bundle.write`)."""
+    text = lambda c: times.iso(times.instant(c))
+    named = lambda letter, c="n": F.concat(F.lit(letter), F.col(c).cast("string"))
+    events = save(scan.numbered(audit.records.select("ord", "uid", "summary", "source_ord", "no"), (), ["ord"]).withColumn("id", named("e")), "events")
+    event = lambda c: events.select(F.col("ord").alias(c), F.col("id").alias(f"{c}_id"))
+    names = save(occurrence_ids(audit), "names")
+    whole = F.date_format(times.instant("s").cast("timestamp"), "yyyy-MM-dd"), F.date_format(times.instant("e").cast("timestamp"), "yyyy-MM-dd")
+    found = audit.occurrences.join(names, ["ord", "recurrence_id"]).join(event("ord"), "ord").join(event("master"), "master").join(event("override"), "override", "left")
+    span = [F.when(F.col("all_day"), w).otherwise(text(c)).alias(n) for w, c, n in zip(whole, ("s", "e"), ("start", "end"), strict=True)]
+    out = {
+        "sources": audit.sources.select(F.col("source_ord").alias("n"), named("s", "source_ord").alias("id"), "name", "sha256", "bytes"),
+        "events": events.select("n", "id", F.coalesce("uid", F.lit("")).alias("uid"), F.coalesce("summary", F.lit("")).alias("summary"), named("s", "source_ord").alias("source"), F.col("no").alias("event")),
+        "occurrences": found.select("n", "id", F.col("ord_id").alias("event"), F.col("master_id").alias("master"), F.col("override_id").alias("override"), "recurrence_id", "all_day", *span),
+        "issues": scan.numbered(audit.issues, (), ["source_ord", "ord", "code", "message"]).join(event("ord"), "ord", "left").select("n", named("s", "source_ord").alias("source"), F.col("ord_id").alias("event"), "code", "message"),
+        "daily": audit.daily.select(F.unix_date("date").alias("n"), F.col("date").cast("string").alias("date"), "day_seconds", "occupied_seconds", "timed_occurrences", "all_day_occurrences"),
+    }
+    if overlaps:
+        key = lambda side: names.select(F.struct("ord", "recurrence_id").alias(side), F.col("id").alias(f"{side}_id"))
+        pairs = audit.overlaps.join(key("left"), "left").join(key("right"), "right").select("s", "e", "seconds", "left_id", "right_id")
+        out["overlaps"] = scan.numbered(pairs, (), ["s", "right_id", "left_id"]).select("n", named("p").alias("id"), F.col("left_id").alias("left"), F.col("right_id").alias("right"), text("s").alias("start"), text("e").alias("end"), "seconds")
+    return out
 
 
 def audit_report(audit: Audit, overlaps: bool = True) -> dict:
@@ -99,7 +137,8 @@ def availability_report(a: Availability, overlaps: bool = False) -> dict:
     windows = {(r.window.date, r.window.s): k for k, r in enumerate(a.windows.orderBy("s").collect(), 1)}
     key = lambda w: f"w{windows[w.date, w.s]}"
     name = occurrence_names(a.audit)
-    named = lambda ids: sorted((name[i.ord, i.recurrence_id] for i in ids), key=lambda x: int(x[1:]))
+    # ids are texts and ordered as such: o10 stands before o2
+    named = lambda ids: sorted(name[i.ord, i.recurrence_id] for i in ids)
     found = a.candidates().orderBy("s").collect()
     out = {
         "report_type": "availability", "schema_version": a.spec["version"] + (1 if a.spec["version"] == 2 else not overlaps), "spec": a.spec, "complete": a.complete, "audit": audit_report(a.audit, overlaps),
@@ -209,17 +248,24 @@ def html_bytes(title: str, report: dict, limit: int | None = None) -> bytes:
 
 
 def write_bundle(folder: str, files: dict[str, bytes]) -> None:
-    """All files or none: they are written and synced beside ``folder``, which must not exist, and moved there in one step."""
+    """All files or none: they are written and synced beside ``folder``, which must not exist, and moved there in one step.
+
+    Signals wait while the stage is made and while it is moved, so that an interrupted run leaves neither a stage nor an empty folder.
+    """
     if os.path.lexists(folder):
         raise FileExistsError(folder)
-    stage = tempfile.mkdtemp(prefix=".bundle-", dir=os.path.dirname(os.path.abspath(folder)))
+    stage = None
     try:
+        with undisturbed():
+            stage = tempfile.mkdtemp(prefix=".bundle-", dir=os.path.dirname(os.path.abspath(folder)))
         for name, raw in files.items():
             with open(os.open(os.path.join(stage, name), os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as f:
                 f.write(raw)
                 f.flush()
                 os.fsync(f.fileno())
-        os.mkdir(folder, 0o700)  # fails if another has made it meanwhile
-        os.rename(stage, folder)
+        with undisturbed():
+            os.mkdir(folder, 0o700)  # fails if another has made it meanwhile
+            os.rename(stage, folder)
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
+        if stage is not None:
+            shutil.rmtree(stage, ignore_errors=True)
