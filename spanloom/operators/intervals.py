@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY
+from ..tables import save
+from . import scan
 
 
 def _bucket(t: Column, width: int) -> Column:
@@ -220,6 +222,33 @@ def assign(df: DataFrame, windows: DataFrame, by: Sequence[str] = ()) -> DataFra
     return both.select(*by, *(v.alias(k) for k, v in (out | {"s": F.greatest("l_s", "r_s"), "e": F.least("l_e", "r_e")}).items()))
 
 
+def assign_disjoint(df: DataFrame, windows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`assign` for windows of one owner that don't overlap, by counting instead of copying.
+
+    Windows are numbered in order. In time order, a row's begin has so many ends of windows at or before it, and its end so many
+    begins of windows before it; the windows between the two numbers are those it meets, and only they are joined. Both counts run in
+    two levels over ranges of time, so no owner, window or row of any length is gathered or repeated. A null owner is an owner.
+    """
+    own = [f"w_{c}" for c in windows.columns if c not in by]
+    held = windows.where("e > s").select(*by, *(F.col(c).alias(f"w_{c}") for c in windows.columns if c not in by))
+    held = save(scan.numbered(held, by, ["w_s", "w_e"], "_w"), "numbered")
+    rows = save(df.where("e > s").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    mark = lambda t, kind: F.struct(F.col(t).alias("t"), F.lit(kind).alias("kind"))
+    marks = lambda table, row, *which: table.select(*by, row.alias("_row"), F.explode(F.array(*which)).alias("m")).select(*by, "_row", "m.t", "m.kind")
+    # at one time: ends of windows, begins of rows, ends of rows, begins of windows
+    line = marks(held, F.lit(None).cast("bigint"), mark("w_e", 0), mark("w_s", 3)).unionByName(marks(rows, F.col("_row"), mark("s", 1), mark("e", 2)))
+    counts = {"_ended": ("sum", (F.col("kind") == 0).cast("bigint")), "_begun": ("sum", (F.col("kind") == 3).cast("bigint"))}
+    run = scan.running(scan.blocks(line, by, ["t", "kind"]), by, ["t", "kind"], counts).where("_row is not null")
+    span = run.groupBy("_row").agg(F.max(F.when(F.col("kind") == 1, F.col("_ended"))).alias("_lo"), F.max(F.when(F.col("kind") == 2, F.col("_begun"))).alias("_hi")).where("_lo < _hi")
+    met = rows.join(span, "_row").withColumn("_w", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))))
+    same = met["_w"] == held["_w"]
+    for c in by:
+        same &= met[c].eqNullSafe(held[c])
+    both = met.join(held.select(*(held[c] for c in by), held["_w"], *(held[c] for c in own)), same)
+    columns = {c: met[c] for c in df.columns} | {c: held[c] for c in own} | {"s": F.greatest(met["s"], held["w_s"]), "e": F.least(met["e"], held["w_e"])}
+    return both.select(*(v.alias(c if c in ("w_s", "w_e") else c.removeprefix("w_") if c in own else c) for c, v in columns.items()))
+
+
 def gaps(windows: DataFrame, busy: DataFrame, window: str, by: Sequence[str] = (), minimum: int = 1, width: int = DAY) -> DataFrame:
     """Free time of each window, in gaps of at least ``minimum`` seconds: (by, window, s, e, seconds). A window without busy time is one gap."""
     held = assign(busy.select(*by, "s", "e"), windows.select(*by, window, "s", "e"), by)

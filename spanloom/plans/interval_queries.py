@@ -239,13 +239,23 @@ def topk_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return iv.overlap_pairs(intervals(spark, d), ["team"]).orderBy(F.desc("seconds"), "left", "right").limit(25)
 
 
-@query(
-    f"""WITH {EVENTS}, w AS (SELECT DATE '2024-01-05' + CAST(k AS INTEGER) AS date, {LO} + k * 86400 + 32400 w_s, {LO} + k * 86400 + 61200 w_e FROM range(15) r(k))
+def _nine_to_five(spark: SparkSession) -> DataFrame:
+    return day_spine(spark, _FIRST, _LAST).select("date", (F.col("s") + 9 * 3600).alias("s"), (F.col("s") + 17 * 3600).alias("e"))
+
+
+_ASSIGNED = f"""WITH {EVENTS}, w AS (SELECT DATE '2024-01-05' + CAST(k AS INTEGER) AS date, {LO} + k * 86400 + 32400 w_s, {LO} + k * 86400 + 61200 w_e FROM range(15) r(k))
 SELECT id, owner, date, w_s, w_e, greatest(s, w_s) s, least(e, w_e) e FROM ev JOIN w ON s < w_e AND e > w_s AND e > s"""
-)
+
+
+@query(_ASSIGNED)
 def window_assign(spark: SparkSession, d: str) -> DataFrame:
-    windows = day_spine(spark, _FIRST, _LAST).select("date", (F.col("s") + 9 * 3600).alias("s"), (F.col("s") + 17 * 3600).alias("e"))
-    return iv.assign(intervals(spark, d).select("id", "owner", "s", "e"), windows).select("id", "owner", "date", "w_s", "w_e", "s", "e")
+    return iv.assign(intervals(spark, d).select("id", "owner", "s", "e"), _nine_to_five(spark)).select("id", "owner", "date", "w_s", "w_e", "s", "e")
+
+
+@query(_ASSIGNED)
+def window_assign_asof(spark: SparkSession, d: str) -> DataFrame:
+    """The same by counting windows' ends and begins along the time line."""
+    return iv.assign_disjoint(intervals(spark, d).select("id", "owner", "s", "e"), _nine_to_five(spark)).select("id", "owner", "date", "w_s", "w_e", "s", "e")
 
 
 @query(f"WITH {EVENTS}, l AS ({islands_sql('SELECT team, s, e FROM ev WHERE kind = $$purchase$$', 'team')}), r AS ({islands_sql('SELECT team, s, e FROM ev WHERE kind = $$click$$', 'team')}) SELECT l.team, greatest(l.s, r.s) s, least(l.e, r.e) e FROM l JOIN r ON l.team = r.team AND l.s < r.e AND r.s < l.e")

@@ -159,3 +159,20 @@ def test_one_long_interval_among_short_ones(spark):
     levels = iv.index_levels(df)
     assert df.where("id = 0").select(F.size(iv._cells(iv._level(levels)))).first()[0] <= 9
     assert {(r.left, r.right) for r in iv.overlap_pairs(df, ["owner"]).collect()} == {(0, k) for k in range(1, 500)}
+
+
+def test_disjoint_windows_by_counting(spark):
+    rng, windows, rows = random.Random(12), [], []
+    for owner in (0, 1, None):
+        t = -50
+        for k in range(30):
+            t += rng.choice((0, 0, 3, 40))
+            windows.append((owner, f"w{k}", t, t + rng.randint(1, 60)))
+            t = windows[-1][3]
+        rows += [(owner, k, s, s + rng.choice((0, 1, 30, 2000))) for k in range(120) for s in (rng.randrange(-100, t + 50),)]
+    w, r = spark.createDataFrame(windows, "owner int, name string, s long, e long"), spark.createDataFrame(rows, "owner int, id int, s long, e long")
+    want = Counter((o, i, n, max(s, a), min(e, b)) for o, i, s, e in rows for p, n, a, b in windows if o == p and s < b and a < e and s < e)
+    found = iv.assign_disjoint(r, w, ["owner"])
+    assert found.columns == ["owner", "id", "s", "e", "name", "w_s", "w_e"] or set(found.columns) == {"owner", "id", "s", "e", "name", "w_s", "w_e"}
+    assert Counter((x.owner, x.id, x.name, x.s, x.e) for x in found.collect()) == want
+    assert iv.assign_disjoint(r, w.limit(0), ["owner"]).count() == 0
