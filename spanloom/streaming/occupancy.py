@@ -39,3 +39,11 @@ def overlaps(left: DataFrame, right: DataFrame, by: str, longest: str = "1 day",
     r = right.withWatermark("begins", late).select(F.col(by).alias("r_by"), *(F.col(c).alias(f"r_{c}") for c in ("id", "begins", "ends")))
     near = f"l_by = r_by and l_begins < r_ends and r_begins < l_ends and r_begins >= l_begins - interval {longest} and r_begins <= l_begins + interval {longest}"
     return l.join(r, F.expr(near)).select(F.col("l_by").alias(by), F.col("l_id").alias("left"), F.col("r_id").alias("right"))
+
+
+def daily_bound(stream: DataFrame, by: Sequence[str], late: str = "1 hour") -> DataFrame:
+    """(by, date, intervals, seconds): what begins on each UTC day, a bound of the day's occupancy that keeps one row a day and owner."""
+    day = F.window("begins", "1 day")
+    rows = stream.where("ends > begins").withWatermark("begins", late)
+    found = rows.groupBy(*by, day.alias("w")).agg(F.count("*").alias("intervals"), F.sum(F.unix_timestamp("ends") - F.unix_timestamp("begins")).alias("seconds"))
+    return found.select(*by, F.to_date("w.start").alias("date"), "intervals", "seconds")
