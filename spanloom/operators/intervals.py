@@ -54,6 +54,8 @@ def union_seconds(df: DataFrame, by: Sequence[str] = (), width: int = DAY) -> Da
 
 #: An index level of width 2**w takes intervals of up to 2**(w + _MORE) seconds, and of over 2**(w - _LESS - 1): at most 2**_MORE + 1 cells each.
 _MORE, _LESS = 3, 2
+#: No interval has as many seconds as 2**_LONGEST.
+_LONGEST = 40
 
 
 def _bits(df: DataFrame) -> Column:
@@ -66,11 +68,13 @@ def _lengths(df: DataFrame) -> set[int]:
 
 
 def _fewest(lengths: set[int]) -> tuple[int, ...]:
-    out: list[int] = []
+    """Lengths within a factor of 2**(_MORE + _LESS) share a level, as low as its longest allow."""
+    groups: list[list[int]] = []
     for bits in sorted(lengths):
-        if not out or bits > out[-1] + _MORE:
-            out.append(bits + _LESS)
-    return tuple(out) or (0,)
+        if not groups or bits > groups[-1][0] + _LESS + _MORE:
+            groups.append([bits])
+        groups[-1].append(bits)
+    return tuple(max(g[0], g[-1] - _MORE) for g in groups) or (0,)
 
 
 def index_levels(df: DataFrame) -> tuple[int, ...]:
@@ -116,20 +120,20 @@ def begin_in(left: DataFrame, right: DataFrame, by: Sequence[str] = (), levels:
     return pairs.where((F.col("r_s") >= F.col("l_s")) & (F.col("r_s") < F.col("l_e"))).drop("_level", "_cell")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, by: Sequence[str] = (), lengths: Sequence[int] | None = None) -> DataFrame:
     """All pairs of a left and a right row of one owner that share time.
 
     Left columns are named l_* and right ones r_*. A pair meets on the higher level of its two rows: there the longer one
     lies in a few cells, and the shorter one in one or two; the pair is kept in the cell where its common time
-    begins, so comes once. A row is put on its own level, if the other side has rows there or below, and on the higher ones that the
-    other side has.
+    begins, so comes once. Levels are those of the left rows, which a pass of its own finds unless their ``lengths`` (in seconds) are
+    given, and coarse ones above for longer right rows. A left row is put on its own level and all above it, a right one on its own and on those of left rows above; so let the
+    left side be the smaller one.
     """
-    lengths = [_lengths(df) for df in (left, right)]
-    levels, sides = _fewest(lengths[0] | lengths[1]), []
-    theirs = [{next(w for w in levels if b <= w + _MORE) for b in kinds} for kinds in lengths]
-    for name, df, other in (("l", left, theirs[1]), ("r", right, theirs[0])):
+    mine = _fewest({(n - 1).bit_length() for n in lengths} if lengths else _lengths(left))
+    levels, sides = (*mine, *range(mine[-1] + _MORE + _LESS + 1, _LONGEST, _MORE + _LESS + 1)), []
+    for name, df, other in (("l", left, levels), ("r", right, mine)):
         own = F.col("_own")
-        cells = [F.when(((own == w) & F.lit(any(x <= w for x in other))) | ((own < w) & F.lit(w in other)), _on(w)) for w in levels]
+        cells = [F.when((own == w) | (own < w) & F.lit(w in other), _on(w)) for w in levels]
         rows = df.where("e > s").withColumn("_own", _level(levels)).withColumn("_at", F.explode(F.flatten(F.array_compact(F.array(*cells)))))
         sides.append(rows.select(*by, F.col("_at.w").alias("_level"), F.col("_at.c").alias("_cell"), F.col("_own").alias(f"_{name}"), *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in by)))
     begins = F.call_function("shiftright", F.greatest("l_s", "r_s"), F.col("_level")) == F.col("_cell")
@@ -215,9 +219,12 @@ def clip(df: DataFrame, lo: int | Column, hi: int | Column, s: str = "s", e: str
     return df.where((a < b) | point).withColumns({s: a, e: F.greatest(a, b)})
 
 
-def assign(df: DataFrame, windows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rows cut to each window that they meet: the columns of both, with s and e of the common time, w_s and w_e of the window."""
-    both = overlap_join(windows, df, by)
+def assign(df: DataFrame, windows: DataFrame, by: Sequence[str] = (), lengths: Sequence[int] | None = None) -> DataFrame:
+    """Rows cut to each window that they meet: the columns of both, with s and e of the common time, w_s and w_e of the window.
+
+    ``lengths``: the windows' in seconds, if they are known (:func:`overlap_join`).
+    """
+    both = overlap_join(windows, df, by, lengths)
     out = {c: F.col(f"r_{c}") for c in df.columns if c not in by} | {"w_s": F.col("l_s"), "w_e": F.col("l_e")} | {c: F.col(f"l_{c}") for c in windows.columns if c not in (*by, "s", "e")}
     return both.select(*by, *(v.alias(k) for k, v in (out | {"s": F.greatest("l_s", "r_s"), "e": F.least("l_e", "r_e")}).items()))
 
@@ -249,18 +256,18 @@ def assign_disjoint(df: DataFrame, windows: DataFrame, by: Sequence[str] = ()) -
     return both.select(*(v.alias(c if c in ("w_s", "w_e") else c.removeprefix("w_") if c in own else c) for c, v in columns.items()))
 
 
-def gaps(windows: DataFrame, busy: DataFrame, window: str, by: Sequence[str] = (), minimum: int = 1, width: int = DAY) -> DataFrame:
+def gaps(windows: DataFrame, busy: DataFrame, window: str, by: Sequence[str] = (), minimum: int = 1, width: int = DAY, lengths: Sequence[int] | None = None) -> DataFrame:
     """Free time of each window, in gaps of at least ``minimum`` seconds: (by, window, s, e, seconds). A window without busy time is one gap."""
-    held = assign(busy.select(*by, "s", "e"), windows.select(*by, window, "s", "e"), by)
+    held = assign(busy.select(*by, "s", "e"), windows.select(*by, window, "s", "e"), by, lengths)
     free = subtract(windows.select(*by, window, "s", "e"), held, [*by, window], width)
     return free.withColumn("seconds", F.col("e") - F.col("s")).where(F.col("seconds") >= minimum)
 
 
-def witnessed_gaps(windows: DataFrame, busy: DataFrame, window: str, by: Sequence[str] = (), id: str = "id", minimum: int = 1, width: int = DAY) -> DataFrame:
+def witnessed_gaps(windows: DataFrame, busy: DataFrame, window: str, by: Sequence[str] = (), id: str = "id", minimum: int = 1, width: int = DAY, lengths: Sequence[int] | None = None) -> DataFrame:
     """:func:`gaps` with ``before`` and ``after``: the sorted ids of what ends and begins at their edges, empty at a window's edge."""
     keys = [*by, window]
-    held = assign(busy.select(*by, F.col(id).alias("id"), "s", "e"), windows.select(*by, window, "s", "e"), by)
-    free = gaps(windows, busy, window, by, minimum, width)
+    held = assign(busy.select(*by, F.col(id).alias("id"), "s", "e"), windows.select(*by, window, "s", "e"), by, lengths)
+    free = gaps(windows, busy, window, by, minimum, width, lengths)
     ends = held.groupBy(*keys, F.col("e").alias("_t")).agg(F.array_sort(F.collect_set("id")).alias("before"))
     starts = held.groupBy(*keys, F.col("s").alias("_t")).agg(F.array_sort(F.collect_set("id")).alias("after"))
     with_ends = free.join(ends.withColumnRenamed("_t", "s"), [*keys, "s"], "left")

@@ -101,7 +101,7 @@ def expand(masters: DataFrame, until_local: Column, key: str = "family", from_lo
     found = rows.agg(F.collect_set("zone").alias("zones"), F.min("start").alias("lo"), F.max("last").alias("hi")).first()
     table = zones.periods(masters.sparkSession, found.zones, (found.lo or 0) // times.DAY, (found.hi or 0) // times.DAY)
     rel = lambda d: F.pmod(d - F.col("wkst"), F.lit(7))
-    rows = rows.withColumn("shift", rel(start_day)).withColumns({"early": F.size(F.filter("byday", lambda d: rel(d) < F.col("shift"))), "extra": (~F.array_contains("byday", start_day)).cast("int")})
+    rows = rows.withColumn("shift", rel(start_day)).withColumns({"early": F.size(F.filter("byday", lambda d: rel(d) < F.col("shift"))), "extra": (~F.array_contains("byday", start_day)).cast("int"), "rels": F.array_sort(F.transform("byday", rel))})
     rows = _placed(rows, table)
     # the part of each period in reach, in days since the start; a period's first and last day may lie outside, so are checked again
     rows = rows.join(F.broadcast(table), "zone").where((F.col("lo") <= F.col("last")) & (F.col("hi") > F.col("first")))
@@ -115,14 +115,13 @@ def expand(masters: DataFrame, until_local: Column, key: str = "family", from_lo
     high = F.floor((hi + ahead) / step).cast("bigint")
     rows = rows.withColumns({"_lo": F.floor((lo + ahead) / step).cast("bigint"), "_hi": F.when(F.col("freq").isNull(), F.lit(0)).otherwise(F.least(high, F.coalesce(steps, high)))}).where("_lo <= _hi")
     rows = rows.withColumn("_step", F.explode(F.sequence("_lo", "_hi")))
-    # weekdays of one of the rule's weeks, and the start's own in the first
-    named = F.when(weekly, F.array_union("byday", F.when(F.col("_step") == 0, F.array(start_day)).otherwise(F.array().cast("array<int>")))).otherwise(F.array(F.lit(0)))
-    rows = rows.withColumn("_wd", F.explode(named))
-    days = F.when(weekly, F.col("_step") * 7 * F.col("interval") + rel(F.col("_wd")) - F.col("shift")).otherwise(F.col("_step") * F.col("interval"))
+    # days of one of the rule's weeks, in order, and the start's own in the first
+    named = F.when(weekly, F.when((F.col("_step") == 0) & (F.col("extra") == 1), F.concat("rels", F.array("shift"))).otherwise(F.col("rels"))).otherwise(F.array(F.lit(0)))
+    rows = rows.select("*", F.posexplode(named).alias("_before", "_rel"))
+    days = F.when(weekly, F.col("_step") * 7 * F.col("interval") + F.col("_rel") - F.col("shift")).otherwise(F.col("_step") * F.col("interval"))
     rows = rows.withColumn("_day", days.cast("int")).withColumn("_t", F.col("start") + F.col("_day").cast("bigint") * times.DAY)
     rows = rows.where("_day >= 0 and _t >= lo and _t < hi and _t >= first and _t <= last and (_t < shown or _day = 0)")
-    before = F.size(F.filter("byday", lambda d: rel(d) < rel(F.col("_wd"))))
-    index = F.when(F.col("_day") == 0, F.lit(0)).when(weekly, _week_number(F.col("_step"), before)).otherwise(F.col("_step"))
+    index = F.when(F.col("_day") == 0, F.lit(0)).when(weekly, _week_number(F.col("_step"), F.col("_before"))).otherwise(F.col("_step"))
     rows = rows.withColumn("_index", index)
     skipped = F.when(F.size("skips") > 0, F.size(F.filter("skips", lambda k: k < F.col("_index")))).otherwise(0)
     local = F.timestamp_add("DAY", F.col("_day"), F.col("local"))

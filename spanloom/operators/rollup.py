@@ -26,7 +26,8 @@ def daily(df: DataFrame, spine: DataFrame, by: tuple[str, ...] = (), all_day: Da
     the end excluded) count on their dates and occupy nothing. Days without anything come with zeros, for each owner of ``df``.
     """
     rows = df.select(*by, "s", "e")
-    held = assign(rows, spine.select("date", "s", "e")) if not by else assign(rows.withColumn("_one", F.lit(1)), spine.select("date", "s", "e").withColumn("_one", F.lit(1)), ("_one",)).drop("_one")
+    lengths = (23 * 3600, 25 * 3600)
+    held = assign(rows, spine.select("date", "s", "e"), (), lengths) if not by else assign(rows.withColumn("_one", F.lit(1)), spine.select("date", "s", "e").withColumn("_one", F.lit(1)), ("_one",), lengths).drop("_one")
     keys = [*by, "date"]
     seconds = union_seconds(held.select(*keys, "s", "e"), keys)
     counts = held.groupBy(*keys).agg(F.count("*").alias("n"))

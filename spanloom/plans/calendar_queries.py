@@ -208,6 +208,10 @@ def schedule_overlap_guard(spark: SparkSession, d: str) -> DataFrame:
 _TEAM_WINDOWS = "w AS (SELECT team, date, s, e FROM (SELECT DISTINCT team FROM ev), (SELECT date, epoch(date)::BIGINT + 32400 s, epoch(date)::BIGINT + 61200 e FROM (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events)))"
 
 
+#: How long each team's windows are.
+_SHIFT = (8 * 3600,)
+
+
 def _team_windows(spark: SparkSession, d: str) -> DataFrame:
     """Nine to five of each team on each date that has events."""
     day = F.unix_date("date").cast("bigint") * times.DAY
@@ -220,7 +224,7 @@ def _team_busy(kinds: str = "kind IS NOT NULL") -> str:
 
 @query(f"WITH {EVENTS}, {_TEAM_WINDOWS}, {_team_busy()}, g AS ({gaps_sql('SELECT * FROM w', 'SELECT * FROM busy', 'team, date', 600)}) SELECT *, e - s AS seconds FROM g")
 def complement_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return iv.gaps(_team_windows(spark, d), intervals(spark, d), "date", ["team"], 600)
+    return iv.gaps(_team_windows(spark, d), intervals(spark, d), "date", ["team"], 600, lengths=_SHIFT)
 
 
 @query(
@@ -230,7 +234,7 @@ coalesce((SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR
 )
 def gap_witnesses(spark: SparkSession, d: str) -> DataFrame:
     rows = intervals(spark, d).withColumn("id", F.col("id").cast("string"))
-    found = iv.witnessed_gaps(_team_windows(spark, d), rows, "date", ["team"], minimum=600)
+    found = iv.witnessed_gaps(_team_windows(spark, d), rows, "date", ["team"], minimum=600, lengths=_SHIFT)
     return found.withColumns({c: F.array_join(c, ",") for c in ("before", "after")})
 
 
@@ -240,7 +244,7 @@ SELECT date, count(*) AS shown, sum(e - s)::BIGINT AS shown_seconds, (SELECT cou
 )
 def filter_gap_dates(spark: SparkSession, d: str) -> DataFrame:
     """What each choice of the availability date filter shows, beside the totals, which stay unfiltered."""
-    found = iv.gaps(_team_windows(spark, d), intervals(spark, d), "date", ["team"], 600)
+    found = iv.gaps(_team_windows(spark, d), intervals(spark, d), "date", ["team"], 600, lengths=_SHIFT)
     shown = found.groupBy("date").agg(F.count("*").alias("shown"), F.sum("seconds").alias("shown_seconds"))
     total = shown.agg(F.sum("shown").alias("gaps"), F.sum("shown_seconds").alias("gap_seconds"))
     return shown.join(F.broadcast(total), F.lit(True))
@@ -250,7 +254,7 @@ def filter_gap_dates(spark: SparkSession, d: str) -> DataFrame:
 def availability_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Gaps of half an hour in working windows beside what is opaque and not cancelled."""
     opaque = intervals(spark, d).where(~F.col("kind").isin("view", "error"))
-    return iv.gaps(_team_windows(spark, d).where(times.weekday("date") < 5), opaque, "date", ["team"], 1800)
+    return iv.gaps(_team_windows(spark, d).where(times.weekday("date") < 5), opaque, "date", ["team"], 1800, lengths=_SHIFT)
 
 
 @query(
@@ -264,8 +268,8 @@ def schedule_days(spark: SparkSession, d: str) -> DataFrame:
     windows, rows = _team_windows(spark, d), intervals(spark, d)
     open_ = windows.where(times.weekday("date") < 5)
     keys = ["team", "date"]
-    occupied = iv.union_seconds(iv.assign(rows.select("team", "s", "e"), open_, ["team"]), keys).withColumnRenamed("seconds", "occ")
-    free = iv.gaps(open_, rows, "date", ["team"], 1).groupBy(*keys).agg(F.sum("seconds").alias("free"), F.sum(F.when(F.col("seconds") >= 1800, F.col("seconds"))).alias("cand"))
+    occupied = iv.union_seconds(iv.assign(rows.select("team", "s", "e"), open_, ["team"], _SHIFT), keys).withColumnRenamed("seconds", "occ")
+    free = iv.gaps(open_, rows, "date", ["team"], 1, lengths=_SHIFT).groupBy(*keys).agg(F.sum("seconds").alias("free"), F.sum(F.when(F.col("seconds") >= 1800, F.col("seconds"))).alias("cand"))
     zero = F.lit(0).cast("bigint")
     days = windows.join(occupied, keys, "left").join(free, keys, "left").withColumn("complete", F.col("team") != 3)
     known = lambda c: F.when(F.col("complete"), F.coalesce(c, zero))
