@@ -64,6 +64,7 @@ def corpus_of(seed, documents=60):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_all_pairs(spark, seed):
     rows = corpus_of(seed) + corpus.ODD + [(None, "Straßen×÷Strassen " * 9)]
+    rows.append((5000, "zzabcdef " * 150 + "zzabcdex " * 30 + "zzabcdexy " * 6))  # a form of a form
     found = spelling.variants(spark.createDataFrame(corpus.clashing(rows), corpus.CLASHING)).collect()
     want = brute(rows)
     assert {tuple(r) for r in found} == want and len(found) == len(want)
