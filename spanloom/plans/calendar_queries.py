@@ -277,17 +277,19 @@ def schedule_days(spark: SparkSession, d: str) -> DataFrame:
     return scheduling.day_status(days, 1800)
 
 
-_SHIFTS = f"d AS (SELECT DATE '2024-01-04' + CAST(k AS INTEGER) AS date FROM range(16) r(k)), sh AS (SELECT team, greatest(epoch(date)::BIGINT + 22 * 3600 + 18000, {LO}) s, least(epoch(date)::BIGINT + 30 * 3600 + 18000, {HI}) e FROM (SELECT DISTINCT team FROM ev), d WHERE isodow(date) - 1 <= 2 + team % 3)"
+_SHIFTS = "z AS (SELECT min(s) // 86400 * 86400 lo, max(s) // 86400 * 86400 + 86400 hi FROM ev), d AS (SELECT DATE '1970-01-01' + CAST(k AS INTEGER) AS date FROM (SELECT unnest(range(lo // 86400 - 1, hi // 86400)) k FROM z)), sh AS (SELECT team, greatest(epoch(date)::BIGINT + 22 * 3600 + 18000, lo) s, least(epoch(date)::BIGINT + 30 * 3600 + 18000, hi) e FROM (SELECT DISTINCT team FROM ev), d, z WHERE isodow(date) - 1 <= 2 + team % 3)"
 
 
 @query(f"WITH {EVENTS}, {_SHIFTS} {islands_sql('SELECT team AS pid, s, e FROM sh', 'pid')}")
 def overnight_shifts(spark: SparkSession, d: str) -> DataFrame:
-    """Ten at night to six in New York, from Monday for three to five days."""
-    teams = intervals(spark, d).select(F.col("team").alias("pid")).distinct()
+    """Ten at night to six in New York, from Monday for three to five days, through all days that have events."""
+    rows = intervals(spark, d)
+    teams = rows.select(F.col("team").alias("pid")).distinct()
     days = F.explode(F.sequence(F.lit(0), (2 + F.col("pid") % 3).cast("int")))
     people = teams.select("pid", F.lit("America/New_York").alias("zone"), days.alias("weekday"), F.lit(22 * 60).alias("lo"), F.lit(6 * 60).alias("hi"))
-    dates = spark.range(17).select(F.date_add(F.lit("2024-01-04").cast("date"), F.col("id").cast("int")).alias("date"))
-    return scheduling.shifts(people, dates, LO, HI)
+    first, last = (x // times.DAY for x in rows.agg(F.min("s"), F.max("s")).first())
+    dates = spark.range(first - 1, last + 1).select(F.date_from_unix_date(F.col("id").cast("int")).alias("date"))
+    return scheduling.shifts(people, dates, first * times.DAY, (last + 1) * times.DAY)
 
 
 @query(
