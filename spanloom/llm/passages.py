@@ -9,16 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .minhash import SKETCH, across_components, linked, packed, sketches
+from .minhash import SKETCH, linked, packed, sketches
 from .shared import BROADCAST_BYTES, drop, save, unused
 from .text import LOWER, Words, grams, mix, slices, utf8
 
 #: Words of a paragraph and of its shingles, and shingles of the window whose minimum a paragraph begins with.
-#: Any passage of WINDOW + PARAGRAPH - 1 = 49 words has a whole paragraph that begins alike wherever the passage stands.
-PARAGRAPH, SHINGLE, WINDOW = 18, 5, 32
-#: MinHash bands of whole lines and blocks: a pair of similarity 0.8 is missed by all with a probability of (1 - 0.8**2)**6, 2 in 1,000, and one of 0.9 of 5 in 100,000.
-BANDS, ROWS = 6, 2
+#: Any passage of WINDOW + PARAGRAPH - 1 = 30 words has a whole paragraph that begins alike wherever the passage stands.
+PARAGRAPH, SHINGLE, WINDOW = 18, 5, 13
+#: Words outside a repeated stretch that are compared with the kept document's: as many as a near copy of up to 61 words with one other word in it can have on its shorter side.
+REACH = 31
+#: MinHash bands of whole lines and blocks: a pair of similarity 0.8 is missed by all with a probability of (1 - 0.8**3)**10, 8 in 10,000; one of 0.3 meets with one of 0.24.
+BANDS, ROWS = 10, 3
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -46,35 +47,6 @@ def anchors(words: Words, shingles: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
-_STEP = 0x9E3779B97F4A7C15 | 1
-
-
-def _spread(n: int, sign: int = 1) -> np.ndarray:
-    """Powers of an odd number modulo 2**64 (of its inverse for sign -1)."""
-    out = np.full(n, np.uint64(pow(_STEP, sign, 1 << 64)))
-    out[:1] = 1
-    return np.cumprod(out)
-
-
-def _rows(batch: pa.RecordBatch, words: Words, doc: np.ndarray, at: np.ndarray, digest: np.ndarray, anchor: np.ndarray, length: np.ndarray, sets: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
-    """One row for each different paragraph of a document, with all its places."""
-    order = np.lexsort((at, digest, doc))
-    new = np.ones(len(order), bool)
-    new[1:] = (doc[order][1:] != doc[order][:-1]) | (digest[order][1:] != digest[order][:-1])
-    heads, firsts = order[new], np.append(np.flatnonzero(new), len(order))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(anchor[heads].view(np.int64)),
-            pa.array(digest[heads].view(np.int64)),
-            batch.column("id").take(pa.array(doc[heads])),
-            pa.array(length[heads], pa.int32()),
-            pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array((at - words.first[doc])[order], pa.int32())),
-            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(fresh[heads].sum(1)))), pa.int32()), pa.array(sets[heads][fresh[heads]], pa.int32())),
-        ],
-        ["anchor", "digest", "id", "length", "places", "shingles"],
-    )
-
-
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole):
@@ -85,21 +57,9 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             shingles = grams(hashes, SHINGLE)
             at = anchors(words, shingles)
-            if not len(at):
-                continue
-            own = np.sort((shingles[at[:, None] + np.arange(PARAGRAPH - SHINGLE + 1)] >> np.uint64(32)).astype(np.uint32).view(np.int32), 1)
             digest = mix(shingles[at] * np.uint64(3) + grams(hashes, PARAGRAPH)[at])
             doc = words.doc[at]
-            fresh = np.ones(own.shape, bool)
-            fresh[:, 1:] = own[:, 1:] != own[:, :-1]
-            yield _rows(batch, words, doc, at, digest, shingles[at], np.full(len(at), PARAGRAPH), own, fresh)
-            # where the next paragraph begins behind this one's end, all words up to it are one more paragraph, known by its digest
-            far = np.flatnonzero((doc[1:] == doc[:-1]) & (at[1:] > at[:-1] + PARAGRAPH))
-            if len(far):
-                total = np.concatenate(([np.uint64(0)], np.cumsum(mix(hashes * np.uint64(2) + np.uint64(1)) * _spread(len(hashes)))))
-                length = at[far + 1] - at[far]
-                whole = mix((total[at[far + 1]] - total[at[far]]) * _spread(len(hashes), -1)[at[far]] + length.astype(np.uint64))
-                yield _rows(batch, words, doc[far], at[far], whole, whole, length, (whole >> np.uint64(32)).astype(np.uint32).view(np.int32)[:, None], np.ones((len(far), 1), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), batch.column("id").take(pa.array(doc)), pa.array(at - words.first[doc], pa.int32())], ["digest", "id", "a"])
 
 
 def _units(data: np.ndarray, words: Words) -> np.ndarray:
@@ -155,45 +115,49 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
 
     A document's word stream (A-Z lower-cased, words apart by ASCII white space; line breaks
     don't matter) is read as overlapping paragraphs of 18 words, each beginning at the smallest
-    shingle of a window of 32 places, so that a passage has the same paragraphs wherever it stands:
-    every passage of 49 words or more repeated word for word is found. Paragraphs that meet in a
-    band are linked if the Jaccard similarity of their five-word shingles reaches ``percent``
-    (checked on the full sets, as 32-bit hashes), and the words between two paragraphs that don't
-    touch are one more paragraph, compared as a whole. Written paragraphs, that is lines of 18 words or
+    shingle of a window of 13 places, so that a passage has the same paragraphs wherever it stands:
+    every passage of 30 words or more repeated word for word is found, whatever lies round it. Equal
+    paragraphs are one component; the one of the smallest id (``kept_id``) stays, those of other documents go.
+    Neighbours that lie alike in the same kept document are one stretch. At both of its ends words that the kept
+    document has there as well go too, up to 31; and one word that differs, is missing or is inserted is passed, if the
+    stretch with what lies behind that word still reaches ``percent``, counting the five shingles that such a word can cost.
+    So a near copy inside a line goes whole.
+
+    Written paragraphs, that is lines of 18 words or
     more and blocks of shorter lines with as many together, count too, at their whole length: they meet by MinHash bands without a common
-    anchor and are checked in the same way, so that near copies go with what differs in them. Linked paragraphs form components. In each, the paragraph of the
-    smallest id (``kept_id``) stays; those of other documents go. Removals that overlap or touch
-    are merged; at both edges words that the kept document has there as well go too, up to 31, which is all of
-    a passage repeated word for word. What then overlaps or touches is one row, which names the
-    smallest kept_id. A document without a removal has no row.
+    anchor and are linked if the Jaccard similarity of their five-word shingles reaches ``percent``
+    (checked on the full sets), so that near copies go with all that differs in them. Linked ones form
+    components, of which the one of the smallest id stays.
+    Removals that overlap or touch are one row, which names the smallest kept_id. A document without a removal has no row.
 
     Null, empty and short texts (under 18 words) have no paragraphs; rows of null id are left out of the
     comparison; rows of one id are one document, and repeats within it are kept. Other columns
-    aren't read. Equal paragraphs are joined first, n of them by n - 1 links, and one of each goes on: it is compared with the
-    head of each of its bands, and what this leaves apart in a band is compared across components by an
-    exact prefix filter; joins are equi-joins that adaptive execution may split.
+    aren't read. Equal paragraphs are found by minima that are combined before the shuffle, and the paragraphs
+    are joined with those by an equi-join of two exchanges, which adaptive execution may split where a passage is in very many documents.
     """
     key = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null")
-    found = rows.mapInArrow(_paragraphs, f"anchor long, digest long, id {key}, length int, places array<int>, shingles array<int>")
-    shared = found.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("anchor")
-    node = F.struct("id", F.col("places")[0].alias("place"), "length")
-    paragraph = save(found.join(shared, "anchor", "left_semi").withColumn("node", node), "paragraphs")
-    # sets of n shingles, sorted by hash, can't reach the threshold without one of the first n - ceil(n * percent / 100) + 1 in common
-    first = F.slice("shingles", 1, F.size("shingles") - F.ceil(F.size("shingles") * percent / 100).cast("int") + 1)
-    band = F.transform(first, lambda x: F.xxhash64("anchor", x))
-    alike = ["anchor", "digest", "length"]
-    classes = save(paragraph.groupBy(*alike).agg(F.min("node").alias("rep"), F.max("id").alias("last"), F.min("shingles").alias("shingles")), "classes")
-    copies = paragraph.join(classes.where("rep.id <> last").select(*alike, "rep"), alike).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    # paragraphs between two others are known by their digest alone, so that only equal ones meet
-    banded = classes.where(F.col("length") == PARAGRAPH).select(F.col("rep").alias("node"), "shingles", F.explode(band).alias("band"))
-    heads = banded.groupBy("band").agg(F.min(F.struct("node", "shingles")).alias("head"), F.max("node").alias("last")).where("head.node <> last").select("band", "head")
-    banded = save(banded.join(heads, "band"), "bands")
-    near = _near(F.col("shingles"), F.col("head.shingles"), percent)
-    stars = save(banded.where(F.col("node") != F.col("head.node")).where(near).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct(), "stars")
-    links = stars.union(_across(banded, stars, percent)).union(copies)
-    group = components(links)
-    gone = paragraph.join(group, "node").where("component.id < node.id").select("id", "length", F.explode("places").alias("a"), F.col("component").alias("kept"))
+    found = rows.mapInArrow(_paragraphs, f"digest long, id {key}, a int")
+    first = found.groupBy("digest").agg(F.min(F.struct("id", "a")).alias("kept"), F.max("id").alias("last")).where("kept.id <> last")
+    first = save(first.select("digest", F.col("kept.id").alias("kept_id"), F.col("kept.a").alias("kept_at")), "shared")
+    gone = found.join(first, "digest").where("id <> kept_id").select("id", "kept_id", "kept_at", "a", (F.col("a") + PARAGRAPH).alias("b"))
+    gone = gone.union(_alike_units(rows, key, percent))
+    # paragraphs of a document that lie alike in the same kept one overlap or touch: a stretch
+    low, high = F.min(F.struct("a", "kept_at")), F.max("b")
+    shift = F.col("a") - F.col("kept_at")
+    runs = _merge(gone.withColumn("shift", shift), ["id", "kept_id", "shift"], low.alias("low"), high.alias("b")).select("id", "kept_id", F.col("low.a").alias("a"), F.col("low.kept_at").alias("kept_at"), "b")
+    runs = save(runs, "runs")
+    edge = lambda at, kept_at: F.struct(at, kept_at, "kept_id", (F.col("b") - F.col("a")).alias("length"))
+    end = edge("b", (F.col("kept_at") + F.col("b") - F.col("a")).alias("kept_at"))
+    spans = save(_merge(runs, ["id"], F.min(edge("a", "kept_at")).alias("low"), F.max(end).alias("high"), F.min("kept_id").alias("kept_id")), "spans")
+    merged = _merge(_widened(spans, rows, key, percent), ["id"], F.min("a").cast("long").alias("first_word"), (F.max("b") - F.min("a")).cast("long").alias("n_words"), F.min("kept_id").alias("kept_id"))
+    drop(first)
+    drop(runs)
+    return merged.select(F.col("id").alias(id), "first_word", "n_words", "kept_id")
+
+
+def _alike_units(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """(id, kept_id, kept_at, a, b) of written paragraphs in a component with one of an earlier document."""
     unit = f"struct<id:{key},place:int,length:int>"
     sketch = save(rows.mapInArrow(_sketch, SKETCH.format(unit)), "sketch")
 
@@ -204,58 +168,49 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
 
     alike = linked(sketch, sets_of, percent).where("component.id < node.id")
     drop(sketch)
-    gone = gone.union(alike.select("node.id", "node.length", "node.place", "component"))
-    low = F.min(F.struct("a", F.col("kept.place").alias("kept_at"), F.col("kept.id").alias("kept_id")))
-    high = F.max(F.struct((F.col("a") + F.col("length")).alias("b"), (F.col("kept.place") + F.col("kept.length")).alias("kept_at"), F.col("kept.id").alias("kept_id")))
-    spans = save(_merge(gone.withColumn("b", F.col("a") + F.col("length")), low.alias("low"), high.alias("high"), F.min("kept.id").alias("kept_id")), "spans")
-    merged = _merge(_widened(spans, rows, key), F.min("a").cast("long").alias("first_word"), (F.max("b") - F.min("a")).cast("long").alias("n_words"), F.min("kept_id").alias("kept_id"))
-    return merged.select(F.col("id").alias(id), "first_word", "n_words", "kept_id")
-
-
-def _near(x, y, percent: int):
-    """Whether the Jaccard similarity of two shingle arrays reaches ``percent``."""
-    both = F.size(F.array_intersect(x, y))
-    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
+    return alike.select("node.id", F.col("component.id").alias("kept_id"), F.col("component.place").alias("kept_at"), F.col("node.place").alias("a"), (F.col("node.place") + F.col("node.length")).alias("b"))
 
 
-def _across(banded: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of one band that ``stars`` leaves in different components: all that reach ``percent``."""
-    placed = banded.join(components(stars).select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    crowd = save(placed.join(mixed, "band", "left_semi").groupBy("node").agg(F.min("component").alias("component"), F.min("shingles").alias("shingles")), "crowd")
-    tokens = crowd.select(F.col("node").alias("id"), "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    left, right = (crowd.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
-    return across_components(tokens, percent).join(left, "a").join(right, "b").where(_near(F.col("shingles_a"), F.col("shingles_b"), percent)).select("a", "b")
+def _merge(ranges: DataFrame, by: list[str], *out) -> DataFrame:
+    """Aggregates ``out`` of each group of ranges [a, b) of one ``by`` that overlap or touch."""
+    inside = Window.partitionBy(*by).orderBy("a", "b", F.xxhash64(*ranges.columns))
+    reach = F.max("b").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = ranges.withColumn("new", F.coalesce(F.col("a") > reach, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "span").agg(*out).drop("span")
 
 
-def _merge(ranges: DataFrame, *out) -> DataFrame:
-    """Aggregates ``out`` of each group of ranges [a, b) of one id that overlap or touch."""
-    in_doc = Window.partitionBy("id").orderBy("a", "b", F.xxhash64(*ranges.columns))
-    reach = F.max("b").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = ranges.withColumn("new", F.coalesce(F.col("a") > reach, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("id", "span").agg(*out).drop("span")
+def _alike(x, y, skip_x=None, skip_y=None):
+    """How many words two lists have in common from their beginning, or from behind what is skipped."""
+    x, y = (w if skip is None else F.slice(w, skip + 1, REACH) for w, skip in ((x, skip_x), (y, skip_y)))
+    same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
+    other = F.array_position(same, False)
+    return F.when(other > 0, other - 1).otherwise(F.size(same)).cast("int")
 
 
-def _widened(spans: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``spans`` with both edges moved out over the words that the kept document has there as well.
+def _widened(spans: DataFrame, rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """``spans`` with both edges moved out over the words that the kept document has there as well, past one that differs if enough lie behind it.
 
-    A repeated passage begins at most WINDOW - 1 words before its first paragraph and ends as many
-    behind its last, so no more words are compared. Texts that have an edge are read once more.
+    Up to REACH words are compared at an edge. Texts that have an edge are read once more.
     """
-    left, right = (spans.select("id", F.col("low.a").alias("a"), F.lit(side).alias("side"), F.col(at).alias("at"), F.col(f"{end}.kept_id").alias("other"), F.col(f"{end}.kept_at").alias("other_at")) for side, end, at in ((-1, "low", "low.a"), (1, "high", "high.b")))
+    left, right = (spans.select("id", F.col("low.a").alias("a"), F.lit(side).alias("side"), F.col(f"{end}.{at}").alias("at"), F.col(f"{end}.kept_id").alias("other"), F.col(f"{end}.kept_at").alias("other_at"), F.col(f"{end}.length").alias("length")) for side, end, at in ((-1, "low", "a"), (1, "high", "b")))
     edges = left.union(right)
     wanted = edges.select("id", "side", "at").union(edges.select("other", "side", "other_at")).distinct().groupBy("id").agg(F.collect_list(F.struct("side", "at")).alias("edges"))
     around = save(rows.join(wanted, "id").mapInArrow(_around, f"id {key}, side int, at int, words array<int>"), "edges")
     both = edges.join(around, ["id", "side", "at"]).join(around.select(F.col("id").alias("other"), "side", F.col("at").alias("other_at"), F.col("words").alias("others")), ["other", "side", "other_at"])
-    alike = F.zip_with("words", "others", lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first_other = F.array_position(alike, False)
-    more = both.groupBy("id", "a").agg(*(F.max(F.when(F.col("side") == side, F.when(first_other > 0, first_other - 1).otherwise(F.size(alike)))).alias(name) for side, name in ((-1, "left"), (1, "right"))))
+    both = both.withColumn("equal", _alike(F.col("words"), F.col("others")))
+    # a word replaced, inserted or left out, and at least one shingle of equal words behind it
+    for name, own, other in (("replaced", 1, 1), ("inserted", 1, 0), ("missing", 0, 1)):
+        behind = _alike(F.col("words"), F.col("others"), F.col("equal") + own, F.col("equal") + other)
+        shingles = F.col("length") + F.col("equal") + own + behind - (SHINGLE - 1)
+        near = (behind >= SHINGLE) & (100 * (shingles - SHINGLE) >= percent * (shingles + SHINGLE))
+        both = both.withColumn(name, F.when(near, F.col("equal") + own + behind).otherwise(F.col("equal")))
+    more = both.withColumn("more", F.greatest("replaced", "inserted", "missing")).groupBy("id", "a").agg(*(F.max(F.when(F.col("side") == side, F.col("more"))).alias(name) for side, name in ((-1, "left"), (1, "right"))))
     wide = spans.select("id", F.col("low.a").alias("a"), F.col("high.b").alias("b"), "kept_id").join(more, ["id", "a"], "left")
     return wide.select("id", (F.col("a") - F.coalesce("left", F.lit(0))).alias("a"), (F.col("b") + F.coalesce("right", F.lit(0))).alias("b"), "kept_id")
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the WINDOW - 1 words before (side -1) or behind (side 1) each wanted place, from the place outwards."""
+    """Hashes of the REACH words before (side -1) or behind (side 1) each wanted place, from the place outwards."""
     for whole in batches:
         for batch in slices(whole):
             data, offsets = utf8(batch.column("text"))
@@ -267,7 +222,7 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for e in edges:
                     at = e["at"]
                     if at <= len(own):
-                        found.append(own[max(0, at - WINDOW + 1) : at][::-1] if e["side"] < 0 else own[at : at + WINDOW - 1])
+                        found.append(own[max(0, at - REACH) : at][::-1] if e["side"] < 0 else own[at : at + REACH])
                         doc.append(k)
                         sides.append(e["side"])
                         places.append(at)
