@@ -31,7 +31,6 @@ _BLOCKS = frozenset("address article aside blockquote body center dd details dia
 _CLOSES_P = _BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "li"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 _SCOPE = frozenset("table ul ol dl body html article section div main td th aside nav footer header form".split())
-_CONTAINERS = frozenset("html body div section article main td th tr table tbody center form".split())
 # Elements and roles that HTML defines as something else than the article.
 _OTHER_TAGS = frozenset("head script style nav footer aside form noscript iframe button select textarea template svg canvas object dialog menu input label title link meta".split())
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -283,12 +282,12 @@ def _wrapper(raw: str) -> tuple[int, Part]:
 
 
 class Block:
-    """A line of text: ``key`` is its hash at its slot, ``region`` the article or else main element that it lies in, ``owner`` its element."""
+    """A line of text: ``key`` is its hash at its slot, ``region`` the article or else main element that it lies in."""
 
-    __slots__ = ("text", "key", "region", "owner")
+    __slots__ = ("text", "key", "region")
 
-    def __init__(self, text: str, key: int, region: tuple[int, int], owner: Node):
-        self.text, self.key, self.region, self.owner = text, key, region, owner
+    def __init__(self, text: str, key: int, region: tuple[int, int]):
+        self.text, self.key, self.region = text, key, region
 
 
 def _hash(*parts) -> int:
@@ -310,8 +309,8 @@ def read(tree: Node, wrapper: str | None) -> list[Block]:
         slots = {id(x): w for w, x in align(root, tree)[1]}
     out: list[Block] = []
     current: list[str] = []
-    # the slot around the current block, its label, its article and main element, its element
-    state = (-1, "", (0, 0), tree)
+    # the slot around the current block, its label, its article and main element
+    state = (-1, "", (0, 0))
     inner, regions = -1, 0
     stack: list = [tree]
 
@@ -320,7 +319,7 @@ def read(tree: Node, wrapper: str | None) -> list[Block]:
             text = " ".join(html.unescape("".join(current)).split())
             current.clear()
             if text:
-                out.append(Block(text, _hash(state[0], state[1], text), state[2], state[3]))
+                out.append(Block(text, _hash(*state[:2], text), state[2]))
 
     while stack:
         item = stack.pop()
@@ -341,7 +340,7 @@ def read(tree: Node, wrapper: str | None) -> list[Block]:
             if item.tag == "article" and not article or item.tag == "main" and not main:
                 regions += 1
                 article, main = (regions, main) if item.tag == "article" else (article, regions)
-            state = (inner, item.label, (article, main), item)
+            state = (inner, item.label, (article, main))
             if id(item) in slots:
                 inner = slots[id(item)].number
             stack.extend(reversed(item.children))
@@ -351,46 +350,15 @@ def read(tree: Node, wrapper: str | None) -> list[Block]:
     return out
 
 
-def _deepest(tree: Node, blocks: list[Block]) -> set[int]:
-    """Ids of the elements in the deepest container with most of the blocks' text."""
-    order, parents = [tree], {}
-    for x in order:  # grows while it is read
-        for y in elements(x):
-            parents[id(y)] = x
-            order.append(y)
-    mass: dict[int, int] = {}
-    for b in blocks:
-        mass[id(b.owner)] = mass.get(id(b.owner), 0) + len(b.text)
-    for x in reversed(order[1:]):
-        if id(x) in mass:
-            up = id(parents[id(x)])
-            mass[up] = mass.get(up, 0) + mass[id(x)]
-    node = tree
-    while True:
-        inner = max((c for c in elements(node) if c.tag in _CONTAINERS), key=lambda c: mass.get(id(c), 0), default=None)
-        if inner is None or not mass.get(id(inner)) or mass[id(inner)] < 0.7 * mass[id(node)]:
-            break
-        node = inner
-    inside = [node]
-    for x in inside:  # grows while it is read
-        inside.extend(elements(x))
-    return set(map(id, inside))
-
-
 def extract(page: str, wrapper: str | None, constant: frozenset[int] | set[int] = frozenset()) -> str:
     """The page's article: blocks in varying slots, without those whose text is constant on the host.
 
-    All article elements count, or else the main element, or else the deepest container with most of the
-    varying text. Where everything there is constant, it stays: it is what the page has.
+    Blocks of all article elements count, or else of the main element, or else of the whole page, wherever
+    they lie and however short they are. Where everything there is constant, it stays: it is what the page has.
     """
-    tree = parse(page)
-    blocks = read(tree, wrapper)
-    chosen = [b for b in blocks if b.region[0]] or [b for b in blocks if b.region[1]]
-    varying = [b for b in chosen or blocks if b.key not in constant]
-    if not chosen and blocks:
-        inside = _deepest(tree, varying or blocks)
-        varying = [b for b in varying or blocks if id(b.owner) in inside]
-    return "\n".join(b.text for b in varying or chosen)
+    blocks = read(parse(page), wrapper)
+    chosen = [b for b in blocks if b.region[0]] or [b for b in blocks if b.region[1]] or blocks
+    return "\n".join(b.text for b in [b for b in chosen if b.key not in constant] or chosen)
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,8 +402,8 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", content:
     2. Every page is aligned with its host's wrapper, which gives each of its blocks a slot. A text that
     over ``percent`` of the host's articles, and at least ``least`` of them, have at one slot is
     template. All pages count, but copies once: pages with the same longest block are one article.
-    3. A page's text is what its articles (or main element, or deepest container of most of the varying
-    text) have in slots that vary: template is left out, as are elements that HTML sets apart (nav,
+    3. A page's text is what its articles (or main element, or where it has neither the whole page) have
+    in slots that vary: template is left out, as are elements that HTML sets apart (nav,
     aside, footer, form ...) and those that a name marks as menu, advert, notice or comments if the
     wrapper has them as well; on hosts too small for a wrapper (under ``least`` pages) the name decides.
 

@@ -265,3 +265,59 @@ def test_pages_of_any_depth_and_several_articles(spark):
     got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
     assert [got[k] for k in range(4)] == [f"text number {k}" for k in range(4)]
     assert got[10] == "short\nRelated\nthe longer one of two"
+
+
+def test_short_parts_of_pages_without_an_article_stay(spark):
+    """Introductions of 5 to 30 % of the text, in a container of their own, on hosts of six pages; the host's template goes."""
+    rng = random.Random(14)
+    pages, want = [], {}
+    for host, share in enumerate((5, 10, 19, 26, 30)):
+        for k in range(6):
+            intro, rest = corpus.prose(rng, 2 * share), [corpus.prose(rng, 100 - share) for _ in range(2)]
+            parts = [f"<div class=lead><p>{intro}</p></div>", f"<div class=text><p>{rest[0]}</p><p>{rest[1]}</p></div>"]
+            lines = [intro, *rest] if k % 2 else [*rest, intro]
+            body = "".join(parts if k % 2 else parts[::-1])
+            pages.append((10 * host + k, f"https://h{host}.example/{k}", f"<body><div class=top>Our site of things</div><div class=wrap>{body}</div><div class=last>Written by the people of the site</div></body>"))
+            want[10 * host + k] = "\n".join(lines)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.main_text(df).collect()} == want
+    # the wrapper and its constants decide: without them the template stays
+    assert all(html_extract.extract(page, None) == f"Our site of things\n{want[k]}\nWritten by the people of the site" for k, _, page in pages)
+
+
+def test_hosts_of_random_trees_equal_brute_force(spark):
+    """Sites of random nested containers: what varies stays in page order, what is the same at one place of every page goes."""
+    rng = random.Random(15)
+    pages, want = [], {}
+    for host in range(12):
+        number = iter(range(1000))
+
+        def template(depth):
+            out = []
+            for _ in range(rng.randint(2, 4)):
+                n = next(number)
+                out.append((n, template(depth - 1) if depth and rng.random() < 0.5 else None, rng.random() < 0.4))
+            return out
+
+        site = template(2)
+        for k in range(8):
+            lines = []
+
+            def build(nodes, k=k, lines=lines, host=host):
+                out = ""
+                for n, inner, constant in nodes:
+                    if inner is None:
+                        words = f"fixed words {host} at {n}" if constant else corpus.prose(rng, 8)
+                        inner_html = f"<p>{words}</p>"
+                        if not constant:
+                            lines.append(words)
+                    else:
+                        inner_html = build(inner)
+                    out += f"<div class=p{chr(97 + n % 26)}{chr(97 + n // 26)}>{inner_html}</div>"
+                return out
+
+            page = f"<body><div class=top>Site {host} of all</div>{build(site)}<p>{(last := corpus.prose(rng, 6))}</p></body>"
+            pages.append((100 * host + k, f"https://r{host}.example/{k}", page))
+            want[100 * host + k] = "\n".join([*lines, last])
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.main_text(df).collect()} == want
