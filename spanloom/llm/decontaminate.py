@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save, unused
+from .shared import unused
 from .text import LOWER, Words, slices, utf8
 
 #: Bytes that aren't part of a word: all of ASCII but digits and lower-case letters (texts are lower-cased before).
@@ -192,34 +192,42 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _hits(shared, extra: list[str]):
+def _found(phrases: Phrases, shard: Shard, words: Words, spans: dict[int, list], items: dict[int, set]) -> None:
+    """Add the occurrences of a block of items in a shard to each text's ``spans`` and the item ids in ``items``."""
+    # of the windows of all lengths in a row, the range of each one's items
+    items_of = np.concatenate([np.zeros(0, np.int32), *(items for *_, items in phrases.windows)])
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(first) for _, _, first, _ in phrases.windows)])
+    ends = np.cumsum(sizes)
+    start, size, row = shard.occurrences(phrases)
+    for d, a, n, r in zip(words.doc[start].tolist(), start.tolist(), size.tolist(), row.tolist(), strict=True):
+        spans.setdefault(d, []).append((a, a + n))
+        items.setdefault(d, set()).update(phrases.names[k] for k in items_of[ends[r] - sizes[r] : ends[r]].tolist())
+
+
+def _hits(shared: list):
+    """Spans and items of each text: an index is built once a shard and searched for all blocks of ``shared``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases: Phrases = shared.value
-        # of the windows of all lengths in a row, the range of each one's items
-        items_of = np.concatenate([np.zeros(0, np.int32), *(items for *_, items in phrases.windows)])
-        sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(first) for _, _, first, _ in phrases.windows)])
-        ends = np.cumsum(sizes)
         for whole in batches:
             for batch in slices(whole, limit=SHARD_BYTES):
                 data, offsets = utf8(batch.column("text"))
                 words = Words(LOWER[data], offsets, APART)
-                start, size, row = Shard(words).occurrences(phrases)
-                spans: dict[int, list] = {}
-                items: dict[int, set] = {}
-                for d, a, n, r in zip(words.doc[start].tolist(), start.tolist(), size.tolist(), row.tolist(), strict=True):
-                    spans.setdefault(d, []).append((a, a + n))
-                    items.setdefault(d, set()).update(items_of[ends[r] - sizes[r] : ends[r]].tolist())
+                shard, spans, items = Shard(words), {}, {}
+                for block in shared:
+                    _found(block.value, shard, words, spans, items)
+                    if len(shared) > 1:  # a worker holds one block at a time, and reads it again from its own disk
+                        vars(block).pop("_value", None)
                 columns = {k: [] for k in ("word_spans", "byte_spans", "items")}
                 for d in range(batch.num_rows):
                     merged = _merge(spans.get(d, []))
                     first, zero = int(words.first[d]), int(offsets[d])
                     columns["word_spans"].append([{"a": a - first, "b": b - first} for a, b in merged])
                     columns["byte_spans"].append([{"a": int(words.starts[a]) - zero, "b": int(words.ends[b - 1]) - zero} for a, b in merged])
-                    columns["items"].append(sorted({phrases.names[k] for k in items.get(d, ())}))
+                    columns["items"].append(sorted(items.get(d, ())))
                 span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in extra), pa.array(np.diff(words.first), pa.int64()), pa.array(columns["word_spans"], span), pa.array(columns["byte_spans"], span), pa.array(columns["items"], pa.list_(pa.string()))],
-                    [*extra, "n_words", *columns],
+                    [batch.column("id"), pa.array(np.diff(words.first), pa.int64()), pa.array(columns["word_spans"], span), pa.array(columns["byte_spans"], span), pa.array(columns["items"], pa.list_(pa.string()))],
+                    ["id", "n_words", *columns],
                 )
 
     return run
@@ -249,46 +257,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
 
     A task builds an FM-index over all words of its documents, shard by shard, and searches it backwards for all
     windows of a block of items, which reaches it as a broadcast of bounded size (packed arrays of some 60 bytes a
-    word, so 4 MB of text make about 50 MB); a benchmark of more than one block is taken in
-    several passes whose spans are merged by document (rows equal in id and text then count as
-    copies and come back as often as they were). Documents are never shuffled in a pass.
+    word, so 4 MB of text make about 50 MB). A benchmark of more than one block is searched block by block in
+    the same index, one block in memory at a time; ``docs`` is read once and never shuffled.
     """
     key = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    span, spark = "array<struct<a:bigint,b:bigint>>", docs.sparkSession
-    passes, several = [], False
-    for k, block in enumerate(blocks(benchmark, item_id, item_text, block_bytes)):
-        shared = spark.sparkContext.broadcast(Phrases(block, window))
-        several = k > 0
-        passes.append((shared, rows))
-    extra = ["id", "text_hash"] if several else ["id"]
-    if several:
-        rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    frames = [rows.mapInArrow(_hits(shared, extra), f"id {key}, " + "text_hash bigint, " * several + f"n_words bigint, word_spans {span}, byte_spans {span}, items array<string>") for shared, _ in passes]
-    out = frames[0]
-    if several:
-        union = frames[0]
-        for frame in frames[1:]:
-            union = union.unionByName(frame)
-        out = save(union, "hits").groupBy("id", "text_hash", "n_words").agg(*(_merged(c) for c in ("word_spans", "byte_spans")), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
-        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(frames)).cast("int"))))
+    span, context = "array<struct<a:bigint,b:bigint>>", docs.sparkSession.sparkContext
+    shared = [context.broadcast(Phrases(block, window)) for block in blocks(benchmark, item_id, item_text, block_bytes)]
+    out = rows.mapInArrow(_hits(shared), f"id {key}, n_words bigint, word_spans {span}, byte_spans {span}, items array<string>")
     n_hit = F.aggregate("word_spans", F.lit(0).cast("long"), lambda t, s: t + s["b"] - s["a"])
     return out.select(F.col("id").alias(id), "n_words", n_hit.alias("n_hit"), F.col("byte_spans").alias("spans"), "items")
 
 
-def _merged(column: str):
-    """Column of all spans of a group, merged where they meet or overlap."""
-    spans = F.array_sort(F.flatten(F.collect_list(column)))
-    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
-
-    def step(done, s):
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
-        return F.when((F.size(done) > 0) & (last["b"] >= s["a"]), joined).otherwise(F.concat(done, F.array(s)))
-
-    return F.aggregate(spans, empty, step).alias(column)
-
-
 def contaminated(found: DataFrame):
     """The contamination rule: a hit, and at least one word in twenty hit."""
     return (found["n_hit"] > 0) & (20 * found["n_hit"] >= found["n_words"])

@@ -112,6 +112,8 @@ def test_decontamination(spark, block):
     benchmark = spark.createDataFrame([(n, t, "z") for n, t in items], "item_id long, text string, id string")
     found = decontaminate.hits(docs, benchmark, block_bytes=block)
     got = found.collect()
+    # one read of the documents, however many blocks
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert Counter((r.doc_id, r.n_words, r.n_hit, hashlib.sha256(",".join(r["items"]).encode()).hexdigest()) for r in got) == brute_hits(rows, items)
     text = dict(rows)
     for r in got:
