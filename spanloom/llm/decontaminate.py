@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import unused
+from .shared import BROADCAST_BYTES, save, unused
 from .text import LOWER, Words, slices, utf8
 
 #: Bytes that aren't part of a word: all of ASCII but digits and lower-case letters (texts are lower-cased before).
@@ -278,8 +278,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id",
     """``docs`` without the documents that the rule calls contaminated; a null id is compared as a value.
 
     Rows that repeat an id go together if one of them is contaminated. A null or empty text stays, as does every
-    document without a benchmark; columns of any name stay as they are.
+    document without a benchmark; columns of any name stay as they are. The ids that go are written before anything is
+    joined: as long as they are few enough for a broadcast, no document is shuffled.
     """
-    found = hits(docs, benchmark, id, text)
-    gone = found.where(contaminated(found)).select(F.col(id).alias(unused(docs, "_gone"))).distinct()
-    return docs.join(gone, F.col(id).eqNullSafe(F.col(gone.columns[0])), "left_anti")
+    found, name = hits(docs, benchmark, id, text), unused(docs, "_gone")
+    gone = save(found.where(contaminated(found)).select(F.col(id).alias(name)).distinct(), "gone")
+    size = gone.select(F.sum(F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    return docs.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, F.col(id).eqNullSafe(F.col(name)), "left_anti")

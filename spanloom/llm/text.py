@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one numpy pass handles; one longer text is a pass of its own.
 SLICE_BYTES = 2 << 20
+#: Bytes of text that are hashed at a time, as that takes some 40 bytes for each; one longer word is hashed alone.
+HASH_BYTES = 256 << 10
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -70,16 +72,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        lengths = self.ends - self.starts
-        heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        at = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
-        weight = _WEIGHTS[at & 4095]
-        if lengths.max() > 4096:
-            weight = weight * (_U(2) * (at >> 12).astype(np.uint64) + _U(1))
-        total = np.add.reduceat((self.data[self.inside].astype(np.uint64) + _U(1)) * weight, heads)
-        return mix(total + lengths.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        out = np.zeros(len(self.starts), np.uint64)
+        edges = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, len(self.data), HASH_BYTES)), len(out))).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            span = slice(self.starts[a], self.ends[b - 1])
+            lengths = self.ends[a:b] - self.starts[a:b]
+            heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            at = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
+            weight = _WEIGHTS[at & 4095]
+            if lengths.max() > 4096:
+                weight = weight * (_U(2) * (at >> 12).astype(np.uint64) + _U(1))
+            total = np.add.reduceat((self.data[span][self.inside[span]].astype(np.uint64) + _U(1)) * weight, heads)
+            out[a:b] = mix(total + lengths.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        return out
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
