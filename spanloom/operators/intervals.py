@@ -141,6 +141,21 @@ def overlap_join(left: DataFrame, right: DataFrame, by: Sequence[str] = (), leng
     return sides[0].join(sides[1], [*by, "_level", "_cell"]).where(shared).drop("_level", "_cell", "_l", "_r")
 
 
+def _same(names: Sequence[str]) -> Column:
+    """Equality of columns with those of the same names after an underscore; null equals null."""
+    out = F.lit(True)
+    for c in names:
+        out &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return out
+
+
+def _pairs(left: DataFrame, right: DataFrame, by: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
+    """The pairs of :func:`overlap_pairs` that have their left row in ``left`` and their right one in ``right``."""
+    pairs = begin_in(left, right, by, levels).where(F.struct("l_s", "l_e", "l_id") < F.struct("r_s", "r_e", "r_id"))
+    e = F.least("l_e", "r_e")
+    return pairs.select(*by, F.col("l_id").alias("left"), F.col("r_id").alias("right"), F.col("r_s").alias("s"), e.alias("e"), (e - F.col("r_s")).alias("seconds"))
+
+
 def overlap_pairs(df: DataFrame, by: Sequence[str] = (), id: str = "id", levels: Sequence[int] | None = None) -> DataFrame:
     """Each unordered pair of an owner's intervals that share time, once: (by, left, right, s, e, seconds).
 
@@ -149,9 +164,34 @@ def overlap_pairs(df: DataFrame, by: Sequence[str] = (), id: str = "id", levels:
     earlier, so pairs are those of :func:`begin_in`.
     """
     rows = df.select(*by, F.col(id).alias("id"), "s", "e")
-    pairs = begin_in(rows, rows, by, levels).where(F.struct("l_s", "l_e", "l_id") < F.struct("r_s", "r_e", "r_id"))
-    e = F.least("l_e", "r_e")
-    return pairs.select(*by, F.col("l_id").alias("left"), F.col("r_id").alias("right"), F.col("r_s").alias("s"), e.alias("e"), (e - F.col("r_s")).alias("seconds"))
+    return _pairs(rows, rows, by, levels)
+
+
+def longest_overlaps(df: DataFrame, k: int, by: Sequence[str] = (), id: str = "id") -> DataFrame:
+    """The first ``k`` of :func:`overlap_pairs` by (seconds descending, left, right), without listing the others.
+
+    The longest time that a row shares with one before it in (s, e, id) follows from the furthest end before it, a running
+    maximum. The k-th longest of these, t, is at most the k-th pair's seconds: so pairs of over t seconds have one of fewer than k
+    rows as their right, and of those of t seconds only the k smallest left ids can be among the first k. A row is the left of a pair of at least t
+    seconds if the next row of that length begins t before its end. So work grows with the rows, however many pairs or ties there are.
+    """
+    order, name = ["s", "e", "id"], [*by, "s", "e", "id"]
+    rows = df.select(*by, F.col(id).alias("id"), "s", "e").where("e > s").dropna(subset=list(by)) if by else df.select(F.col(id).alias("id"), "s", "e").where("e > s")
+    reach = scan.running(scan.blocks(rows.distinct(), by, order), by, order, {"_reach": ("max", F.col("e"))}, own_row=False)
+    best = reach.where("_reach > s").select(*name, (F.least("e", "_reach") - F.col("s")).alias("_best"))
+    top = best.orderBy(F.desc("_best")).limit(k).collect()
+    t = top[-1]["_best"] if len(top) == k else 0
+    among = lambda table, few: table.join(F.broadcast(few.select(*(F.col(c).alias(f"_{c}") for c in name))), _same(name), "left_semi")
+    rights = df.sparkSession.createDataFrame([r for r in top if r["_best"] > t], best.schema)
+    long = rows.where(F.col("e") - F.col("s") >= t)
+    pairs = _pairs(long, among(long, rights), by).where(F.col("seconds") > t)
+    if t:
+        nth = save(scan.numbered(long.distinct(), by, order, "_n"), "nth")
+        lefts = nth.join(nth.select(*by, (F.col("_n") - 1).alias("_n"), F.col("s").alias("_next")), [*by, "_n"]).where(F.col("_next") <= F.col("e") - t)
+        last = lefts.select("id").orderBy("id").limit(k).collect()[-1]["id"]
+        first = lefts.where(F.struct("id") <= F.struct(F.lit(last).cast(rows.schema["id"].dataType).alias("id")))
+        pairs = pairs.unionByName(_pairs(among(long, first), long, by).where(F.col("seconds") == t))
+    return pairs.orderBy(F.desc("seconds"), "left", "right").limit(k)
 
 
 def blocks(df: DataFrame, by: Sequence[str] = (), id: str = "id", width: int = DAY) -> DataFrame:

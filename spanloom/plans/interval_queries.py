@@ -236,7 +236,7 @@ def overlap_pairs_global(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {EVENTS}, p AS ({_pairs_sql('team')}) SELECT * FROM p ORDER BY seconds DESC, "left", "right" LIMIT 25""")
 def topk_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return iv.overlap_pairs(intervals(spark, d), ["team"]).orderBy(F.desc("seconds"), "left", "right").limit(25)
+    return iv.longest_overlaps(intervals(spark, d), 25, ["team"])
 
 
 def _nine_to_five(spark: SparkSession) -> DataFrame:

@@ -176,3 +176,23 @@ def test_disjoint_windows_by_counting(spark):
     assert found.columns == ["owner", "id", "s", "e", "name", "w_s", "w_e"] or set(found.columns) == {"owner", "id", "s", "e", "name", "w_s", "w_e"}
     assert Counter((x.owner, x.id, x.name, x.s, x.e) for x in found.collect()) == want
     assert iv.assign_disjoint(r, w.limit(0), ["owner"]).count() == 0
+
+
+@pytest.mark.parametrize("by", [[], ["owner"]])
+def test_longest_overlaps_are_the_first_of_all_pairs(spark, by):
+    """Also with ties, copies, repeated rows and fewer pairs than asked for."""
+    rng = random.Random(8)
+    for rows, k in ((60, 7), (60, 5000), (3, 2)):
+        for longest in (4, 40):
+            data = [(rng.randrange(2), n, s := rng.randrange(60), s + rng.randrange(longest)) for n in rng.sample(range(100), rows)]
+            data += data[: rows // 4] + [(o, n + 100, s, e) for o, n, s, e in data[: rows // 2]] + [(None, 1, 0, 50), (None, 2, 0, 50)] * bool(by)
+            df = spark.createDataFrame(data, "owner int, id long, s long, e long")
+            want = iv.overlap_pairs(df, by).orderBy(F.desc("seconds"), "left", "right").limit(k).collect()
+            assert iv.longest_overlaps(df, k, by).collect() == want
+
+
+def test_longest_overlaps_of_equal_intervals_list_few_pairs(spark):
+    """50,000 equal intervals have 1.2 billion pairs."""
+    df = spark.range(50_000).select(F.lit(1).alias("owner"), "id", F.lit(0).cast("long").alias("s"), F.lit(100).cast("long").alias("e"))
+    found = iv.longest_overlaps(df, 25, ["owner"]).collect()
+    assert [(r.left, r.right, r.seconds) for r in found] == [(0, n, 100) for n in range(1, 26)]
