@@ -196,3 +196,18 @@ def test_longest_overlaps_of_equal_intervals_list_few_pairs(spark):
     df = spark.range(50_000).select(F.lit(1).alias("owner"), "id", F.lit(0).cast("long").alias("s"), F.lit(100).cast("long").alias("e"))
     found = iv.longest_overlaps(df, 25, ["owner"]).collect()
     assert [(r.left, r.right, r.seconds) for r in found] == [(0, n, 100) for n in range(1, 26)]
+
+
+def test_pairs_of_a_crowd_and_of_marked_rows(spark):
+    """A crowded owner gets finer levels, no row over 65 cells, and the same pairs; with marks those that have one."""
+    rng = random.Random(12)
+    data = [(1, n, s := rng.randrange(20_000), s + rng.choice((3, 900, 5000, 16_000)) + rng.randrange(20)) for n in range(900)] + [(1, 900, 0, 20_000), (None, 901, 0, 9), (2, 902, 5, 5)]
+    df = spark.createDataFrame(data, "owner int, id long, s long, e long")
+    levels = iv._pair_levels(df, ["owner"])
+    assert max(levels) < max(iv.index_levels(df))
+    assert df.where("e > s").select(F.max(F.size(iv._cells(iv._level(levels))))).first()[0] <= 65
+    rows = [(s, e, n) for o, n, s, e in data if o == 1]
+    want = {(a[2], b[2]) for a in rows for b in rows if a < b and b[0] < a[1]}
+    for mark, keep in ((None, lambda n: True), (F.col("id") % 5 == 0, lambda n: n % 5 == 0), (F.when(F.col("id") % 5 == 0, True), lambda n: n % 5 == 0)):
+        found = [(r.left, r.right) for r in iv.overlap_pairs(df, ["owner"], marked=mark).collect()]
+        assert len(found) == len(set(found)) and set(found) == {p for p in want if keep(p[0]) or keep(p[1])}
