@@ -211,3 +211,37 @@ def test_pairs_of_a_crowd_and_of_marked_rows(spark):
     for mark, keep in ((None, lambda n: True), (F.col("id") % 5 == 0, lambda n: n % 5 == 0), (F.when(F.col("id") % 5 == 0, True), lambda n: n % 5 == 0)):
         found = [(r.left, r.right) for r in iv.overlap_pairs(df, ["owner"], marked=mark).collect()]
         assert len(found) == len(set(found)) and set(found) == {p for p in want if keep(p[0]) or keep(p[1])}
+
+
+@pytest.mark.parametrize("shared", [1, 40, 10**9])
+def test_crowded_pairs_of_all_lengths(spark, monkeypatch, shared):
+    """Cells of a few begins, of many or of all, runs of three, lengths of a second to 97 days, copies, null owners and a hot hour: pairs are those of brute force."""
+    monkeypatch.setattr(iv, "_SHARED", shared)
+    monkeypatch.setattr(iv, "_RUN", 3)
+    rng = random.Random(31)
+    data = [(k % 3 == 0, k, s := rng.randrange(-(2**21), 2**21) if k % 3 else rng.randrange(3600), s + (2 ** rng.randrange(24) if k % 2 else 2**23)) for k in range(600)]
+    data += data[:20] + [(o, k + 1000, s, e) for o, k, s, e in data[:20]] + [(None, 2000, 0, 9), (None, 2001, 0, 9), (True, 2002, 5, 5)]
+    df = spark.createDataFrame(data, "owner boolean, id long, s long, e long")
+    crowd = iv._crowd(df, ["owner"])
+    assert crowd.dense > 0
+    want = Counter((o, x, y) for o, x, s, e in data for p, y, t, u in data if o is not None and o == p and s < e and t < u and s < u and t < e and (s, e, x) < (t, u, y))
+    assert Counter((r.owner, r.left, r.right) for r in iv.overlap_pairs(df, ["owner"]).collect()) == want
+    found = Counter((r.owner, r.left, r.right) for r in iv.overlap_pairs(df, ["owner"], marked=F.col("id") % 7 == 0).collect())
+    assert found == Counter({k: n for k, n in want.items() if k[1] % 7 == 0 or k[2] % 7 == 0})
+
+
+def test_a_crowd_is_shuffled_in_few_copies(spark):
+    """What pairs put on disk grows with the rows: two cells a left row here, not 65, and one a right one."""
+    n = 4000
+    df = spark.range(n).select((F.col("id") % 1).alias("owner"), "id", (F.col("id") * 5).alias("s"), (F.col("id") * 5 + 16_000).alias("e"))
+    stages = lambda: {x.stageId(): x.shuffleWriteRecords() for held in (spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None),) for x in map(held.apply, range(held.size()))}
+    last = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        earlier = stages()
+        got = iv.overlap_pairs(df, ["owner"]).count()
+        written = sum(n for k, n in stages().items() if k not in earlier)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", last)
+    assert got == sum(min(3199, n - 1 - k) for k in range(n))
+    assert written <= 4 * n
