@@ -230,7 +230,8 @@ def test_crowded_pairs_of_all_lengths(spark, monkeypatch, shared):
     assert found == Counter({k: n for k, n in want.items() if k[1] % 7 == 0 or k[2] % 7 == 0})
 
 
-def test_a_crowd_is_shuffled_in_few_copies(spark):
+@pytest.mark.parametrize("marked", [None, "id % 5 = 0"])
+def test_a_crowd_is_shuffled_in_few_copies(spark, marked):
     """What pairs put on disk grows with the rows: two cells a left row here, not 65, and one a right one."""
     n = 4000
     df = spark.range(n).select((F.col("id") % 1).alias("owner"), "id", (F.col("id") * 5).alias("s"), (F.col("id") * 5 + 16_000).alias("e"))
@@ -239,9 +240,10 @@ def test_a_crowd_is_shuffled_in_few_copies(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         earlier = stages()
-        got = iv.overlap_pairs(df, ["owner"]).count()
+        got = iv.overlap_pairs(df, ["owner"], marked=marked and F.expr(marked)).count()
         written = sum(n for k, n in stages().items() if k not in earlier)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", last)
-    assert got == sum(min(3199, n - 1 - k) for k in range(n))
+    want = {k: range(k + 1, min(k + 3200, n)) for k in range(n)}
+    assert got == sum(len(r) if marked is None or k % 5 == 0 else sum(j % 5 == 0 for j in r) for k, r in want.items())
     assert written <= 4 * n
